@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trawl.llm.common import table
+from trawl.llm.embeddings import near_vectors
+from trawl.llm.sharding import reshard
 from trawl.llm.simhash import simhash_groups
 
 
@@ -14,8 +17,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old shards hold whole sources, as a crawl leaves them, so they are far from equal."""
+    old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(16))
+    moved = reshard(table(spark, sf_dir, "documents"), old)
+    return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_sharding": op4_sharding,
+    "op10_embedding_neardup": op10_embedding_neardup,
 }
 
 ORACLES: dict[str, str] = {}
