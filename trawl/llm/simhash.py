@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import connected_components, pin, union_pairs
 
 SEED = 42
-BLOCK_ROWS = 32768
+BLOCK_ROWS = 65536
 TILE_ROWS = 256
 HASHES_AT_ONCE = 1 << 16
 
@@ -118,9 +118,10 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
 def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct ``fps(fp)`` to links ``(a, b)`` whose components are those of all pairs in the radius.
 
-    The work is that of comparing all block pairs with compatible counts, so it
-    grows with the square of the distinct fingerprints; shuffled rows grow with
-    rows times compatible blocks.
+    A block is one packed row of at most ``block_rows`` fingerprints and travels to
+    the tasks of its block pairs as such. The work is that of comparing all block
+    pairs with compatible counts, so it grows with the square of the distinct
+    fingerprints.
     """
     hi = F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int")
     lo = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)).cast("int")
@@ -128,33 +129,31 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_R
     place, bounds = blocks_of(cells, block_rows)
     blocks = len(bounds)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partners = {}
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             his, los = half_counts(fp.view(np.uint64))
             first = np.array([place[c] for c in zip(his.tolist(), los.tolist(), strict=True)], np.int64).reshape(-1, 2)
             block = first[:, 0] + (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % np.maximum(1, first[:, 1])
-            for k in np.unique(block).tolist():
-                if k not in partners:
-                    partners[k] = np.flatnonzero(gap(bounds[k], bounds) <= radius)
-                rows = fp[block == k]
-                for p in partners[k].tolist():
-                    n = rows.size
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, min(k, p) * blocks + max(k, p))), pa.array(np.full(n, k > p)), pa.array(rows)], ["pair", "second", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0)], ["block", "fp"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        return pa.table({"block": rows.column("block")[:1], "fps": [rows.column("fp").to_numpy().tobytes()]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for p in np.flatnonzero(gap(bounds[k], bounds) <= radius).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([min(k, p) * blocks + max(k, p)]), pa.array([k > p]), pa.array([fps.as_py()])], ["pair", "second", "fps"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        fp = rows.column("fp").to_numpy().view(np.uint64)
-        second = rows.column("second").to_numpy()
-        one, two = fp[~second], fp[second]
-        if key[0].as_py() // blocks != key[0].as_py() % blocks and not (one.size and two.size):
-            a = b = np.zeros(0, np.uint64)
-        else:
-            a, b = linked(one, two if two.size else None, radius)
+        sides = {s: np.frombuffer(f, np.uint64) for s, f in zip(rows.column("second").to_pylist(), rows.column("fps").to_pylist(), strict=True)}
+        alone = key[0].as_py() // blocks == key[0].as_py() % blocks
+        a, b = linked(sides[False], sides.get(True), radius) if alone or len(sides) == 2 else (np.zeros(0, np.uint64),) * 2
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "pair long, second boolean, fp long")
-    return dealt.groupBy("pair").applyInArrow(meet, "a long, b long")
+    packed = fps.select("fp").mapInArrow(place_rows, "block long, fp long").groupBy("block").applyInArrow(pack, "block long, fps binary")
+    return packed.mapInArrow(deal, "pair long, second boolean, fps binary").groupBy("pair").applyInArrow(meet, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
