@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.common import table
 from trawl.llm.embeddings import near_vectors
+from trawl.llm.packing import pack
 from trawl.llm.sharding import reshard
 from trawl.llm.simhash import simhash_groups
 
@@ -24,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -31,6 +37,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_sharding": op4_sharding,
+    "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
 }
 
