@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import table
 from trawl.llm.embeddings import near_vectors
+from trawl.llm.html import extract
 from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
 from trawl.llm.sharding import reshard
@@ -27,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,6 +47,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_sharding": op4_sharding,
+    "op5_html_extraction": op5_html_extraction,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
