@@ -21,6 +21,11 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` (pinned, narrow rows) with a broadcast hint if it has at most ``most_rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import pin
+from trawl.llm.common import broadcast_if, pin
 
 MIN_WORDS = 8
 #: Rows of candidate lines (24 bytes each) that may be broadcast to fetch their words.
@@ -66,7 +66,7 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     keys = first.select("d", "t", "p", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     asked = pin(keys.join(shared, "key").groupBy(F.col("d").alias("ad"), F.col("t").alias("at")).agg(F.collect_set("p").alias("places")))
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    wanted = broadcast_if(asked, BROADCAST_ROWS)
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")).join(wanted, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("t") == F.col("at")))
     held = text.select(F.col("doc_id").alias("d"), "t", F.explode("places").alias("p"), "lines").select("d", "t", "p", words(F.col("lines")[F.col("p")]).alias("w")).dropDuplicates(["d", "t", "p"])
     held = pin(held.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n")))

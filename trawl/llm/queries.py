@@ -13,6 +13,7 @@ from trawl.llm.embeddings import near_vectors
 from trawl.llm.html import extract
 from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
+from trawl.llm.quality import judge
 from trawl.llm.sharding import reshard
 from trawl.llm.simhash import simhash_groups
 
@@ -21,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "cut", "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shards hold whole sources, as a crawl leaves them, so they are far from equal."""
     old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(16))
@@ -46,6 +52,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_html_extraction": op5_html_extraction,
     "op8_line_dedup": op8_line_dedup,
