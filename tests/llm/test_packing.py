@@ -12,7 +12,7 @@ from trawl.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
-    "", "a", " lead", "trail ", "two  spaces", "tab\tand\nline \n x", "don't we'll I'M", "ünï çödé ñ 中文 🙂 é", "<|endoftext|> in text", "a <|startoftext|>b", "x y z", "\x1c\x1d a\x85b", "A" * 300, "ΣΊΣΥΦΟΣ İstanbul ǅ", "1234 56a7 $$$ ###!!", "\n\n a\n", "q ́w",
+    "", "a", " lead", "trail ", "two  spaces", "tab\tand\nline \n x", "don't we'll I'M", "ünï çödé ñ 中文 🙂 é", "<|endoftext|> in text", "a <|startoftext|>b", "x y z", "\x1c\x1d a\x85b", "A" * 300, "ΣΊΣΥΦΟΣ İstanbul ǅ", "1234 56a7 $$$ ###!!", "\n\n a\n", "a\nb.\nc, d\n\te", "x \ny", "l\n", "Ünd,\nÉt. ß.. ...", "q ́w",
 ]
 
 

@@ -7,17 +7,20 @@ from functools import cache
 import numpy as np
 
 #: Distinct words whose ids one Python worker keeps; at the limit it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 800_000
+WORDS_AT_ONCE = 4000
+CLOSING = ".,"
 
 
 class Encoder:
     """Encodes texts as the tokenizer file does, word by word.
 
-    Both files used here cut a text before any single space that stands between
-    non-space characters, and nothing crosses such a cut, so the ids of a text are
-    those of its pieces ``word``, `` word``, ... in order. Texts with doubled,
-    leading or trailing spaces, or that hold a special token's string, go to the
-    tokenizer whole.
+    Both files used here cut a text before a single space or line end that stands
+    between other characters, and nothing crosses such a cut. So the ids of a text
+    are those of its pieces in order: `` word`` after a space, ``\\nword`` after a
+    line end. Letters with a closing mark cut once more, before the mark. Texts
+    with other white space at the cuts, or with a special token's string, go to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
@@ -27,27 +30,56 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept_words = kept_words
         self.known: dict[str, bytes] = {}
+        self.marks = {m: self.whole(m) for m in CLOSING}
+        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def letters(self, words: list[str], between: str) -> list[bytes]:
+        """The ids of words of letters only, each after ``between``, from one call over all of them."""
+        made = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            joined = self.tokenizer.encode(between.join(["", *some]), add_special_tokens=False)
+            ids, of = np.array(joined.ids, "<u4"), np.array(joined.word_ids)
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), ids.size]
+            raw = ids.tobytes()
+            parts = [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            if len(parts) == 2 * len(some) and between == "\n":  # the line ends are pieces too
+                parts = [self.line_end + p for p in parts[1::2]]
+            made += parts if len(parts) == len(some) else [self.whole(between + w) for w in some]
+        return made
+
+    def learn(self, keys: set[str]) -> None:
+        """Adds the ids of ``keys``: words, with a line end before those that begin a line."""
+        known, bases = self.known, {}
+        for k in keys:
+            if k[-1:] in self.marks and k[:-1].removeprefix("\n").isalpha():
+                bases[k] = k[:-1]
+        wanted = [k for k in {*(keys - bases.keys()), *bases.values()} if k not in known]
+        plain = [k for k in wanted if k.isalpha()]
+        first = [k for k in wanted if k[:1] == "\n" and k[1:].isalpha()]
+        rest = list({*wanted}.difference(plain, first))
+        known.update(zip(plain, self.letters(plain, " "), strict=True))
+        known.update(zip(first, self.letters([k[1:] for k in first], "\n"), strict=True))
+        encoded = self.tokenizer.encode_batch_fast([k if k[:1] == "\n" else f" {k}" for k in rest], add_special_tokens=False)
+        known.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, encoded, strict=True))
+        known.update((k, known[b] + self.marks[k[-1]]) for k, b in bases.items())
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = []
         for text in texts:
-            if "  " in text or text[:1] == " " or text[-1:] == " " or any(s in text for s in self.special):
+            keys = text.replace("\n", " \n").split(" ")
+            if text[:1] in ("", " ", "\n") or "" in keys or "\n" in keys or any(s in text for s in self.special):
                 cut.append(None)
             else:
-                first, *rest = text.split(" ")
-                cut.append((first, rest))
+                cut.append((keys[0], keys[1:]))
         if len(self.known) > self.kept_words:
             self.known.clear()
-        known = self.known
-        missing = list({w for c in cut if c for w in c[1] if w not in known})
-        if missing:
-            encoded = self.tokenizer.encode_batch_fast([f" {w}" for w in missing], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, encoded, strict=True))
-        return [self.whole(t) if c is None else self.whole(c[0]) + b"".join(map(known.__getitem__, c[1])) for t, c in zip(texts, cut, strict=True)]
+        self.learn({k for c in cut if c for k in c[1] if k not in self.known})
+        return [self.whole(t) if c is None else self.whole(c[0]) + b"".join(map(self.known.__getitem__, c[1])) for t, c in zip(texts, cut, strict=True)]
 
 
 @cache
