@@ -16,12 +16,18 @@ from trawl.llm.packing import pack
 from trawl.llm.quality import judge
 from trawl.llm.sharding import reshard
 from trawl.llm.simhash import simhash_groups
+from trawl.llm.toxicity import toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "perplexity", "cut", "kept")
@@ -52,6 +58,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_html_extraction": op5_html_extraction,
