@@ -9,8 +9,8 @@ space as one space.
 
 Equal lines meet by a 128-bit hash in a partial aggregation, so a line that fills
 a third of all rows costs one row per task. A near line shares its first or last
-words with its partner; only distinct lines that share such a half with another
-distinct line emit variants. Each of them emits every one-word deletion and itself
+words with its partner, and all but one of ``CUTS`` sections; only distinct lines that share
+such a half, then such sections, with another distinct line emit variants. Each of them emits every one-word deletion and itself
 as hashed keys, a rolling exclusive-or of position-bound word hashes, so
 a line of n words costs n rows however long it is. Equal variants meet their earliest
 holder, never each other, and the words decide.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from trawl.llm.common import broadcast_if, pin
 
 MIN_WORDS = 8
+#: Sections of a line; an edit lies in one of them and leaves the words before and after it.
+CUTS = 8
 #: Rows of candidate lines (24 bytes each) that may be broadcast to fetch their words.
 BROADCAST_ROWS = 1_000_000
 
@@ -57,6 +59,19 @@ def marked_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return lines.where(~F.col("line").rlike(r"^\s*$")).select("d", "t", "p", F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2"), *(x.alias(f"k{i}") for i, x in enumerate(keys)))
 
 
+def section_keys(w: Column, n: Column) -> Column:
+    """For the shorter of a pair having n or n - 1 words: hashes of what stands around each section."""
+
+    def around(m: Column) -> Column:
+        def key(j: Column) -> Column:
+            before, after = F.floor(j * m / CUTS).cast("int"), m - F.floor((j + 1) * m / CUTS).cast("int")
+            return F.xxhash64(m, j, F.slice(w, F.lit(1), before), F.slice(w, n - after + 1, after))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), key)
+
+    return F.concat(around(n), around(n - 1))
+
+
 def lead(*names: str) -> Column:
     return F.struct(*names)
 
@@ -70,6 +85,9 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")).join(wanted, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("t") == F.col("at")))
     held = text.select(F.col("doc_id").alias("d"), "t", F.explode("places").alias("p"), "lines").select("d", "t", "p", words(F.col("lines")[F.col("p")]).alias("w")).dropDuplicates(["d", "t", "p"])
     held = pin(held.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n")))
+    around = held.select("at", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key")).distinct()
+    close = around.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    held = pin(held.join(around.join(close, "key").select("at").distinct(), "at"))
     bound = held.select("at", "n", F.posexplode("w").alias("i", "word")).select("at", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
     line = Window.partitionBy("at").orderBy("i")
     zero = F.lit(0).cast("long")

@@ -43,7 +43,7 @@ WORD = re.compile(r"\w+")
 #: Second-person words of the table's languages, and signs that stand for letters.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros os".split())
 LEET = str.maketrans("013457@$!|€", "oieastasile")
-DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|€*._-])[\w@$!|€*.\-]{3,40}")
+DISGUISED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|€*])[\w@$!|€*]{3,40}")
 APART = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,20}[^\W\d_](?!\w)")
 FEATURES = ("words", "hits", "density", "strong", "strong_density", "mass", "top", "near_second", "second", "capitals", "shouted", "bangs", "punctuation", "disguised", "disguised_hits")
 
@@ -82,8 +82,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     bangs, marks = text.count("!") + text.count("?"), len(re.findall(r"[^\w\s]", text))
     disguised = disguised_hits = 0
     for found in DISGUISED.findall(text):
-        plain = re.sub(r"[*.\-_]", "", found.lower().translate(LEET))
-        raw = found.lower().strip("!.-*_")
+        plain = re.sub(r"[*_]", "", found.lower().translate(LEET))
+        raw = found.lower().strip("!*_")
         if plain != raw and plain.isalpha():
             disguised += 1
             disguised_hits += lexicon[plain] >= STRONG_ODDS and not any(lexicon[w] >= STRONG_ODDS for w in WORD.findall(raw))
