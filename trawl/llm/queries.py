@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.common import table
+from trawl.llm.decontaminate import leaks
 from trawl.llm.embeddings import near_vectors
 from trawl.llm.html import extract
 from trawl.llm.linededup import dedup_lines
@@ -44,6 +45,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_html_extraction": op5_html_extraction,
+    "op6_decontamination": op6_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
