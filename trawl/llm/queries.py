@@ -17,6 +17,7 @@ from trawl.llm.packing import pack
 from trawl.llm.quality import judge
 from trawl.llm.sharding import reshard
 from trawl.llm.simhash import simhash_groups
+from trawl.llm.tokenfile import token_digest
 from trawl.llm.toxicity import toxicity
 
 
@@ -49,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_html_extraction": op5_html_extraction,
     "op6_decontamination": op6_decontamination,
+    "op7_token_output": op7_token_output,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
