@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trawl.functions import rules
 
@@ -77,7 +78,7 @@ def invisible_count(text: Column) -> Column:
 _ESCAPE = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """Text with ``\\xNN`` and ``\\uNNNN`` as characters; SQL has no replacement by a function. Paired surrogates join, lone ones become U+FFFD."""
 
@@ -120,7 +121,7 @@ def expand_script(text: str, most: int = 200, passes: int = 3) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def expand_script_vars(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
         yield texts.map(lambda t: None if t is None else expand_script(t))
