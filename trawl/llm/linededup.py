@@ -87,24 +87,26 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     held = pin(held.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n")))
     around = held.select("at", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key")).distinct()
     close = around.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    held = pin(held.join(around.join(close, "key").select("at").distinct(), "at"))
-    bound = held.select("at", "n", F.posexplode("w").alias("i", "word")).select("at", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("at").orderBy("i")
+    held = held.join(around.join(close, "key").select("at").distinct(), "at")
+    held = pin(held.orderBy("at").withColumn("id", F.monotonically_increasing_id()))  # ids in the order of places
+    bound = held.select("id", "n", F.posexplode("w").alias("i", "word")).select("id", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("id").orderBy("i")
     zero = F.lit(0).cast("long")
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), zero)
     after = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(1, Window.unboundedFollowing)), zero)
-    less = bound.select("at", "n", "i", before.bitwiseXOR(after).alias("key"))
-    whole = bound.groupBy("at", "n").agg(F.bit_xor("here").alias("key"))
+    less = bound.select("id", "n", "i", before.bitwiseXOR(after).alias("key"))
+    whole = bound.groupBy("id", "n").agg(F.bit_xor("here").alias("key"))
+    changed, longer, shorter = (F.lit(k).cast("byte") for k in range(3))
     variants = pin(
-        less.select("at", F.lit("changed").alias("role"), "n", "i", "key")
-        .unionByName(less.select("at", F.lit("longer").alias("role"), (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), "key"))
-        .unionByName(whole.select("at", F.lit("shorter").alias("role"), "n", F.lit(-1).alias("i"), "key"))
+        less.select("id", changed.alias("role"), "n", "i", "key")
+        .unionByName(less.select("id", longer.alias("role"), (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), "key"))
+        .unionByName(whole.select("id", shorter.alias("role"), "n", F.lit(-1).alias("i"), "key"))
     )
     bucket = ["n", "i", "key"]
-    leads = variants.groupBy(*bucket).agg(*(F.min(F.when(F.col("role") == r, F.col("at"))).alias(r) for r in ("changed", "longer", "shorter")))
-    other = F.when(F.col("role") == "changed", F.col("changed")).when(F.col("role") == "longer", F.col("shorter")).otherwise(F.col("longer"))
-    pairs = variants.join(leads, bucket).select("at", other.alias("earlier")).where("earlier < at").distinct()
-    a, b = held.select("at", F.col("w").alias("a")), held.select(F.col("at").alias("earlier"), F.col("w").alias("b"))
+    leads = variants.groupBy(*bucket).agg(*(F.min(F.when(F.col("role") == r, F.col("id"))).alias(name) for name, r in (("changed", changed), ("longer", longer), ("shorter", shorter))))
+    other = F.when(F.col("role") == changed, F.col("changed")).when(F.col("role") == longer, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = variants.join(leads, bucket).select("id", other.alias("earlier")).where("earlier < id").distinct()
+    a, b = held.select("id", "at", F.col("w").alias("a")), held.select(F.col("id").alias("earlier"), F.col("w").alias("b"))
     least = F.least(F.size("a"), F.size("b"))
 
     def agree(x: Column, y: Column) -> Column:
@@ -113,7 +115,7 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
 
     edits_fit = agree(F.col("a"), F.col("b")) + agree(F.reverse("a"), F.reverse("b")) >= F.greatest(F.size("a"), F.size("b")) - 1
     sized = (F.size("a") >= min_words) & (F.size("b") >= min_words)
-    return pairs.join(a, "at").join(b, "earlier").where(edits_fit & sized).select("at.*").distinct()
+    return pairs.join(a, "id").join(b, "earlier").where(edits_fit & sized).select("at.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
