@@ -15,7 +15,7 @@ from trawl.functions import rules
 
 def hit(text: Column, pattern: str) -> Column:
     """Does the pattern match? False for null."""
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    return F.coalesce(text.rlike(rules.ascii_bounds(pattern)), F.lit(False))
 
 
 def clip(text: Column, n: int) -> Column:
@@ -58,7 +58,7 @@ def decode_layers(text: Column) -> Column:
     runs = F.transform(F.slice(F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9+/]{24,}={0,2})")), 1, 16), from_base64)
     runs = F.filter(runs, lambda x: is_printable(x) & (F.length(x) > 8))
     url = F.try_url_decode(t)
-    run = F.regexp_extract(t, r"\b([0-9a-fA-F]{32,})\b", 1)
+    run = F.regexp_extract(t, rules.ascii_bounds(r"\b([0-9a-fA-F]{32,})\b"), 1)
     even = F.substring(run, F.lit(1), F.length(run) - F.length(run) % 2)
     hexed = F.when(F.length(run) > 0, F.make_valid_utf8(F.try_to_binary(even, F.lit("hex")).cast("string")))
     first = F.when(is_printable(whole), whole)
@@ -93,7 +93,7 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 def deobfuscate(text: Column) -> Column:
     """The text, its escapes decoded, and up to 60 readable base64 runs, one under the other."""
-    escaped = F.when(text.rlike(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"), unescape(text)).otherwise(text)
+    escaped = F.coalesce(unescape(F.when(text.rlike(r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"), text)), text)
     runs = F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{40,}={0,2})")), 1, 60), from_base64)
     readable = F.filter(runs, lambda d: d.rlike("[a-zA-Z]{4}") & (F.length(F.regexp_replace(d, r"[^\x20-\x7e]", "")) > F.length(d) * 0.7))
     return F.array_join(F.concat(F.array(text, escaped), readable), "\n")
@@ -129,13 +129,13 @@ def expand_script_vars(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def is_cradle(command: Column) -> Column:
     """One command that names a downloader, names a remote payload, and runs what it fetched."""
-    stripped = F.regexp_replace(command, rules.TOOL_IMAGES, "")
-    return F.coalesce((F.length(command) <= 4000) & command.rlike(rules.LOLBIN) & command.rlike(rules.EXEC_CHAIN) & stripped.rlike(rules.PAYLOAD), F.lit(False))
+    stripped = F.regexp_replace(command, rules.ascii_bounds(rules.TOOL_IMAGES), "")
+    return (F.length(command) <= 4000) & hit(command, rules.LOLBIN) & hit(command, rules.EXEC_CHAIN) & hit(stripped, rules.PAYLOAD)
 
 
 def has_untrusted_binary(text: Column) -> Column:
     """A URL of an executable on a host that distributes none."""
-    hosts = F.regexp_extract_all(text, F.lit(rules.REMOTE_BINARY), F.lit(1))
+    hosts = F.regexp_extract_all(text, F.lit(rules.ascii_bounds(rules.REMOTE_BINARY)), F.lit(1))
     return F.coalesce(F.exists(hosts, lambda h: ~h.rlike(rules.TRUSTED_HOST)), F.lit(False))
 
 

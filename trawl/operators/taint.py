@@ -15,7 +15,7 @@ def path_categories(path: Column) -> Column:
 
 def content_secrets(text: Column) -> Column:
     """``array<struct(category, severity, raw)>``: the first match of each content rule, in rule order."""
-    one = lambda s: F.when(hit(text, s.content), F.struct(F.lit(s.category).alias("category"), F.lit(s.severity).alias("severity"), F.regexp_extract(text, f"({s.content})", 1).alias("raw")))
+    one = lambda s: F.when(hit(text, s.content), F.struct(F.lit(s.category).alias("category"), F.lit(s.severity).alias("severity"), F.regexp_extract(text, rules.ascii_bounds(f"({s.content})"), 1).alias("raw")))
     return F.filter(F.array(*(one(s) for s in rules.SECRETS if s.content)), lambda x: x.isNotNull())
 
 

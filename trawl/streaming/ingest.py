@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 100, format: str = "parquet") -> DataFrame:  # noqa: A002
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).format(format).load(path)
+def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 100, format: str = "parquet", **options: str) -> DataFrame:  # noqa: A002
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).options(**options).format(format).load(path)
 
 
 def append_results(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, format: str = "parquet") -> StreamingQuery:  # noqa: A002
