@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,13 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: lineage is cut as by ``pin``, in compressed columns."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` (pinned, narrow rows) with a broadcast hint if it has at most ``most_rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= most_rows else df

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import broadcast_if, pin
+from trawl.llm.common import broadcast_if, pin, stored
 
 MIN_WORDS = 8
 #: Sections of a line; an edit lies in one of them and leaves the words before and after it.
@@ -80,32 +80,39 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """Of the distinct lines in ``first``, the places ``(d, t, p)`` of those near an earlier one."""
     keys = first.select("d", "t", "p", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    asked = pin(keys.join(shared, "key").groupBy(F.col("d").alias("ad"), F.col("t").alias("at")).agg(F.collect_set("p").alias("places")))
+    asked = stored(keys.join(shared, "key").groupBy(F.col("d").alias("ad"), F.col("t").alias("at")).agg(F.collect_set("p").alias("places")))
     wanted = broadcast_if(asked, BROADCAST_ROWS)
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")).join(wanted, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("t") == F.col("at")))
-    held = text.select(F.col("doc_id").alias("d"), "t", F.explode("places").alias("p"), "lines").select("d", "t", "p", words(F.col("lines")[F.col("p")]).alias("w")).dropDuplicates(["d", "t", "p"])
-    held = pin(held.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n")))
-    around = held.select("at", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key")).distinct()
+    found = text.select(F.col("doc_id").alias("d"), "t", F.explode("places").alias("p"), "lines").select("d", "t", "p", words(F.col("lines")[F.col("p")]).alias("w")).dropDuplicates(["d", "t", "p"])
+    found = stored(found.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n"), F.monotonically_increasing_id().alias("k")))
+    around = found.select("k", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key"))  # a line's keys differ: they hold its section
     close = around.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    held = held.join(around.join(close, "key").select("at").distinct(), "at")
-    held = pin(held.orderBy("at").withColumn("id", F.monotonically_increasing_id()))  # ids in the order of places
-    bound = held.select("id", "n", F.posexplode("w").alias("i", "word")).select("id", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("id").orderBy("i")
+    found = found.join(around.join(close, "key").select("k").distinct(), "k").select("at", "w", "n")
+    # ids in the order of places; the checkpoint stays ranged by place, so that the windows below need no shuffle
+    held = pin(found.orderBy("at").withColumn("id", F.monotonically_increasing_id()))
+    bound = held.select("at", "id", "n", F.posexplode("w").alias("i", "word")).select("at", "id", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("at").orderBy("i")
     zero = F.lit(0).cast("long")
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), zero)
     after = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(1, Window.unboundedFollowing)), zero)
-    less = bound.select("id", "n", "i", before.bitwiseXOR(after).alias("key"))
-    whole = bound.groupBy("id", "n").agg(F.bit_xor("here").alias("key"))
-    changed, longer, shorter = (F.lit(k).cast("byte") for k in range(3))
-    variants = pin(
-        less.select("id", changed.alias("role"), "n", "i", "key")
-        .unionByName(less.select("id", longer.alias("role"), (F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), "key"))
-        .unionByName(whole.select("id", shorter.alias("role"), "n", F.lit(-1).alias("i"), "key"))
-    )
-    bucket = ["n", "i", "key"]
-    leads = variants.groupBy(*bucket).agg(*(F.min(F.when(F.col("role") == r, F.col("id"))).alias(name) for name, r in (("changed", changed), ("longer", longer), ("shorter", shorter))))
-    other = F.when(F.col("role") == changed, F.col("changed")).when(F.col("role") == longer, F.col("shorter")).otherwise(F.col("longer"))
-    pairs = variants.join(leads, bucket).select("id", other.alias("earlier")).where("earlier < id").distinct()
+    changed, longer, shorter = range(3)
+
+    def variant(role: int, n: Column, i: Column, key: Column) -> Column:
+        """Who emits it in which role, the words and position it is bound to, and its hash."""
+        spot = F.shiftleft(n.cast("long"), 32) + i + 1
+        return F.struct((F.shiftleft("id", 2) + role).alias("who"), spot.alias("spot"), key.alias("key"))
+
+    n, i, nowhere = F.col("n"), F.col("i"), F.lit(-1)
+    without = F.array(variant(changed, n, i, F.col("less")), variant(longer, n - 1, nowhere, F.col("less")))
+    whole = F.array(variant(shorter, n, nowhere, F.col("before").bitwiseXOR(F.col("here"))))
+    walked = bound.select("id", "n", "i", "here", before.alias("before"), after.alias("after")).withColumn("less", F.col("before").bitwiseXOR(F.col("after")))
+    variants = stored(walked.select(F.explode(F.when(i == n - 1, F.concat(without, whole)).otherwise(without)).alias("v")).select("v.*"))
+    bucket = ["spot", "key"]
+    role, ident = F.col("who").bitwiseAND(F.lit(3).cast("long")), F.shiftright("who", 2)
+    named = [(changed, "changed"), (longer, "longer"), (shorter, "shorter")]
+    leads = variants.groupBy(*bucket).agg(F.count("*").alias("rows"), *(F.min(F.when(role == r, ident)).alias(name) for r, name in named)).where("rows > 1").drop("rows")
+    other = F.when(role == changed, F.col("changed")).when(role == longer, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = variants.join(leads, bucket).select(ident.alias("id"), other.alias("earlier")).where("earlier < id").distinct()
     a, b = held.select("id", "at", F.col("w").alias("a")), held.select(F.col("id").alias("earlier"), F.col("w").alias("b"))
     least = F.least(F.size("a"), F.size("b"))
 
@@ -121,7 +128,7 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, plus ``n_lines`` and ``n_kept``."""
     marked = marked_lines(docs, min_words)
-    first = pin(marked.groupBy("h1", "h2").agg(F.min(lead("d", "t", "p")).alias("at"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))).select("at.*", "k0", "k1", "k2", "k3"))
+    first = stored(marked.groupBy("h1", "h2").agg(F.min(lead("d", "t", "p")).alias("at"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))).select("at.*", "k0", "k1", "k2", "k3"))
     near = near_lines(first, docs, min_words)
     place = ["d", "t", "p"]
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in place]
