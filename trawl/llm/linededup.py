@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import broadcast_if, pin, stored
+from trawl.llm.common import broadcast_if, stored
 
 MIN_WORDS = 8
 #: Sections of a line; an edit lies in one of them and leaves the words before and after it.
@@ -88,10 +88,9 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     around = found.select("k", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key"))  # a line's keys differ: they hold its section
     close = around.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     found = found.join(around.join(close, "key").select("k").distinct(), "k").select("at", "w", "n")
-    # ids in the order of places; the checkpoint stays ranged by place, so that the windows below need no shuffle
-    held = pin(found.orderBy("at").withColumn("id", F.monotonically_increasing_id()))
-    bound = held.select("at", "id", "n", F.posexplode("w").alias("i", "word")).select("at", "id", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("at").orderBy("i")
+    held = stored(found.orderBy("at").withColumn("id", F.monotonically_increasing_id()))  # ids in the order of places
+    bound = held.select("id", "n", F.posexplode("w").alias("i", "word")).select("id", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("id").orderBy("i")
     zero = F.lit(0).cast("long")
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), zero)
     after = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(1, Window.unboundedFollowing)), zero)
