@@ -55,7 +55,7 @@ def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -
         found(~app & path.rlike(JS) & (F.length(raw) <= 200 * 1024) & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
     ]
     shown = files.withColumn("text", deobfuscate(F.col("content"))).withColumn("expanded", expand_script_vars(F.when(script, F.col("text"))))
-    told = shown.select("sample_key", "path", F.explode(F.filter(F.array(*tests), lambda f: f.isNotNull())).alias("f"))
+    told = shown.select("sample_key", "path", F.explode_outer(F.filter(F.array(*tests), lambda f: f.isNotNull())).alias("f")).where("f IS NOT NULL")  # outer: no second pass to filter empty arrays
     return told.select("sample_key", "f.points", "f.reason", F.col("path").alias("file"), "f.detail", "f.tier")
 
 
