@@ -1,9 +1,10 @@
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from trawl.llm.quality import ALPHABET, judge, train
+from trawl.llm.quality import ALPHABET, BEGIN, END, WORD, grams, judge, perplexities, train, train_words
 
 SCHEMA = "doc_id long, text string, lang string, cut string, of int"
 
@@ -69,3 +70,57 @@ def test_defined_results(spark):
     assert [(r.doc_id, r.perplexity is None, r.kept) for r in judge(docs, labels).orderBy("doc_id").collect()] == [(1, True, True), (2, True, True), (3, False, True), (3, False, True)]
     assert all(r.kept for r in judge(docs, labels.limit(0)).collect())
     assert judge(docs.limit(0), labels).collect() == []
+
+
+def test_words_equal_definition(spark):
+    texts = ["the cat sat on the mat . the cat sat", "the dog sat on the cat", "a dog , a cat , a mat", "the the the"]
+    asked = [*texts, "the cat sat on a zebra", "mat mat dog the cat", "unseen words only"]
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string")
+    logs = train(trusted)
+    read = lambda t: [BEGIN, BEGIN, *WORD.findall(t), END]
+    counts = {3: Counter(tuple(w[i : i + 3]) for w in map(read, texts) for i in range(len(w) - 2))}
+    for n in (2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def off(n, c):
+        a, b, d, e = (sum(v == k for v in counts[n].values()) for k in range(1, 5))
+        y = a / (a + 2 * b) if a and b else 0.5
+        raw = [k - (k + 1) * y * q / p if p and q else k * 0.5 for k, p, q in ((1, a, b), (2, b, d), (3, d, e))]
+        return min(max(raw[min(c, 3) - 1], 0.1), min(c, 3) - 0.05) if c else 0
+
+    def p(g):
+        if not g:
+            raise AssertionError
+        low = p(g[1:]) if len(g) > 1 else math.exp(float(logs[grams("\n")][0]) if g[0] == END else float(logs[grams(g[0] + " ")].sum()))
+        after = [c for k, c in counts[len(g)].items() if k[:-1] == g[:-1]]
+        if not after:
+            return low
+        c = counts[len(g)][g]
+        return (c - off(len(g), c)) / sum(after) + sum(off(len(g), k) for k in after) / sum(after) * low
+
+    keyed = spark.createDataFrame(list(enumerate(asked)), "key long, text string").repartition(3)
+    got = {r.key: r.perplexity for r in perplexities(keyed, train_words(trusted, logs), logs).collect()}
+    for k, t in enumerate(asked):
+        w = read(t)
+        own = [math.log(p(tuple(w[i : i + 3]))) for i in range(len(w) - 2)]
+        assert math.isclose(got[k], math.exp(-sum(own) / len(own)), rel_tol=1e-4)
+
+
+def test_word_order_counts(spark):
+    rng = random.Random(1)
+    words = [a + b for a in ("ba", "le", "ti", "mo", "su", "ra") for b in ("n", "ker", "dal", "sto", "vi")]
+    follow = {w: rng.sample(words, 2) for w in words}
+
+    def text():
+        made = [rng.choice(words)]
+        while len(made) < 150:
+            made.append(rng.choice(follow[made[-1]]))
+        return made
+
+    good = [text() for _ in range(240)]
+    rows = [(k, " ".join(w), "en", "x", 1) for k, w in enumerate(good)]
+    rows += [(1000 + k, " ".join(rng.sample(w, len(w))), "en", "x", 1) for k, w in enumerate(good[:40])]
+    rows += [(2000 + k, " ".join(text()), "en", "x", 1) for k in range(40)]
+    labels = spark.createDataFrame([(k, 1) for k in range(240)], "doc_id long, quality int")
+    kept = Counter(r.doc_id // 1000 for r in judge(spark.createDataFrame(rows, SCHEMA), labels).where("kept").collect())
+    assert kept[1] == 0 and kept[2] >= 36

@@ -1,18 +1,17 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of characters.
-
-The model is trained on trusted text: documents labelled of good quality. Text is
-read in 32 symbols (letters without case and accents, digit, space, line end,
-sentence marks, other signs, other letters), so there are at most 32^4 four-grams
-however large the corpus. Tasks count four-grams, counts are summed and joined shard by shard on their contexts and
-suffixes into continuation counts, discounts and back-off weights, and the result
-is one table with a proven bound: a log probability for each of the 32^4
-four-grams, 4 MB. With it every document is scored where it lies; a
-shuffle of all (document, n-gram) pairs, many times the corpus, would give the same sums.
-
-A document is rejected if its perplexity exceeds its language's cut: a
-quantile of the trusted documents of that language, times ``slack``, and wider for short texts,
-whose mean over n symbols strays by about 1 / sqrt(n). A language
-without trusted documents takes the cut of all trusted documents.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word trigrams.
+
+The model is trained on trusted text: documents labelled of good quality. It holds
+every word n-gram up to three words of that text, so it grows with the input; below single words
+stands a model of characters (32 symbols, four-grams, a table of 4 MB) that spells words never seen. An n-gram is a 48-bit hash.
+
+In its back-off form a log probability is a sum: what the spelling gives, plus a weight for each
+seen n-gram that ends at the word or stands before it. So tasks reduce documents to their distinct
+n-grams with counts, packed by hash shard; these meet the model's shard, where the
+weights are added up, and a document's perplexity follows from its sums. No task holds more than one shard of the model.
+
+A document is rejected if its perplexity exceeds the cut of its language and length (by powers of
+two): a quantile of trusted documents that the model was not trained on, a ``HELD`` th of all.
+With fewer than ``LEAST`` of these the cut is that of the length, of the language, or of all.
 
 Defined results: a null or empty text has no perplexity and is kept; without any trusted
 document all are kept; a null language is a language of its own; repeated labels count once;
@@ -22,24 +21,32 @@ like the results are replaced.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import broadcast_if, pin
+from trawl.llm.common import broadcast_if, pin, stored
 
 BITS, ORDER = 5, 4
 SYMBOLS = 1 << BITS
 DIGIT, SPACE, LINE, MARK, SIGN, OTHER = range(26, 32)
 TRUSTED_QUANTILE = 0.99
-SLACK = 1.15
-SHORT = 2.0
-#: Ids of trusted documents (8 bytes each) that may be broadcast.
+HELD = 4
+LEAST = 100
+#: Words; a sign and a letter of a script without spaces stand alone.
+WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]")
+BEGIN, END = 1, 2
+SHARD_BITS = 6
+#: N-grams reduced and packed at once, and words whose hash and spelling a task remembers.
+GRAMS_AT_ONCE = 1 << 20
+WORDS_HELD = 1 << 18
+#: Ids of trusted documents, or documents' perplexities, that may be broadcast.
 BROADCAST_ROWS = 4_000_000
 BROADCAST_LANGS = 100_000
 
@@ -71,17 +78,22 @@ def grams(text: str) -> np.ndarray:
     return sum(s[k : k + n] << BITS * (ORDER - 1 - k) for k in range(ORDER))
 
 
+def discounts(counts: DataFrame) -> Column:
+    """What the modified Kneser-Ney estimate takes off each count ``n``."""
+    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("n") == k) for k in range(1, 5))).first()
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    rates = [k - (k + 1) * y * b / a if a and b else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    rates = [min(max(r, 0.1), k - 0.05) for k, r in enumerate(rates, 1)]
+    return F.when(F.col("n") == 1, rates[0]).when(F.col("n") == 2, rates[1]).otherwise(rates[2])
+
+
 def discounted(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """One order of the model from ``counts(gram, n)``.
 
     Gives ``(gram, p)`` for the observed grams and ``(context, back)``, the
     weight left to the lower order, whose ``(gram, p)`` are in ``lower``.
     """
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("n") == k) for k in range(1, 5))).first()
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    rates = [k - (k + 1) * y * b / a if a and b else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    rates = [min(max(r, 0.1), k - 0.05) for k, r in enumerate(rates, 1)]
-    off = F.when(F.col("n") == 1, rates[0]).when(F.col("n") == 2, rates[1]).otherwise(rates[2])
+    off = discounts(counts)
     context = F.shiftright("gram", BITS)
     contexts = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("taken")).withColumn("back", F.col("taken") / F.col("total"))
     known = counts.withColumn("context", context).join(contexts, "context")
@@ -120,34 +132,202 @@ def train(trusted: DataFrame) -> np.ndarray:
     return np.log(dense).astype(np.float32)
 
 
-def scorer(spark: SparkSession, logs: np.ndarray):
-    """A column function: text to perplexity, null for empty texts."""
-    shared = spark.sparkContext.broadcast(logs)
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """48-bit hashes of pairs of hashes."""
+    x = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(16)
+
+
+class Words:
+    """Hashes and log probabilities by characters of a text's words."""
+
+    def __init__(self, logs: np.ndarray) -> None:
+        self.logs, self.held = logs, {}
+
+    def look_up(self, word: str) -> tuple[int, float]:
+        if len(self.held) >= WORDS_HELD:
+            self.held.clear()
+        spelt = float(self.logs[grams(word + " ")].sum(dtype=np.float64))
+        found = self.held[word] = xxhash.xxh64_intdigest(word) >> 16, spelt
+        return found
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words between two begins and an end; the end is spelt as a line end."""
+        held = self.held
+        found = [held.get(w) or self.look_up(w) for w in WORD.findall(text.lower())]
+        end = float(self.logs[grams("\n")][0])
+        return np.array([BEGIN, BEGIN, *(h for h, _ in found), END], np.uint64), np.array([*(p for _, p in found), end])
+
+
+def ngram_counts(trusted: DataFrame, logs: np.ndarray) -> DataFrame:
+    """``(gram, context, suffix, middle, last, spelt, n)`` of all word trigrams of ``trusted(text)``, as hashes."""
+    shared = trusted.sparkSession.sparkContext.broadcast(logs)
+    names = ["gram", "context", "suffix", "middle", "last", "spelt", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts, size = Words(shared.value), [], 0
 
-    @F.pandas_udf("double")
-    def perplexity(texts: pd.Series) -> pd.Series:
-        held = shared.value
-        return texts.map(lambda t: float(np.exp(-held[grams(t)].mean(dtype=np.float64))) if t else None).astype("float64")
+        def flush() -> pa.RecordBatch:
+            one, spelt = (np.concatenate(x) for x in zip(*parts, strict=True))
+            two = mix(one[:, :2], one[:, 1:])
+            gram = mix(two[:, 0], one[:, 2])
+            _, at, n = np.unique(gram, return_index=True, return_counts=True)
+            columns = (gram[at], two[at, 0], two[at, 1], one[at, 1], one[at, 2])
+            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(spelt[at]), pa.array(n.astype(np.int64))], names)
+
+        for batch in batches:
+            for text in batch.column(0):
+                h, spelt = words.read(text.as_py())
+                parts.append((np.stack([h[:-2], h[1:-1], h[2:]], axis=1), spelt))
+                size += spelt.size
+                if size >= GRAMS_AT_ONCE // 4:
+                    yield flush()
+                    parts, size = [], 0
+        if parts:
+            yield flush()
+
+    rows = trusted.select("text").where("text <> ''").mapInArrow(run, "gram long, context long, suffix long, middle long, last long, spelt double, n long")
+    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in names[1:6]), F.sum("n").alias("n"))
+
+
+def train_words(trusted: DataFrame, logs: np.ndarray) -> DataFrame:
+    """``(gram, weight)`` of all n-grams of ``trusted(text)``; a seen n-gram adds its weight to a text's log probability.
+
+    Gram 0 stands before every word.
+    """
+    three = stored(ngram_counts(trusted, logs))
+    two = stored(three.groupBy(F.col("suffix").alias("gram")).agg(F.first("middle").alias("context"), F.first("last").alias("suffix"), F.first("spelt").alias("spelt"), F.count("*").alias("n")))
+    one = stored(two.groupBy(F.col("suffix").alias("gram")).agg(F.lit(0).cast("long").alias("context"), F.first("spelt").alias("spelt"), F.count("*").alias("n")))
+    lower, weights = None, []
+    for counts in (one, two, three):
+        off = discounts(counts)
+        contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("taken")).withColumn("back", F.col("taken") / F.col("total"))
+        known = counts.join(contexts, "context")
+        low = F.exp("spelt") if lower is None else F.col("low")
+        if lower is not None:
+            known = known.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
+        lower = stored(known.select("gram", ((F.col("n") - off) / F.col("total") + F.col("back") * low).alias("p"), (F.col("back") * low).alias("unseen")))
+        weights.append(lower.select("gram", F.log(F.col("p") / F.col("unseen")).alias("weight")))
+        weights.append(contexts.select(F.col("context").alias("gram"), F.log("back").alias("weight")))
+    every = weights[0]
+    for more in weights[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("gram").agg(F.sum("weight").alias("weight"))
+
+
+def packed_documents(keyed: DataFrame, logs: np.ndarray) -> DataFrame:
+    """``keyed(key, text)`` as packed rows for each hash shard: its distinct n-grams, their documents and counts."""
+    shared = keyed.sparkSession.sparkContext.broadcast(logs)
+    names = ["shard", "kind", "high", "low", "runs", "doc", "n", "keys", "spelt"]
+    cut = np.arange(1, 1 << SHARD_BITS, dtype=np.uint64) << np.uint64(48 - SHARD_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value)
+        held, keys, lengths, spelt, size = [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)  # by n-gram, then document
+            gram, doc = pairs >> np.uint64(16), (pairs & np.uint64(0xFFFF)).astype(np.uint16)
+            every = np.array(keys, np.int64)
+            rows = [(0, 1, b"", b"", b"", b"", np.array(lengths, np.int64).tobytes(), every.tobytes(), np.array(spelt).tobytes())]
+            ends = [0, *np.searchsorted(gram, cut), gram.size]
+            for shard, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if a < b:
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(gram[a:b]) > 0]))
+                    seen, runs = gram[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint16)
+                    mine, local = np.unique(doc[a:b], return_inverse=True)
+                    fields = ((seen >> np.uint64(32)).astype(np.uint16), seen.astype(np.uint32), runs, local.astype(np.uint16), n[a:b].astype(np.uint32), every[mine])
+                    rows.append((shard, 2, *(f.tobytes() for f in fields), b""))
+            for row in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 7, strict=True)], names)
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, p = words.read(text.as_py())
+                two = mix(h[:-1], h[1:])
+                every = np.concatenate([h[1:], two, mix(two[:-1], h[2:])])
+                held.append(every << np.uint64(16) | np.uint64(len(keys)))
+                keys.append(key)
+                lengths.append(p.size)
+                spelt.append(p.sum())
+                size += every.size
+                if size >= GRAMS_AT_ONCE or len(keys) == 1 << 15:
+                    yield from flush()
+                    held, keys, lengths, spelt, size = [], [], [], [], 0
+        if keys:
+            yield from flush()
+
+    return keyed.mapInArrow(run, "shard int, kind int, high binary, low binary, runs binary, doc binary, n binary, keys binary, spelt binary")
+
+
+def perplexities(keyed: DataFrame, model: DataFrame, logs: np.ndarray) -> DataFrame:
+    """``(key, perplexity)``, one row for each key of ``keyed(key, text)``; equal keys have equal texts."""
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("runs", "doc", "n", "keys", "spelt")]
+
+    def pack(rows: pa.Table) -> pa.Table:
+        gram, weight = rows.column("gram").to_numpy(), rows.column("weight").to_numpy()
+        order = np.argsort(gram)
+        return pa.table({"shard": rows.column("shard")[:1], "high": [gram[order].tobytes()], "low": [weight[order].tobytes()]})
+
+    packed = model.withColumn("shard", F.shiftright("gram", 48 - SHARD_BITS).cast("int")).groupBy("shard").applyInArrow(pack, "shard int, high binary, low binary")
+    packed = packed.select("shard", F.lit(0).alias("kind"), "high", "low", *empty)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, weights = -1, np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                raw = lambda k, t: np.frombuffer(batch.column(k)[i].as_buffer(), t)  # noqa: E731, B023
+                if kind == 0:
+                    at, known, weights = shard, raw(2, np.int64).copy(), raw(3, np.float64).copy()
+                    continue
+                keys = raw(7, np.int64)
+                if kind == 1:
+                    n, total = raw(6, np.int64), raw(8, np.float64)
+                    if shard == at and known.size and known[0] == 0:  # what single words leave to the spelling
+                        total = total + n * weights[0]
+                else:
+                    if shard != at or not known.size:
+                        continue
+                    gram = raw(2, np.uint16).astype(np.int64) << 32 | raw(3, np.uint32)
+                    place = np.minimum(np.searchsorted(known, gram), known.size - 1)
+                    value = np.repeat(np.where(known[place] == gram, weights[place], 0.0), raw(4, np.uint16))
+                    n, total = np.zeros(keys.size, np.int64), np.bincount(raw(5, np.uint16), value * raw(6, np.uint32), keys.size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(total)], ["key", "n", "total"])
 
-    return perplexity
+    both = packed.unionByName(packed_documents(keyed, logs)).repartition("shard").sortWithinPartitions("shard", "kind")
+    sums = both.mapInArrow(meet, "key long, n long, total double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.select("key", F.exp(-F.col("total") / F.col("n")).alias("perplexity"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = TRUSTED_QUANTILE, slack: float = SLACK) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = TRUSTED_QUANTILE) -> DataFrame:
     """``docs`` with ``perplexity``, ``cut`` and ``kept``."""
-    spark = docs.sparkSession
     docs = docs.drop("perplexity", "cut", "kept")
     good = broadcast_if(pin(trusted_ids(labels)), BROADCAST_ROWS)
-    trusted = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(good, "doc_id", "left_semi")
-    perplexity = scorer(spark, train(trusted))
+    text = F.col("text").cast("string")
     lang: Column = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    scored = pin(trusted.select(lang.alias("of"), perplexity("text").alias("p")).where("p IS NOT NULL"))
-    at = F.percentile_approx("p", quantile, 100_000) * slack
-    cuts = broadcast_if(pin(scored.groupBy("of").agg(at.alias("own"))), BROADCAST_LANGS)
-    every = scored.agg(at.alias("any")).first()["any"]
-    judged = docs.withColumn("perplexity", perplexity(F.col("text").cast("string"))).withColumn("of", lang).join(cuts, "of", "left").withColumn("cut", F.coalesce("own", F.lit(every).cast("double")))
-    allowed = F.col("cut") * F.exp(SHORT / F.sqrt(F.greatest(F.length(F.col("text").cast("string")), F.lit(1))))
-    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= allowed, F.lit(True))).select(*docs.columns, "perplexity", "cut", "kept")
+    key, band = F.xxhash64(text), F.floor(F.log2(F.length(text) + 1)).cast("int")
+    trusted = docs.select("doc_id", text.alias("text"), lang.alias("of"), band.alias("band"), key.alias("key")).where("text <> ''").join(good, "doc_id", "left_semi")
+    held = F.pmod("key", F.lit(HELD)) == 0
+    sides = {r.held: r.n for r in trusted.groupBy(held.alias("held")).agg(F.count("*").alias("n")).collect()}  # two rows at most
+    split = len(sides) == 2
+    learnt = trusted.where(~held) if split else trusted
+    logs = train(learnt)
+    model = pin(train_words(learnt, logs))
+    scores = pin(perplexities(docs.where("text <> ''").select(key.alias("key"), text.alias("text")), model, logs))
+    asked = (trusted.where(held) if split else trusted).select("of", "band", "key").join(broadcast_if(scores, BROADCAST_ROWS), "key")
+    at = F.percentile_approx("perplexity", quantile, 100_000)
+    cells = pin(asked.groupBy("of", "band").agg(at.alias("cell"), F.count("*").alias("cell_n")))
+    bands = asked.groupBy("band").agg(at.alias("wide"), F.count("*").alias("wide_n"))
+    langs = asked.groupBy("of").agg(at.alias("own"), F.count("*").alias("own_n"))
+    every = asked.agg(at.alias("any")).first()["any"]
+    judged = docs.withColumn("key", key).withColumn("of", lang).withColumn("band", band)
+    for table, on in ((broadcast_if(scores, BROADCAST_ROWS), "key"), (broadcast_if(cells, BROADCAST_LANGS), ["of", "band"]), (F.broadcast(bands), "band"), (broadcast_if(pin(langs), BROADCAST_LANGS), "of")):
+        judged = judged.join(table, on, "left")
+    enough = [F.when(F.col(f"{c}_n") >= LEAST, F.col(c)) for c in ("cell", "wide", "own")]
+    judged = judged.withColumn("cut", F.coalesce(*enough, F.lit(every).cast("double")))
+    return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("cut"), F.lit(True))).select(*docs.columns, "perplexity", "cut", "kept")
