@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.llm.sharding import fewest_bytes, reshard, rewrite
+from trawl.llm.sharding import fewest_bytes, numbered, reshard, resharded_files, rewrite
 
 SCHEMA = "doc_id long, text string, old int, block long, shard string"
 
@@ -52,3 +52,18 @@ def test_rewrite_leaves_untouched_shards(spark, tmp_path):
     rewrite(str(tmp_path / "old"), moves, str(tmp_path / "new"), ["doc_id", "text"])
     got = {(r.doc_id, r.shard) for r in spark.read.parquet(str(tmp_path / "new")).collect()}
     assert got == {(i, 0) for i in range(0, 40, 4) if i != 4} | {(4, 3)}
+
+
+def test_files_hold_repeated_and_null_ids_once(spark, tmp_path):
+    rows = [(None if i % 3 else 7, f"t{i % 5}", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    files = resharded_files(docs, F.col("old"), str(tmp_path / "files"), shards=4)
+    got = files.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(r[:2] for r in rows)
+    assert len({r.row_key for r in got}) == 60
+    assert all(13 <= n <= 17 for n in Counter(r.shard for r in got).values())
+    slots = defaultdict(list)
+    for r in numbered(files, block_rows=8).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 60
+    assert numbered(resharded_files(docs.limit(0), F.col("old"), str(tmp_path / "none"))).collect() == []

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import table
+from trawl.llm.common import shared_folder, table
 from trawl.llm.decontaminate import leaks
 from trawl.llm.embeddings import near_vectors
 from trawl.llm.html import extract
 from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
 from trawl.llm.quality import judge
-from trawl.llm.sharding import reshard
+from trawl.llm.sharding import numbered, resharded_files
 from trawl.llm.simhash import simhash_groups
 from trawl.llm.tokenfile import token_digest
 from trawl.llm.toxicity import toxicity
@@ -38,7 +39,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The old shards hold whole sources, as a crawl leaves them, so they are far from equal."""
     old = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(16))
-    moved = reshard(table(spark, sf_dir, "documents"), old)
+    moved = numbered(resharded_files(table(spark, sf_dir, "documents"), old, f"{shared_folder(spark)}/sharding-{uuid.uuid4().hex}"))
     return moved.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
