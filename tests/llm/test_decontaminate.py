@@ -61,3 +61,14 @@ def test_equals_brute_force_on_the_table(spark, sf):
 def test_empty_tables(spark):
     docs, marks, _ = fixture(spark)
     assert leaks(docs.limit(0), marks).collect() == [] == leaks(docs, marks.limit(0)).collect()
+
+
+def test_finds_items_that_most_documents_hold_or_a_word_drowns(spark):
+    rng = random.Random(8)
+    vocabulary = [f"wort{i}" for i in range(2000)]
+    hot, rare = (rng.sample(vocabulary, 20) for _ in range(2))
+    docs = [(d, " ".join(rng.choices(vocabulary, k=60) + (hot if d % 2 else []) + rng.choices(vocabulary, k=60)), 1, 1) for d in range(200)]
+    docs.append((500, " ".join([*rare, *rare[:1] * 200]), 1, 1))
+    marks = [(1, " ".join(hot), "x"), (2, " ".join(rare), "x")]
+    got = leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(marks, "item_id long, text string, doc_id string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, 1) for d in range(1, 200, 2)} | {(500, 2)}

@@ -5,14 +5,15 @@ frequency over the whole corpus, span the term space; corpus windows are read in
 it. A distributed randomised SVD gives the latent space: tasks multiply their windows' TF-IDF rows with a random
 test matrix (A^T A Omega), the sums are orthonormalised together with the benchmark passages, so these
 lie in the space exactly and the leading corpus directions join them. Every window of every document is projected; a window
-is a candidate for a passage if the cosine and the part of the passage's weight it covers are high enough.
+is a candidate for a passage if the part of the passage's weight it covers is high enough; a word counts once a step.
 Candidates are checked on the words: longest common subsequence, and for looser matches (paraphrases) also that
 the passage's closing words, where an item's answer stands, are there.
 
 Benchmarks over ``block`` passages are searched block by block, all against all rows.
 
 Defined results: null or empty texts and items match nothing; an item with fewer than ``LEAST_WORDS`` words,
-or with none that fewer than a third of all documents hold, is not searched;
+is not searched; a passage of nothing but words that over a third of all documents hold is searched by these
+and has to be there nearly verbatim;
 repeated rows give a row each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -36,7 +37,9 @@ LEAST_WORDS = 8
 TOPICS = 32
 BLOCK = 224
 LEAST_IDF = 1.0
-COSINE, COVER = 0.5, 0.35
+#: Weight of the words under that bound, in passages that hold no others.
+FREQUENT = 0.05
+COVER = 0.35
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 ANSWER_WORDS = 8
 SEED = 6
@@ -76,6 +79,11 @@ def verdict(passage: list[str], region: list[str]) -> tuple[float, float]:
     return common(passage, region) / len(passage), common(close, region) / len(close)
 
 
+def tight_verdict(passage: list[str], region: list[str]) -> tuple[float, float]:
+    """The best verdict over the region's parts as long as the passage; frequent words are in order in any long text."""
+    return max(verdict(passage, region[at : at + len(passage)]) for at in range(max(1, len(region) - len(passage) + 1)))
+
+
 def is_leak(whole: float, answer: float) -> bool:
     return whole >= VERBATIM or whole >= PARAPHRASE and answer >= ANSWER
 
@@ -124,8 +132,8 @@ class Windows:
         sizes = [x.size for x in at]
         step = np.repeat(self.first[:-1], sizes) + np.concatenate([*at, np.zeros(0, np.int32)]) // STEP
         term = np.concatenate([*term, np.zeros(0, np.int32)])
-        heavy = idf[term] >= LEAST_IDF
-        self.step, self.term = step[heavy], term[heavy]
+        heavy = idf[term] > 0
+        self.step, self.term = np.divmod(np.unique(step[heavy] * idf.size + term[heavy]), idf.size)
         self.weight = idf[self.term].astype(np.float32)
 
     def energy(self) -> np.ndarray:
@@ -185,7 +193,6 @@ def latent_space(passages: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 def candidates(hits: DataFrame, basis: np.ndarray, latent: np.ndarray, idf: np.ndarray, first: int) -> DataFrame:
     """``(doc_id, passage, start, cosine)`` for windows near a passage of this block."""
     length = np.linalg.norm(latent, axis=1)
-    length[length < 1e-6] = np.inf  # nothing but common words
     least = (COVER * length.min()) ** 2 * 0.999
     unit = latent / length[:, None]
 
@@ -198,7 +205,7 @@ def candidates(hits: DataFrame, basis: np.ndarray, latent: np.ndarray, idf: np.n
                 rows = w.project(basis, some)
                 dots = rows @ unit.T
                 cosine = dots / np.maximum(1e-9, np.linalg.norm(rows, axis=1))[:, None]
-                x, y = np.nonzero((cosine >= COSINE) & (dots >= COVER * length))
+                x, y = np.nonzero(dots >= COVER * length)
                 doc = np.searchsorted(w.first, some[x], "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(docs[doc]), pa.array((y + first).astype(np.int32)), pa.array(((some[x] - w.first[doc]) * STEP).astype(np.int32)), pa.array(cosine[x, y].astype(np.float64))], ["doc_id", "passage", "start", "cosine"])
 
@@ -219,12 +226,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int
     counts, n = document_counts(hits, len(vocabulary))
     idf = np.log((n + 1) / np.maximum(1, counts))
     idf[idf < LEAST_IDF] = 0
+    frequent = {k for k, (_, p) in enumerate(passages) if not any(idf[vocabulary[w]] for w in p)}
+    idf[[vocabulary[w] for k in frequent for w in passages[k][1]]] = FREQUENT
     sketch = corpus_sketch(hits, idf, topics)
     found = []
     for at in range(0, len(passages), block):
         rows = np.zeros((len(passages[at : at + block]), len(vocabulary)))
         for i, (_, p) in enumerate(passages[at : at + block]):
-            np.add.at(rows[i], [vocabulary[w] for w in p], 1)
+            rows[i, [vocabulary[w] for w in p]] = 1
         rows *= idf
         basis = latent_space(rows, sketch)
         found.append(candidates(hits, basis, (rows @ basis).astype(np.float32), idf, at))
@@ -240,8 +249,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int
                 w, best = words_of(text), {}
                 for c in near:
                     item, passage = passages[c["passage"]]
-                    whole, answer = verdict(passage, w[max(0, c["start"] - PASSAGE) : c["start"] + 2 * STEP + PASSAGE])
-                    if is_leak(whole, answer):
+                    region = w[max(0, c["start"] - PASSAGE) : c["start"] + 2 * STEP + PASSAGE]
+                    if c["passage"] in frequent:
+                        whole, answer = tight_verdict(passage, region)
+                    else:
+                        whole, answer = verdict(passage, region)
+                    if is_leak(whole, answer) and (whole >= VERBATIM or c["passage"] not in frequent):
                         best[item] = max(best.get(item, (0,)), (whole, answer, c["cosine"]))
                 rows += [(doc, item, cosine, whole, answer) for item, (whole, answer, cosine) in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "overlap", "answer"])
