@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from trawl.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
-    "", "a", " lead", "trail ", "two  spaces", "tab\tand\nline \n x", "don't we'll I'M", "ünï çödé ñ 中文 🙂 é", "<|endoftext|> in text", "a <|startoftext|>b", "x y z", "\x1c\x1d a\x85b", "A" * 300, "ΣΊΣΥΦΟΣ İstanbul ǅ", "1234 56a7 $$$ ###!!", "\n\n a\n", "a\nb.\nc, d\n\te", "x \ny", "l\n", "Ünd,\nÉt. ß.. ...", "q ́w",
+    "", "a", " lead", "trail ", "two  spaces", "tab\tand\nline \n x", "don't we'll I'M", "ünï çödé ñ 中文 🙂 é", "<|endoftext|> in text", "a <|startoftext|>b", "x y z", "\x1c\x1d a\x85b", "A" * 300, "ΣΊΣΥΦΟΣ İstanbul ǅ", "1234 56a7 $$$ ###!!", "\n\n a\n", "a\nb.\nc, d\n\te", "x \ny", "l\n", "a\x00 b\x00\x00 c", "w" * 100 + " " + "é" * 50, " ", "", "Ünd,\nÉt. ß.. ...", "q ́w",
 ]
 
 
@@ -20,9 +21,12 @@ TEXTS = [
 def test_encoder_equals_tokenizer(spark, sf, name):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    words = Encoder(public_tokenizers.path(name), kept_words=50)
-    got = [b for i in range(0, len(texts), 7) for b in words.batch(texts[i : i + 7])]
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept_words, step in ((50, 7), (2_000_000, 100)):
+        words, got = Encoder(public_tokenizers.path(name), kept_words=kept_words), []
+        for i in range(0, len(texts), step):
+            ids, ends = words.batch(pa.array(texts[i : i + step], pa.string()), 9)
+            got += np.split(ids, ends[:-1])
+        assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [9] for t in texts]
 
 
 def test_fullest_equals_all_choices():

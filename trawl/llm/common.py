@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests on one machine) does this choose a temporary one.
+    Only where none is set, and then only on one machine (tests), does this choose a temporary one.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trawl-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder
@@ -41,6 +43,25 @@ def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+#: Keys of more than one in so many rows are joined by broadcast; there are fewer of them than this.
+HOT_KEYS = 256
+
+
+def join_spread(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``classes`` (one row a key, pinned); its column ``size`` says how many rows have the key.
+
+    A key that a ``HOT_KEYS`` th of all rows share would fill one task, so these fewer than
+    ``HOT_KEYS`` classes are broadcast and their rows stay where they are.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_KEYS > total
+    many = classes.where(hot)
+    if many.isEmpty():
+        return rows.join(classes, keys).drop(size)
+    few = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(classes.where(~hot), keys)
+    return rows.join(F.broadcast(many), keys).unionByName(few).drop(size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,16 +94,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select("e.a", "e.b")
         .distinct()
     )
-    labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+    labels = pin(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count("*").alias("links")).select("node", F.least("node", "low").alias("root"), "links"))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
-        least = labels.unionByName(heard).groupBy("node").agg(F.min("root").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        nxt = pin(
-            least.join(jump, "near")
-            .join(labels.withColumnRenamed("root", "was"), "node")
-            .select("node", F.least("near", "far").alias("root"), (F.least("near", "far") != F.col("was")).alias("moved"))
-        )
+        heard = join_spread(both, labels.withColumnRenamed("node", "b"), ["b"], "links").select(F.col("a").alias("node"), "root")
+        least = pin(labels.select("node", "root").unionByName(heard).groupBy("node").agg(F.min("root").alias("near")))
+        nears = least.groupBy("near").agg(F.count("*").alias("held"))
+        jump = pin(nears.join(labels.select(F.col("node").alias("near"), F.col("root").alias("far")), "near"))
+        low = F.least("near", "far")
+        nxt = pin(join_spread(least, jump, ["near"], "held").join(labels.withColumnRenamed("root", "was"), "node").select("node", low.alias("root"), "links", (low != F.col("was")).alias("moved")))
         labels = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
-            return labels
+            return labels.select("node", "root")

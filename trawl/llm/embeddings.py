@@ -1,7 +1,7 @@
 """Embedding near-duplicates: random-hyperplane sign hashing, exact cosine, components.
 
 Only rows with the same non-null label are compared. Equal vectors collapse to one
-class first. A class is hashed by the signs of its products with fixed random
+class first. Labels may be of any type that Spark can group. A class is hashed by the signs of its products with fixed random
 hyperplanes into several tables; classes that share a bucket are compared exactly
 in double precision, block by block. Buckets over ``block_rows`` are cut into
 blocks whose pairs go to different tasks, so no bucket is collected whole. A pair
@@ -10,7 +10,8 @@ class (links counted, local root), never pairs.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite
 components, and rows with a null label, link with nothing; vectors of different
-lengths are not compared. Repeated rows are vectors of their own. Empty tables give empty results;
+lengths are not compared. Repeated rows are vectors of their own. A row with a null vec_id counts as a
+linked vector, but never gives a component its id; ``component_id`` and ``kept`` are null only where no row of the component has an id. Empty tables give empty results;
 other input columns are not read.
 """
 
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import connected_components, pin, union_pairs
+from trawl.llm.common import connected_components, join_spread, pin, union_pairs
 
 SEED = 20
 BLOCK_ROWS = 4096
+PAIRS_AT_ONCE = 1 << 18
 
 
 def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -48,6 +50,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 10,
     plain = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), "label", F.when(sound & F.col("label").isNotNull(), plain).alias("v"))
+    kind = rows.schema["label"].dataType.simpleString()
     usable = rows.where("v IS NOT NULL")
     classes = pin(usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
 
@@ -60,7 +63,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 10,
                 codes = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, codes], [*part.schema.names, "codes"])
 
-    coded = pin(classes.select("cid", "label", "v", "copies").mapInArrow(hashed, "cid long, label int, v array<double>, copies long, codes array<long>"))
+    coded = pin(classes.select("cid", "label", "v", "copies").mapInArrow(hashed, f"cid long, label {kind}, v array<double>, copies long, codes array<long>"))
     spots = F.posexplode("codes").alias("tab", "code")
     bucket = ["label", "dims", "tab", "code"]
     large = coded.select("label", F.size("v").alias("dims"), spots).groupBy(bucket).count().where(F.col("count") > block_rows).select(*bucket, F.ceil(F.col("count") / block_rows).cast("long").alias("parts"))
@@ -82,27 +85,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 10,
         low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
         ones, twos = np.flatnonzero(part == low), np.flatnonzero(part == high)
         links, root = np.zeros(len(cid), np.int64), np.arange(len(cid))
-        for at in range(0, ones.size, 512):
-            some = ones[at : at + 512]
-            x, y = np.nonzero(v[some] @ v[twos].T >= threshold)
-            x, y = some[x], twos[y]
-            new = (cid[x] < cid[y]) if low == high else np.ones(x.size, bool)
-            x, y = x[new], y[new]
+        step = max(1, PAIRS_AT_ONCE // max(1, twos.size))
+        for at in range(0, ones.size, step):
+            some = ones[at : at + step]
+            near = v[some] @ v[twos].T >= threshold
+            if low == high:
+                near &= cid[some, None] < cid[twos]
             for t in range(tab):
-                new = codes[x, t] != codes[y, t]
-                x, y = x[new], y[new]
-            np.add.at(links, x, copies[y])
-            np.add.at(links, y, copies[x])
-            root = union_pairs(root, x, y)
+                near &= codes[some, t, None] != codes[twos, t]
+            links[some] += near @ copies[twos]
+            links[twos] += copies[some] @ near
+            x, y = np.nonzero(near)
+            root = union_pairs(root, some[x], twos[y])
         told = np.flatnonzero(links)
         return pa.table({"cid": cid[told], "root": cid[root[told]], "links": links[told]})
 
     met = pin(placed.select("cid", "v", "copies", "codes", *bucket, "part", "low", "high").groupBy(*bucket, "low", "high").applyInArrow(meet, "cid long, root long, links long"))
     roots = connected_components(met.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     counted = met.groupBy("cid").agg(F.sum("links").alias("links"))
-    member = classes.join(counted, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    done = usable.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    member = pin(classes.join(counted, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("label", "v", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")))
+    least = pin(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("classes")))
+    named = pin(join_spread(member, least, ["root"], "classes").select("label", "v", "copies", "n_links", "component_id"))
+    done = join_spread(usable, named, ["label", "v"], "copies").select("vec_id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -28,7 +28,7 @@ from trawl.llm.common import pin
 from trawl.llm.tokens import encoder
 
 PIECES = "part int, doc_id long, start long, length int, rank long, ids_crc32 long, doc_tokens long"
-TEXTS_AT_ONCE = 64
+TEXTS_AT_ONCE = 256
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -86,19 +86,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFra
     """All pieces of all documents, each ranked among those of its length in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        words = encoder(tokenizer)
         seen: Counter[int] = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
-                rows = []
-                for part, doc, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), words.batch(some.column(2).to_pylist()), strict=True):
-                    raw = memoryview(ids + end)
-                    for start in range(0, len(raw), 4 * window):
-                        piece = raw[start : start + 4 * window]
-                        n = len(piece) // 4
-                        rows.append((part, doc, start // 4, n, seen[n], zlib.crc32(piece), len(raw) // 4))
+                ids, ends = words.batch(some.column(2), end_id)
+                raw, begin, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+                for part, doc, end in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), ends.tolist(), strict=True):
+                    for start in range(begin, end, window):
+                        n = min(window, end - start)
+                        rows.append((part, doc, start - begin, n, seen[n], zlib.crc32(raw[4 * start : 4 * (start + n)]), end - begin))
                         seen[n] += 1
+                    begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["part", "doc_id", "start", "length", "rank", "ids_crc32", "doc_tokens"])
 
     cast = lambda batches: (b.cast(pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("rank", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])) for b in run(batches))

@@ -193,8 +193,8 @@ def walk(io: Writer | Reader, sizes: np.ndarray, steps: int, symbols: np.ndarray
 
 
 def pack_alphabet(ids: np.ndarray) -> bytes:
-    """Rising ids as gaps, one byte each, or 255 and two bytes."""
-    gaps = np.diff(ids, prepend=-1)
+    """Rising ids as how many are left out before each, in one byte, or 255 and two bytes."""
+    gaps = np.diff(ids, prepend=-1) - 1
     return b"".join(bytes((g,)) if g < 255 else b"\xff" + struct.pack("<H", g) for g in gaps.tolist())
 
 
@@ -204,11 +204,13 @@ def unpack_alphabet(raw: bytes) -> np.ndarray:
         wide = raw[at] == 255
         gaps.append(struct.unpack_from("<H", raw, at + 1)[0] if wide else raw[at])
         at += 3 if wide else 1
-    return np.cumsum(gaps) - 1
+    return np.cumsum(np.array(gaps, np.int64) + 1) - 1
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """Ids below 2^16 as a sequence of blocks."""
+    """Ids below 2^16 as a sequence of blocks; an error for any other."""
+    if ids.size and not 0 <= ids.min() <= ids.max() < 1 << 16:
+        raise ValueError("the coder takes ids from 0 to 65,535")
     blocks = [ids[i : i + block_ids] for i in range(0, ids.size, block_ids)]
     if not blocks:
         return b""

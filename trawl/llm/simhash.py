@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import connected_components, pin, union_pairs
+from trawl.llm.common import connected_components, join_spread, pin, union_pairs
 
 SEED = 42
 BLOCK_ROWS = 65536
@@ -159,9 +159,9 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_R
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs(doc_id, text)``."""
     marked = pin(fingerprints(docs, shingle))
-    firsts = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     roots = connected_components(link_fingerprints(firsts, radius, block_rows))
-    member = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = pin(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    least = pin(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("classes")))
+    named = pin(join_spread(member, least, ["root"], "classes").select("fp", "copies", "component_id"))
+    return join_spread(marked, named, ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -34,11 +34,11 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = SE
     """``docs(doc_id, text)`` to rows of ``SCHEMA``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        words = encoder(tokenizer)
         part, number, names, lengths, held = 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
-            payload = encode(np.frombuffer(b"".join(held), "<u4").astype(np.int64), block_ids)
+            payload = encode(np.concatenate(held).astype(np.int64), block_ids)
             row = [[part], [number], [names], [lengths], [payload]]
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "segment", "docs", "lengths", "payload"])
@@ -47,11 +47,12 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = SE
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
-                for p, doc, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), words.batch(some.column(2).to_pylist()), strict=True):
+                ids, ends = words.batch(some.column(2), end_id)
+                for p, doc, mine in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), np.split(ids, ends[:-1]), strict=True):
                     part = p
                     names.append(doc)
-                    held.append(ids + end)
-                    lengths.append(len(ids) // 4 + 1)
+                    held.append(mine)
+                    lengths.append(mine.size)
                     filled += lengths[-1]
                     if filled >= segment_ids:
                         yield close()
