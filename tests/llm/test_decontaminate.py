@@ -72,3 +72,25 @@ def test_finds_items_that_most_documents_hold_or_a_word_drowns(spark):
     marks = [(1, " ".join(hot), "x"), (2, " ".join(rare), "x")]
     got = leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(marks, "item_id long, text string, doc_id string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d, 1) for d in range(1, 200, 2)} | {(500, 2)}
+
+
+def test_short_items_null_ids_and_synonyms(spark):
+    rng = random.Random(9)
+    vocabulary = [f"wort{i}" for i in range(2000)]
+    twin = {w: f"zwilling{i}" for i, w in enumerate(vocabulary)}
+    items = [(k, rng.sample(vocabulary, 40)) for k in range(20)]
+    docs = [(None, " ".join(rng.choices(vocabulary, k=50) + items[0][1] + rng.choices(vocabulary, k=50)), 1, 1), (None, " ".join(rng.choices(vocabulary, k=90)), 1, 1)]
+    docs += [(d, " ".join(rng.choices(vocabulary, k=30) + ["fünf", "kurze", "Wörter", "am", "Ort"] * (d % 2) + rng.choices(vocabulary, k=3000)), 1, 1) for d in range(10)]
+    docs += [(10, "fünf kurze am Wörter Ort fünf kurze x Wörter am Ort", 1, 1)]
+    for k, w in items[1:]:  # three words in ten are synonyms, and two neighbours in eight change places
+        said = [twin[x] if i % 10 in (2, 5, 8) and i < 32 else x for i, x in enumerate(w)]
+        for i in range(0, 32, 8):
+            said[i], said[i + 1] = said[i + 1], said[i]
+        docs.append((100 + k, " ".join(rng.choices(vocabulary, k=100) + said + rng.choices(vocabulary, k=100)), 1, 1))
+    marks = [(k, " ".join(w), "x") for k, w in items] + [(50, "Fünf kurze Wörter am Ort", "x"), (51, "wort1 nirgends", "x")]
+    docs, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(marks, "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, marks).collect()}
+    assert {p for p in got if p[1] in (50, 51) or p[0] is None} == {(None, 0)} | {(d, 50) for d in range(1, 10, 2)}
+    assert len(got & {(100 + k, k) for k in range(1, 20)}) >= 0.9 * 19 and got <= {(None, 0)} | {(d, 50) for d in range(1, 10, 2)} | {(100 + k, k) for k in range(20)}
+    left = clean(docs, marks)
+    assert left.where("doc_id IS NULL").count() == 1 and left.where("doc_id < 10").count() == 5

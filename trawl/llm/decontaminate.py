@@ -1,20 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages. Their words, weighted by inverse document
-frequency over the whole corpus, span the term space; corpus windows are read in
-it. A distributed randomised SVD gives the latent space: tasks multiply their windows' TF-IDF rows with a random
-test matrix (A^T A Omega), the sums are orthonormalised together with the benchmark passages, so these
-lie in the space exactly and the leading corpus directions join them. Every window of every document is projected; a window
-is a candidate for a passage if the part of the passage's weight it covers is high enough; a word counts once a step.
-Candidates are checked on the words: longest common subsequence, and for looser matches (paraphrases) also that
-the passage's closing words, where an item's answer stands, are there.
-
-Benchmarks over ``block`` passages are searched block by block, all against all rows.
-
-Defined results: null or empty texts and items match nothing; an item with fewer than ``LEAST_WORDS`` words,
-is not searched; a passage of nothing but words that over a third of all documents hold is searched by these
-and has to be there nearly verbatim;
-repeated rows give a row each; an empty table gives an empty result; other columns are not read.
+Benchmark items are cut into passages and searched in blocks of at most ``BLOCK`` passages, each block
+against all documents. A block's words are its term space (words outside it can't add to a match), at most
+``BLOCK * PASSAGE`` of them whatever the corpus holds; everything that tasks are sent is bounded by that.
+
+One pass over the texts keeps where each document holds words of the space; all else works on these hits.
+Words are weighted by inverse document frequency over the whole corpus. A distributed randomised SVD gives the
+latent space: tasks multiply their windows' TF-IDF rows A with a random test matrix (A^T A Omega), the sums
+are orthonormalised together with the passages, and the least rank is kept that leaves every passage
+``ENERGY`` of its squared weight. Windows of every document are projected; a window is a candidate for a
+passage if its latent vector, in the passage's direction, covers enough of the passage's. A word counts once
+in a window. Candidates are checked on the words: longest common subsequence, and for looser matches
+(paraphrases) also that the passage's closing words, where an item's answer stands, are there. An item of fewer
+than ``LEAST_WORDS`` words is a match where all its words stand side by side.
+
+Defined results: null or empty texts and items without words match nothing; a passage of nothing but words that
+over a third of all documents hold has to be there nearly verbatim; rows with a null id are searched as
+all others and keep the null; repeated rows give a row each; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,35 +37,49 @@ STEP = 32  # a window is two steps of words
 PASSAGE = 48
 LEAST_WORDS = 8
 TOPICS = 32
-BLOCK = 224
+BLOCK = 512
 LEAST_IDF = 1.0
-#: Weight of the words under that bound, in passages that hold no others.
+#: Weight of words under that bound: they count, but can't make a candidate alone where a passage has others.
 FREQUENT = 0.05
+ENERGY = 0.5
 COVER = 0.35
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 ANSWER_WORDS = 8
 SEED = 6
+WINDOWS_AT_ONCE = 1024
+#: Hashes of contaminated texts (16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+LEAKS = "doc_id long, item_id long, cosine double, overlap double, answer double, h1 long, h2 long"
+
+Item = tuple[int | None, list[str]]
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def passages_of(items: list[tuple[int, str | None]]) -> list[tuple[int, list[str]]]:
-    """Items cut evenly into passages of at most ``PASSAGE`` words."""
-    made = []
-    for item, text in items:
-        w = words_of(text)
-        if len(w) >= LEAST_WORDS:
-            n = -(-len(w) // PASSAGE)
-            made += [(item, w[k * len(w) // n : (k + 1) * len(w) // n]) for k in range(n)]
-    return made
+def passages_of(words: list[str]) -> list[list[str]]:
+    """An item's words cut evenly into passages of at most ``PASSAGE``; a short item is one."""
+    n = -(-len(words) // PASSAGE)
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
 
+def blocks_of(benchmark: DataFrame, block: int) -> Iterator[list[Item]]:
+    """``(item_id, passage)`` of all items in blocks; one block is held at a time."""
+    held: list[Item] = []
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        for p in passages_of(words_of(r.text)):
+            held.append((r.item_id, p))
+            if len(held) == block:
+                yield held
+                held = []
+    if held:
+        yield held
 
-def common(a: list[str], b: list[str]) -> int:
+
+def common(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     row = full = (1 << len(a)) - 1
@@ -73,35 +89,47 @@ def common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def verdict(passage: list[str], region: list[str]) -> tuple[float, float]:
+def verdict(passage: list, region: list) -> tuple[float, float]:
     """Shares of the passage and of its closing words that the region holds in order."""
     close = passage[-ANSWER_WORDS:]
     return common(passage, region) / len(passage), common(close, region) / len(close)
 
 
-def tight_verdict(passage: list[str], region: list[str]) -> tuple[float, float]:
-    """The best verdict over the region's parts as long as the passage; frequent words are in order in any long text."""
-    return max(verdict(passage, region[at : at + len(passage)]) for at in range(max(1, len(region) - len(passage) + 1)))
-
-
 def is_leak(whole: float, answer: float) -> bool:
     return whole >= VERBATIM or whole >= PARAPHRASE and answer >= ANSWER
 
 
 def hits_of(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """``(doc_id, row, n_words, at, term)``: where each document holds benchmark words, as packed int32."""
+    """``(doc_id, h1, h2, n_words, at, term)``: two hashes of each text, and where it holds words of the space, as packed int32."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = words_of(text)
-                term = np.fromiter(map(vocabulary.get, w, [-1] * len(w)), np.int32, len(w))
+            lengths, ats, terms = [], [], []
+            for text in batch.column(3):
+                w = words_of(text.as_py())
+                term = np.fromiter(map(known.get, w, [-1] * len(w)), np.int32, len(w))
                 at = np.flatnonzero(term >= 0).astype(np.int32)
-                rows.append((doc, len(w), at.tobytes(), term[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "n_words", "at", "term"])
+                lengths.append(len(w))
+                ats.append(at.tobytes())
+                terms.append(term[at].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lengths, pa.int32()), pa.array(ats, pa.binary()), pa.array(terms, pa.binary())], ["doc_id", "h1", "h2", "n_words", "at", "term"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), *text_hashes(), text).mapInArrow(run, "doc_id long, h1 long, h2 long, n_words int, at binary, term binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words int, at binary, term binary")
+def text_hashes() -> list:
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of a binary column, and where each row's begin and end."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = memoryview(column.buffers()[2] or b"")[edges[0] : edges[-1]]
+    return np.frombuffer(raw, np.int32), (edges - edges[0]) // 4
 
 
 def document_counts(hits: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -110,14 +138,15 @@ def document_counts(hits: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size + 1, np.int64)
         for batch in batches:
+            term, edges = packed(batch.column(0))
+            once = np.unique(np.repeat(np.arange(len(edges) - 1), np.diff(edges)) * size + term)
+            held[:size] += np.bincount(once % size, minlength=size)
             held[size] += batch.num_rows
-            for term in batch.column(0):
-                held[np.unique(np.frombuffer(term.as_py(), np.int32))] += 1
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], ["term", "n"])
 
     counts = np.zeros(size + 1, np.int64)
-    for r in hits.select("term").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark word
+    for r in hits.select("term").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each word of the block
         counts[r.term] = r.n
     return counts[:size], int(counts[size])
 
@@ -125,144 +154,169 @@ def document_counts(hits: DataFrame, size: int) -> tuple[np.ndarray, int]:
 class Windows:
     """The hits of a batch of documents, dealt to steps; two neighbouring steps of a document are a window."""
 
-    def __init__(self, batch: pa.RecordBatch, idf: np.ndarray) -> None:
-        at, term = ([np.frombuffer(x.as_py(), np.int32) for x in batch.column(c)] for c in ("at", "term"))
-        steps = batch.column("n_words").to_numpy() // STEP + 2
-        self.first = np.concatenate([[0], np.cumsum(steps)])
-        sizes = [x.size for x in at]
-        step = np.repeat(self.first[:-1], sizes) + np.concatenate([*at, np.zeros(0, np.int32)]) // STEP
-        term = np.concatenate([*term, np.zeros(0, np.int32)])
-        heavy = idf[term] > 0
-        self.step, self.term = np.divmod(np.unique(step[heavy] * idf.size + term[heavy]), idf.size)
-        self.weight = idf[self.term].astype(np.float32)
-
-    def energy(self) -> np.ndarray:
-        e = np.bincount(self.step, self.weight**2, self.first[-1])
-        return e[:-1] + e[1:] if e.size else e
+    def __init__(self, lengths: np.ndarray, at: pa.Array, term: pa.Array, weight: np.ndarray) -> None:
+        self.at, self.edges = packed(at)
+        self.term = packed(term)[0]
+        self.first = np.concatenate([[0], np.cumsum(lengths // STEP + 2)])
+        self.step = np.repeat(self.first[:-1], np.diff(self.edges)) + self.at // STEP
+        self.weight = weight
+
+    def rows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in windows, term)`` of the windows' words, each once, by place."""
+        size = self.weight.size
+        a, b = np.searchsorted(self.step, windows), np.searchsorted(self.step, windows + 2)
+        n = b - a
+        hit = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.divmod(np.unique(np.repeat(np.arange(windows.size), n) * size + self.term[hit]), size)
 
     def project(self, basis: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Rows of the given windows in the basis."""
-        wanted = np.unique(np.concatenate([windows, windows + 1]))
-        mine = np.isin(self.step, wanted)
-        step, rows = self.step[mine], basis[self.term[mine]] * self.weight[mine, None]
-        sums = np.zeros((wanted.size, basis.shape[1]), np.float32)
-        if step.size:
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(step) > 0]))
-            sums[np.searchsorted(wanted, step[cut])] = np.add.reduceat(rows, cut, axis=0)
-        return sums[np.searchsorted(wanted, windows)] + sums[np.searchsorted(wanted, windows + 1)]
-
-
-def corpus_sketch(hits: DataFrame, idf: np.ndarray, topics: int) -> np.ndarray:
-    """``A^T A Omega`` over all corpus windows A, for a fixed random Omega."""
-    size = idf.size
-    omega = np.random.default_rng(SEED).normal(size=(size, topics)).astype(np.float32)
+        place, term = self.rows(windows)
+        sums = np.zeros((windows.size, basis.shape[1]), np.float32)
+        if place.size:
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(place) > 0]))
+            sums[place[cut]] = np.add.reduceat(basis[term] * self.weight[term, None], cut, axis=0)
+        return sums
+
+
+def corpus_sketch(hits: DataFrame, weight: np.ndarray, topics: int) -> np.ndarray:
+    """``A^T A Omega`` over all corpus windows A (side by side), for a fixed random Omega."""
+    size = weight.size
     names = [f"g{i}" for i in range(topics)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        omega = np.random.default_rng(SEED).normal(size=(size, topics)).astype(np.float32)
         held = np.zeros((size, topics))
         for batch in batches:
-            w = Windows(batch, idf)
-            every = np.unique(w.step) // 2 * 2  # windows side by side: each hit in one
-            windows, where = np.unique(every, return_inverse=True)
-            if not windows.size:
-                continue
-            z = w.project(omega, windows)
-            of = np.repeat(where, np.diff(np.append(np.searchsorted(w.step, np.unique(w.step)), w.step.size)))
-            order = np.argsort(w.term, kind="stable")
-            term = w.term[order]
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(term) > 0]))
-            held[term[cut]] += np.add.reduceat(z[of[order]] * w.weight[order, None], cut, axis=0)
+            w = Windows(batch.column(0).to_numpy(), batch.column(1), batch.column(2), weight)
+            every = np.unique(w.step // 2 * 2)
+            for at in range(0, every.size, WINDOWS_AT_ONCE):
+                some = every[at : at + WINDOWS_AT_ONCE]
+                place, term = w.rows(some)
+                z = w.project(omega, some)
+                for k in range(topics):
+                    held[:, k] += np.bincount(term, z[place, k] * weight[term], size)
         seen = np.flatnonzero(held.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(held[seen, i]) for i in range(topics))], ["term", *names])
 
     schema = ", ".join(["term long", *(f"{n} double" for n in names)])
-    summed = hits.select("n_words", "at", "term").mapInArrow(run, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a row for each benchmark word
+    summed = hits.select("n_words", "at", "term").mapInArrow(run, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)).toPandas()  # a row for each word of the block
     sketch = np.zeros((size, topics))
     sketch[summed["term"].to_numpy(dtype=np.int64)] = summed[names].to_numpy()
     return sketch
 
 
 def latent_space(passages: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Orthonormal columns for the passages' rows and the corpus sketch, in falling singular values."""
+    """Orthonormal columns in falling singular values, the fewest that leave every passage ``ENERGY`` of its squared weight."""
     scaled = sketch / max(1e-12, np.linalg.norm(sketch, axis=0).max())
     q, r = np.linalg.qr(np.concatenate([passages.T, scaled], axis=1))
-    u, s, _ = np.linalg.svd(r, full_matrices=False)
-    return (q @ u[:, s > 1e-6 * s[:1].sum()]).astype(np.float32)
+    basis = (q @ np.linalg.svd(r, full_matrices=False)[0]).astype(np.float32)
+    kept = np.cumsum((passages @ basis) ** 2, axis=1) / np.maximum(1e-12, (passages**2).sum(axis=1, keepdims=True))
+    rank = 1 + int(np.argmax(np.append(kept.min(axis=0) >= ENERGY, True)))
+    return basis[:, :rank]
 
 
-def candidates(hits: DataFrame, basis: np.ndarray, latent: np.ndarray, idf: np.ndarray, first: int) -> DataFrame:
-    """``(doc_id, passage, start, cosine)`` for windows near a passage of this block."""
+def block_leaks(docs: DataFrame, block: list[Item], topics: int) -> DataFrame:
+    """The documents that hold an item of the block, as ``LEAKS``."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, p in block for w in p}))}
+    hits = pin(hits_of(docs, vocabulary))
+    counts, n = document_counts(hits, len(vocabulary))
+    idf = np.log((n + 1) / np.maximum(1, counts))
+    weight = np.where(idf < LEAST_IDF, FREQUENT, idf).astype(np.float32)
+    coded = [(item, [vocabulary[w] for w in p]) for item, p in block]
+    short = [(item, p, int(np.argmin(counts[p]))) for item, p in coded if len(p) < LEAST_WORDS]
+    long = [(item, p) for item, p in coded if len(p) >= LEAST_WORDS]
+    long.sort(key=lambda x: float((weight[list(set(x[1]))] ** 2).sum()))
+    rows = np.zeros((len(long), len(vocabulary)), np.float32)
+    for i, (_, p) in enumerate(long):
+        rows[i, p] = weight[p]
+    basis = latent_space(rows, corpus_sketch(hits, weight, topics)) if long else np.zeros((len(vocabulary), 0), np.float32)
+    latent = rows @ basis
     length = np.linalg.norm(latent, axis=1)
-    least = (COVER * length.min()) ** 2 * 0.999
-    unit = latent / length[:, None]
+    shared = docs.sparkSession.sparkContext.broadcast((weight, basis, latent / np.maximum(1e-9, length)[:, None], length, long, short, [bool((idf[p] < LEAST_IDF).all()) for _, p in long]))
+    energy = (rows**2).sum(axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, basis, unit, length, long, short, frequent = shared.value
         for batch in batches:
-            w, docs = Windows(batch, idf), batch.column("doc_id").to_numpy()
-            windows = np.flatnonzero(w.energy() >= least)
-            for at in range(0, windows.size, 4096):
-                some = windows[at : at + 4096]
-                rows = w.project(basis, some)
-                dots = rows @ unit.T
-                cosine = dots / np.maximum(1e-9, np.linalg.norm(rows, axis=1))[:, None]
-                x, y = np.nonzero(dots >= COVER * length)
-                doc = np.searchsorted(w.first, some[x], "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(docs[doc]), pa.array((y + first).astype(np.int32)), pa.array(((some[x] - w.first[doc]) * STEP).astype(np.int32)), pa.array(cosine[x, y].astype(np.float64))], ["doc_id", "passage", "start", "cosine"])
+            w = Windows(batch.column("n_words").to_numpy(), batch.column("at"), batch.column("term"), weight)
+            best: dict[tuple[int, int | None], tuple[float, float, float]] = {}
+
+            def tell(doc: int, item: int | None, found: tuple[float, float, float]) -> None:
+                best[doc, item] = max(best.get((doc, item), (0.0, 0.0, 0.0)), found)  # noqa: B023
+
+            for item, p, anchor in short:
+                spot = np.flatnonzero(w.term == p[anchor]) - anchor
+                spot = spot[(spot >= 0) & (spot + len(p) <= w.term.size)]
+                for j, t in enumerate(p):
+                    spot = spot[(w.term[spot + j] == t) & (w.at[spot + j] == w.at[spot] + j)]
+                doc = np.searchsorted(w.edges, spot, "right") - 1
+                for d in np.unique(doc[spot + len(p) <= w.edges[doc + 1]]).tolist():
+                    tell(d, item, (1.0, 1.0, 1.0))
+            if not long:
+                yield answer(batch, best)
+                continue
+            in_step = np.bincount(w.step, weight[w.term] ** 2, w.first[-1])
+            in_window = in_step[:-1] + in_step[1:]  # not less than the weight of the window's different words
+            windows = np.flatnonzero(in_window >= COVER * energy[0])
+            windows = windows[np.argsort(in_window[windows])]
+            for at in range(0, windows.size, WINDOWS_AT_ONCE):
+                some = windows[at : at + WINDOWS_AT_ONCE]
+                reach = int(np.searchsorted(energy, in_window[some[-1]] / COVER, "right"))  # passages that such windows can cover
+                z = w.project(basis, some)
+                dots = z @ unit[:reach].T
+                x, y = np.nonzero(dots >= COVER * length[:reach])
+                cosine = dots[x, y] / np.maximum(1e-9, np.linalg.norm(z[x], axis=1))
+                docs = np.searchsorted(w.first, some[x], "right") - 1
+                begin = (some[x] - w.first[docs]) * STEP
+                for d, k, c, b in zip(docs.tolist(), y.tolist(), cosine.tolist(), begin.tolist(), strict=True):
+                    item, p = long[k]
+                    held = slice(w.edges[d], w.edges[d + 1])
+                    where = w.at[held]
+                    a, z_ = np.searchsorted(where, (b - PASSAGE, b + 2 * STEP + PASSAGE))
+                    region = w.term[held][a:z_].tolist()
+                    if frequent[k]:  # such words are in order in any long text, so only stretches of the passage's length count
+                        place = where[a:z_].tolist()
+                        stretches = [[t for t, q in zip(region[i:], place[i:], strict=True) if q < place[i] + len(p)] for i in range(len(region))]
+                        whole, close = max((verdict(p, s) for s in stretches), default=(0.0, 0.0))
+                        leak = whole >= VERBATIM
+                    else:
+                        whole, close = verdict(p, region)
+                        leak = is_leak(whole, close)
+                    if leak:
+                        tell(d, item, (whole, close, c))
+            yield answer(batch, best)
+
+    return hits.mapInArrow(look, LEAKS)
+
+
+def answer(batch: pa.RecordBatch, best: dict[tuple[int, int | None], tuple[float, float, float]]) -> pa.RecordBatch:
+    """The rows of ``LEAKS`` for what was found in a batch."""
+    of = pa.array([d for d, _ in best], pa.int64())
+    doc, h1, h2 = (batch.column(c).take(of) for c in ("doc_id", "h1", "h2"))
+    values = [pa.array([v[k] for v in best.values()], pa.float64()) for k in (2, 0, 1)]
+    return pa.RecordBatch.from_arrays([doc, pa.array([i for _, i in best], pa.int64()), *values, h1, h2], ["doc_id", "item_id", "cosine", "overlap", "answer", "h1", "h2"])
 
-    return hits.mapInArrow(run, "doc_id long, passage int, start int, cosine double")
+
+def all_leaks(docs: DataFrame, benchmark: DataFrame, block: int, topics: int) -> DataFrame:
+    found = docs.sparkSession.createDataFrame([], LEAKS)
+    for some in blocks_of(benchmark, block):
+        found = found.unionByName(pin(block_leaks(docs, some, topics)))
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int = TOPICS) -> DataFrame:
-    """``(doc_id, item_id, cosine, overlap, answer)`` for each document that holds a benchmark item."""
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "doc_id long, item_id long, cosine double, overlap double, answer double")
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator()]  # the query set
-    passages = passages_of(items)
-    if not passages:
-        return empty
-    vocabulary = {w: i for i, w in enumerate(sorted({w for _, p in passages for w in p}))}
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = pin(hits_of(docs, vocabulary))
-    counts, n = document_counts(hits, len(vocabulary))
-    idf = np.log((n + 1) / np.maximum(1, counts))
-    idf[idf < LEAST_IDF] = 0
-    frequent = {k for k, (_, p) in enumerate(passages) if not any(idf[vocabulary[w]] for w in p)}
-    idf[[vocabulary[w] for k in frequent for w in passages[k][1]]] = FREQUENT
-    sketch = corpus_sketch(hits, idf, topics)
-    found = []
-    for at in range(0, len(passages), block):
-        rows = np.zeros((len(passages[at : at + block]), len(vocabulary)))
-        for i, (_, p) in enumerate(passages[at : at + block]):
-            rows[i, [vocabulary[w] for w in p]] = 1
-        rows *= idf
-        basis = latent_space(rows, sketch)
-        found.append(candidates(hits, basis, (rows @ basis).astype(np.float32), idf, at))
-    near = found[0]
-    for more in found[1:]:
-        near = near.unionByName(more)
-    asked = pin(near.groupBy("doc_id").agg(F.collect_list(F.struct("passage", "start", "cosine")).alias("near")))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, near in zip(batch["doc_id"], batch["text"], batch["near"], strict=True):
-                w, best = words_of(text), {}
-                for c in near:
-                    item, passage = passages[c["passage"]]
-                    region = w[max(0, c["start"] - PASSAGE) : c["start"] + 2 * STEP + PASSAGE]
-                    if c["passage"] in frequent:
-                        whole, answer = tight_verdict(passage, region)
-                    else:
-                        whole, answer = verdict(passage, region)
-                    if is_leak(whole, answer) and (whole >= VERBATIM or c["passage"] not in frequent):
-                        best[item] = max(best.get(item, (0,)), (whole, answer, c["cosine"]))
-                rows += [(doc, item, cosine, whole, answer) for item, (whole, answer, cosine) in best.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "overlap", "answer"])
+    """``(doc_id, item_id, cosine, overlap, answer)`` for each document that holds a benchmark item.
 
-    return docs.join(broadcast_if(asked, BROADCAST_ROWS // 10), "doc_id").mapInPandas(check, empty.schema)
+    An item whose passages lie in two blocks can have a row from each.
+    """
+    found = all_leaks(docs, benchmark, block, topics)
+    return found.select("doc_id", "item_id", "cosine", "overlap", "answer")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = pin(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(broadcast_if(found, BROADCAST_ROWS), "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int = TOPICS) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item; texts are told apart by two hashes, so ids may be null."""
+    found = pin(all_leaks(docs, benchmark, block, topics).select("h1", "h2").distinct())
+    h1, h2 = text_hashes()
+    marked = docs.select("*", h1.alias("_bd_h1"), h2.alias("_bd_h2"))
+    gone = broadcast_if(found, BROADCAST_ROWS)
+    return marked.join(gone, (F.col("_bd_h1") == F.col("h1")) & (F.col("_bd_h2") == F.col("h2")), "left_anti").select(*docs.columns)
