@@ -7,10 +7,10 @@ against all documents. A block's words are its term space (words outside it can'
 One pass over the texts keeps where each document holds words of the space; all else works on these hits.
 Words are weighted by inverse document frequency over the whole corpus. A distributed randomised SVD gives the
 latent space: tasks multiply their windows' TF-IDF rows A with a random test matrix (A^T A Omega), the sums
-are orthonormalised together with the passages, and the least rank is kept that leaves every passage
+are orthonormalised together with the passages (scaled to one length), and the least rank is kept that leaves every passage
 ``ENERGY`` of its squared weight. Windows of every document are projected; a window is a candidate for a
 passage if its latent vector, in the passage's direction, covers enough of the passage's. A word counts once
-in a window. Candidates are checked on the words: longest common subsequence, and for looser matches
+in a step. Candidates are checked on the words: longest common subsequence, and for looser matches
 (paraphrases) also that the passage's closing words, where an item's answer stands, are there. An item of fewer
 than ``LEAST_WORDS`` words is a match where all its words stand side by side.
 
@@ -46,7 +46,7 @@ COVER = 0.35
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.55, 0.6
 ANSWER_WORDS = 8
 SEED = 6
-WINDOWS_AT_ONCE = 1024
+STEPS_AT_ONCE = 512
 #: Hashes of contaminated texts (16 bytes each) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 LEAKS = "doc_id long, item_id long, cosine double, overlap double, answer double, h1 long, h2 long"
@@ -158,43 +158,42 @@ class Windows:
         self.at, self.edges = packed(at)
         self.term = packed(term)[0]
         self.first = np.concatenate([[0], np.cumsum(lengths // STEP + 2)])
-        self.step = np.repeat(self.first[:-1], np.diff(self.edges)) + self.at // STEP
+        step = np.repeat(self.first[:-1], np.diff(self.edges)) + self.at // STEP
+        self.step, self.word = np.divmod(np.unique(step * weight.size + self.term), weight.size)  # each word once a step
+        self.begin = np.searchsorted(self.step, np.arange(self.first[-1] + 1))
         self.weight = weight
 
-    def rows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(place in windows, term)`` of the windows' words, each once, by place."""
-        size = self.weight.size
-        a, b = np.searchsorted(self.step, windows), np.searchsorted(self.step, windows + 2)
-        n = b - a
-        hit = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.divmod(np.unique(np.repeat(np.arange(windows.size), n) * size + self.term[hit]), size)
-
-    def project(self, basis: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        place, term = self.rows(windows)
-        sums = np.zeros((windows.size, basis.shape[1]), np.float32)
-        if place.size:
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(place) > 0]))
-            sums[place[cut]] = np.add.reduceat(basis[term] * self.weight[term, None], cut, axis=0)
+    def energy(self) -> np.ndarray:
+        """Of each window; not less than the weight of its different words."""
+        e = np.bincount(self.step, self.weight[self.word] ** 2, self.first[-1])
+        return e[:-1] + e[1:]
+
+    def project(self, weighted: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Sums of the steps' rows of ``weighted`` (a basis times the words' weights)."""
+        sums = np.zeros((last - first, weighted.shape[1]), np.float32)
+        cut = self.begin[first : last + 1]
+        held = np.flatnonzero(np.diff(cut))
+        if held.size:
+            sums[held] = np.add.reduceat(weighted[self.word[cut[0] : cut[-1]]], cut[held] - cut[0], axis=0)
         return sums
 
 
 def corpus_sketch(hits: DataFrame, weight: np.ndarray, topics: int) -> np.ndarray:
-    """``A^T A Omega`` over all corpus windows A (side by side), for a fixed random Omega."""
+    """``A^T A Omega`` over all steps A of the corpus, for a fixed random Omega."""
     size = weight.size
     names = [f"g{i}" for i in range(topics)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        omega = np.random.default_rng(SEED).normal(size=(size, topics)).astype(np.float32)
+        omega = (np.random.default_rng(SEED).normal(size=(size, topics)) * weight[:, None]).astype(np.float32)
         held = np.zeros((size, topics))
         for batch in batches:
             w = Windows(batch.column(0).to_numpy(), batch.column(1), batch.column(2), weight)
-            every = np.unique(w.step // 2 * 2)
-            for at in range(0, every.size, WINDOWS_AT_ONCE):
-                some = every[at : at + WINDOWS_AT_ONCE]
-                place, term = w.rows(some)
-                z = w.project(omega, some)
+            for at in range(0, w.first[-1], STEPS_AT_ONCE):
+                end = min(at + STEPS_AT_ONCE, w.first[-1])
+                z, hit = w.project(omega, at, end), slice(w.begin[at], w.begin[end])
+                spread = z[w.step[hit] - at] * weight[w.word[hit], None]
                 for k in range(topics):
-                    held[:, k] += np.bincount(term, z[place, k] * weight[term], size)
+                    held[:, k] += np.bincount(w.word[hit], spread[:, k], size)
         seen = np.flatnonzero(held.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(held[seen, i]) for i in range(topics))], ["term", *names])
 
@@ -225,18 +224,18 @@ def block_leaks(docs: DataFrame, block: list[Item], topics: int) -> DataFrame:
     coded = [(item, [vocabulary[w] for w in p]) for item, p in block]
     short = [(item, p, int(np.argmin(counts[p]))) for item, p in coded if len(p) < LEAST_WORDS]
     long = [(item, p) for item, p in coded if len(p) >= LEAST_WORDS]
-    long.sort(key=lambda x: float((weight[list(set(x[1]))] ** 2).sum()))
     rows = np.zeros((len(long), len(vocabulary)), np.float32)
     for i, (_, p) in enumerate(long):
         rows[i, p] = weight[p]
-    basis = latent_space(rows, corpus_sketch(hits, weight, topics)) if long else np.zeros((len(vocabulary), 0), np.float32)
+    energy = (rows**2).sum(axis=1)
+    basis = latent_space(rows / np.sqrt(energy)[:, None], corpus_sketch(hits, weight, topics)) if long else np.zeros((len(vocabulary), 0), np.float32)
     latent = rows @ basis
     length = np.linalg.norm(latent, axis=1)
-    shared = docs.sparkSession.sparkContext.broadcast((weight, basis, latent / np.maximum(1e-9, length)[:, None], length, long, short, [bool((idf[p] < LEAST_IDF).all()) for _, p in long]))
-    energy = (rows**2).sum(axis=1)
+    least = COVER * float(energy.min(initial=np.inf))
+    shared = docs.sparkSession.sparkContext.broadcast((weight, basis * weight[:, None], latent / np.maximum(1e-9, length)[:, None], length, long, short, [bool((idf[p] < LEAST_IDF).all()) for _, p in long]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, unit, length, long, short, frequent = shared.value
+        weight, weighted, unit, length, long, short, frequent = shared.value
         for batch in batches:
             w = Windows(batch.column("n_words").to_numpy(), batch.column("at"), batch.column("term"), weight)
             best: dict[tuple[int, int | None], tuple[float, float, float]] = {}
@@ -255,16 +254,14 @@ def block_leaks(docs: DataFrame, block: list[Item], topics: int) -> DataFrame:
             if not long:
                 yield answer(batch, best)
                 continue
-            in_step = np.bincount(w.step, weight[w.term] ** 2, w.first[-1])
-            in_window = in_step[:-1] + in_step[1:]  # not less than the weight of the window's different words
-            windows = np.flatnonzero(in_window >= COVER * energy[0])
-            windows = windows[np.argsort(in_window[windows])]
-            for at in range(0, windows.size, WINDOWS_AT_ONCE):
-                some = windows[at : at + WINDOWS_AT_ONCE]
-                reach = int(np.searchsorted(energy, in_window[some[-1]] / COVER, "right"))  # passages that such windows can cover
-                z = w.project(basis, some)
-                dots = z @ unit[:reach].T
-                x, y = np.nonzero(dots >= COVER * length[:reach])
+            energy = w.energy()
+            for at in range(0, energy.size, STEPS_AT_ONCE):
+                end = min(at + STEPS_AT_ONCE, energy.size)
+                some = at + np.flatnonzero(energy[at:end] >= least)  # others can't cover a passage's weight
+                steps = w.project(weighted, at, end + 1)
+                z = steps[some - at] + steps[some - at + 1]
+                dots = z @ unit.T
+                x, y = np.nonzero(dots >= COVER * length)
                 cosine = dots[x, y] / np.maximum(1e-9, np.linalg.norm(z[x], axis=1))
                 docs = np.searchsorted(w.first, some[x], "right") - 1
                 begin = (some[x] - w.first[docs]) * STEP
