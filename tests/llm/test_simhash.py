@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from trawl.llm.simhash import fingerprint, linked, simhash_groups
+from trawl.llm.simhash import fingerprint, linked, radius_for, simhash_groups, wide_fingerprint, without_near_copies
 
 SCHEMA = "doc_id long, text string, fp string, root int"
 
@@ -36,7 +36,7 @@ def test_tiles_lose_no_link():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 900, np.int64).view(np.uint64)
     b = np.concatenate([a[:300] ^ np.uint64(0b1011), rng.integers(0, 2**63, 300, np.int64).view(np.uint64)])
-    moved, root = linked(a, b, 4)
+    moved, root = (x.ravel() for x in linked(a[:, None], b[:, None], 4))
     assert {frozenset(p) for p in zip(moved.tolist(), root.tolist(), strict=True)} == {frozenset((int(x), int(x) ^ 0b1011)) for x in a[:300]}
 
 
@@ -46,3 +46,29 @@ def test_empty_table(spark):
 
 def test_words_split_on_ascii_space_only():
     assert fingerprint("a b".encode(), 4) == fingerprint("A B".encode(), 4) != fingerprint(b"a b", 4)
+
+
+def test_wide_fingerprints_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 120)) for _ in range(40)]
+    texts += [" ".join(w if i % 60 != k else "x" for i, w in enumerate(t.split())) for k, t in enumerate(texts[:20])]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, texts[1])]
+    fps = [wide_fingerprint(t.encode(), 5, 4) for _, t in docs]
+    assert all(int(f[0]) == fingerprint(t.encode(), 5) for f, (_, t) in zip(fps, docs, strict=True))
+    radius = radius_for(0.8, 256)
+    near = lambda a, b: int(np.bitwise_count(a ^ b).sum()) <= radius
+    low = {i: i for i, _ in docs if i is not None}
+    for _ in low:
+        low = {i: min(low[j] for j, g in enumerate(fps[:60]) if near(fps[i], g)) for i in low}
+    assert {i for i, k in low.items() if i != k} >= set(range(40, 60))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash_groups(table, 5, radius, block_rows=9, lanes=4).collect() if r.doc_id is not None} == set(low.items())
+    kept = [r.doc_id for r in without_near_copies(table).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted([0] + [i for i, k in low.items() if i == k]) and kept.count(None) == 2
+
+
+def test_radius_and_null_ids(spark):
+    assert radius_for(1.0, 256) == 0 and 38 < radius_for(0.8, 256) < 52
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "x y")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash_groups(docs).collect()) == [(0, 0), (0, 7), (0, 7), (7, 7)]
