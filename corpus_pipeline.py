@@ -1,7 +1,9 @@
 """A training corpus from raw documents, in five stages, each written and read again.
 
 Every stage takes what its predecessor kept and uses the operators' production
-parameters. All but the last return the columns of ``documents``.
+parameters. All but the last return the columns of ``documents``. Rows with a null id
+are judged, cleaned of lines and benchmark items, and packed as all others; only the near-copy stage
+can't name them and leaves them. Null texts stay null; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from trawl.llm.decontaminate import clean
 from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
 from trawl.llm.quality import judge
-from trawl.llm.simhash import simhash_groups
+from trawl.llm.simhash import without_near_copies
 
 
 def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,9 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group stays."""
-    groups = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi")
+    """The document with the smallest id of each group of near copies (five words, similarity 0.8) stays; so do rows without an id."""
+    return without_near_copies(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
