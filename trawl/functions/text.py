@@ -18,6 +18,19 @@ def hit(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(rules.ascii_bounds(pattern)), F.lit(False))
 
 
+def may_hit(low: Column, pattern: str) -> Column:
+    """Can the pattern match a text whose lower case is ``low``? Looks for its literals only, which is far cheaper than the pattern."""
+    found = F.lit(not rules.needed(pattern))
+    for literal in rules.needed(pattern):
+        found = found | low.contains(literal)
+    return found
+
+
+def gated_hit(text: Column, low: Column, pattern: str) -> Column:
+    """``hit``, with the pattern tried only on texts that hold one of its literals."""
+    return F.when(may_hit(low, pattern), hit(text, pattern)).otherwise(F.lit(False))
+
+
 def clip(text: Column, n: int) -> Column:
     """White space as one space, trimmed and cut."""
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, n)
@@ -133,9 +146,11 @@ def is_cradle(command: Column) -> Column:
     return (F.length(command) <= 4000) & hit(command, rules.LOLBIN) & hit(command, rules.EXEC_CHAIN) & hit(stripped, rules.PAYLOAD)
 
 
-def has_untrusted_binary(text: Column) -> Column:
+def has_untrusted_binary(text: Column, low: Column | None = None) -> Column:
     """A URL of an executable on a host that distributes none."""
     hosts = F.regexp_extract_all(text, F.lit(rules.ascii_bounds(rules.REMOTE_BINARY)), F.lit(1))
+    if low is not None:
+        hosts = F.when(may_hit(low, rules.REMOTE_BINARY), hosts)
     return F.coalesce(F.exists(hosts, lambda h: ~h.rlike(rules.TRUSTED_HOST)), F.lit(False))
 
 
@@ -144,7 +159,7 @@ def host_port(raw: Column) -> Column:
     scheme = F.lower(F.regexp_extract(raw, r"(?i)^([a-z][a-z0-9+.-]*)://", 1))
     rest = F.regexp_replace(raw, r"(?i)^[a-z][a-z0-9+.-]*://", "")
     authority = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#\s]*)", 1), r"^.*@", "")
-    domain = F.lower(F.regexp_extract(authority, r"^([^:]*)", 1))
+    domain = F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1))
     port = F.regexp_extract(authority, r":(\d+)$", 1)
     default = F.when(scheme == "https", "443").when(scheme.isin("http", ""), "80").otherwise("")
     return F.struct(domain.alias("domain"), F.when(domain.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), domain).otherwise("").alias("ip"), F.when(port == default, "").otherwise(port).alias("port"))

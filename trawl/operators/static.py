@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.rules import Rule
-from trawl.functions.text import deobfuscate, expand_script_vars, has_untrusted_binary, hit, invisible_count, is_cradle
+from trawl.functions.text import deobfuscate, expand_script_vars, gated_hit, has_untrusted_binary, hit, invisible_count, is_cradle, may_hit
 
 SCRIPTS, JS = r"(?i)\.(?:bat|cmd|ps1|sh)$", r"(?i)\.(?:js|cjs|mjs)$"
 QUOTED = r"""('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`)"""
@@ -31,30 +31,33 @@ def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -
 
     The rules are folded into one array of tests per file, so a file is read once and no join is needed.
     """
-    path, text, raw, full = F.col("path"), F.col("text"), F.col("content"), F.col("expanded")
+    path, text, raw, full, low = F.col("path"), F.col("text"), F.col("content"), F.col("expanded"), F.col("low")
     app = ~path.rlike(r"(^|/)node_modules/")
     script = path.rlike(SCRIPTS)
-    count = lambda patterns: sum((hit(text, p).cast("int") for p in patterns), F.lit(0))
-    ids, every = count(rules.RECON_IDENTITY), count(rules.RECON_IDENTITY + rules.RECON_SYSTEM + rules.RECON_NETWORK)
-    runs = hit(text, rules.EXEC)
+    seen = lambda p: gated_hit(text, low, p)
+    count = lambda patterns: sum((seen(p).cast("int") for p in patterns), F.lit(0))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED))
     commands = F.when(script, F.concat(quoted, F.split(text, r"\r?\n"))).otherwise(quoted)
+    commands = F.when(may_hit(low, rules.LOLBIN) & may_hit(low, rules.PAYLOAD), F.filter(commands, is_cradle))
+    shared = {"ids": count(rules.RECON_IDENTITY), "others": count(rules.RECON_SYSTEM + rules.RECON_NETWORK), "runs": seen(rules.EXEC), "cradles": commands, "untrusted": has_untrusted_binary(text, low)}
+    ids, every, runs, cradles = F.col("ids"), F.col("ids") + F.col("others"), F.col("runs"), F.col("cradles")
     found = lambda condition, points, reason, tier="primary", detail=None: F.when(condition, F.struct(F.lit(points).alias("points"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"), (F.lit(None) if detail is None else F.substring(detail, 1, 220)).cast("string").alias("detail"), F.lit(tier).alias("tier")))
     battery = F.concat(F.lit("host reconnaissance battery ("), every.cast("string"), F.lit(" enumeration commands incl. "), ids.cast("string"), F.lit(" account/privilege probe(s))"))
-    tests = [found(hit(text, r.pattern) & (app if r.scope == "app" else F.lit(True)), r.points, r.reason, r.tier) for r in pack]
+    tests = [found(seen(r.pattern) & (app if r.scope == "app" else F.lit(True)), r.points, r.reason, r.tier) for r in pack]
     tests += [
-        found(has_untrusted_binary(text), 45, "downloads an executable/script binary from a non-distribution host"),
+        found(F.col("untrusted"), 45, "downloads an executable/script binary from a non-distribution host"),
         found(script & hit(full, rules.LOLBIN) & has_untrusted_binary(full) & hit(full, rules.SCRIPT_EXEC_VERB), 55, rules.CRADLE_REASON, detail=F.regexp_replace(full, r"\s+", " ")),
         found(script & hit(full, rules.ENCODED_COMMAND), 50, rules.ENCODED_REASON),
-        found(app & F.exists(commands, is_cradle), 55, rules.CRADLE_REASON, detail=F.try_element_at(F.filter(commands, is_cradle), F.lit(1))),
+        found(app & (F.size(cradles) > 0), 55, rules.CRADLE_REASON, detail=F.try_element_at(cradles, F.lit(1))),
         found(app & (ids >= 1) & (every >= 3) & runs, 45, battery),
-        found(app & hit(text, rules.HIDDEN_WINDOW) & runs, 15, "executes a child process with windowsHide:true (concealed execution)", "supporting"),
-        found(app & hit(text, rules.SOCKET) & runs & hit(text, rules.SHELL_BINARY), 55, "reverse shell pattern (outbound TCP socket spawning a shell interpreter in the same file)"),
-        found(app & hit(text, rules.DROP_TO_TEMP) & runs, 50, "drops an executable into a temp directory and launches it (dropper)"),
-        found(app & hit(raw, rules.OBFUSCATOR), 25, "javascript-obfuscator string-array decoder present (deliberate code hiding)", "supporting"),
-        found(~app & path.rlike(JS) & (F.length(raw) <= 200 * 1024) & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
+        found(app & runs & seen(rules.HIDDEN_WINDOW), 15, "executes a child process with windowsHide:true (concealed execution)", "supporting"),
+        found(app & runs & seen(rules.SOCKET) & seen(rules.SHELL_BINARY), 55, "reverse shell pattern (outbound TCP socket spawning a shell interpreter in the same file)"),
+        found(app & runs & seen(rules.DROP_TO_TEMP), 50, "drops an executable into a temp directory and launches it (dropper)"),
+        found(app & raw.contains("_0x") & hit(raw, rules.OBFUSCATOR), 25, "javascript-obfuscator string-array decoder present (deliberate code hiding)", "supporting"),
+        found(~app & path.rlike(JS) & (F.length(raw) <= 200 * 1024) & raw.contains("_0x") & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
     ]
     shown = files.withColumn("text", deobfuscate(F.col("content"))).withColumn("expanded", expand_script_vars(F.when(script, F.col("text"))))
+    shown = shown.withColumn("low", F.lower("text")).select("*", *(v.alias(k) for k, v in shared.items()))  # each shared test once
     told = shown.select("sample_key", "path", F.explode_outer(F.filter(F.array(*tests), lambda f: f.isNotNull())).alias("f")).where("f IS NOT NULL")  # outer: no second pass to filter empty arrays
     return told.select("sample_key", "f.points", "f.reason", F.col("path").alias("file"), "f.detail", "f.tier")
 

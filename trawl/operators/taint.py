@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
-from trawl.functions.text import decode_layers, hit, redact
+from trawl.functions.text import decode_layers, hit, may_hit, redact
 
 
 def path_categories(path: Column) -> Column:
@@ -15,8 +15,14 @@ def path_categories(path: Column) -> Column:
 
 def content_secrets(text: Column) -> Column:
     """``array<struct(category, severity, raw)>``: the first match of each content rule, in rule order."""
-    one = lambda s: F.when(hit(text, s.content), F.struct(F.lit(s.category).alias("category"), F.lit(s.severity).alias("severity"), F.regexp_extract(text, rules.ascii_bounds(f"({s.content})"), 1).alias("raw")))
-    return F.filter(F.array(*(one(s) for s in rules.SECRETS if s.content)), lambda x: x.isNotNull())
+    low = F.lower(text)
+
+    def one(s: rules.Secret) -> Column:
+        raw = F.regexp_extract(text, rules.ascii_bounds(f"({s.content})"), 1)  # no rule matches an empty text
+        raw = F.when(may_hit(low, s.content), raw).otherwise(F.lit("")) if rules.needed(s.content) else raw
+        return F.struct(F.lit(s.category).alias("category"), F.lit(s.severity).alias("severity"), raw.alias("raw"))
+
+    return F.filter(F.array(*(one(s) for s in rules.SECRETS if s.content)), lambda x: x["raw"] != "")
 
 
 def classify(rows: DataFrame, text: str) -> DataFrame:
@@ -27,11 +33,11 @@ def classify(rows: DataFrame, text: str) -> DataFrame:
 
 def sensitive_reads(reads: DataFrame) -> DataFrame:
     """``reads(sample_key, seq, path, content)`` that any rule names, with categories, worst severity and quiet flag."""
-    secrets = content_secrets(F.col("content"))
-    categories = F.array_distinct(F.concat(path_categories(F.col("path")), F.transform("secrets", lambda s: s["category"])))
+    categories = F.array_distinct(F.concat(path_categories(F.col("path")), F.coalesce(F.transform("secrets", lambda s: s["category"]), F.array())))
     critical = F.array(*(F.lit(s.category) for s in rules.SECRETS if s.severity == "CRITICAL"))
     quiet = F.array(*(F.lit(s.category) for s in rules.SECRETS if s.quiet))
-    found = reads.withColumn("secrets", secrets).withColumn("categories", categories).where(F.size("categories") > 0)
+    told = reads.withColumn("_told", F.explode_outer(F.array(content_secrets(F.col("content"))))).withColumn("secrets", F.coalesce("_told", F.array().cast("array<struct<category:string,severity:string,raw:string>>"))).drop("_told")
+    found = told.withColumn("categories", categories).where(F.size("categories") > 0)  # after the explode, so no filter evaluates the rules again
     return found.withColumns({"severity": F.when(F.arrays_overlap("categories", critical), "CRITICAL").otherwise("WARN"), "quiet": F.size(F.array_except("categories", quiet)) == 0})
 
 

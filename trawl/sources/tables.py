@@ -14,15 +14,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     The header is matched by name, so columns may come in any order.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "")
     wanted = spark.createDataFrame([], schema).columns
     try:
         found = reader.csv(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     names = {c.strip(): c for c in found.columns}
-    if len(found.columns) > 1:
-        found = found.where(F.coalesce(*(F.col(f"`{c}`") for c in found.columns[1:])).isNotNull() | F.col(f"`{found.columns[0]}`").isNotNull())
+    if len(found.columns) > 1:  # fields a record lacks are null, empty ones are not
+        found = found.where(F.coalesce(*(F.col(f"`{c}`") for c in found.columns[1:])).isNotNull())
     return found.select(*(F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in wanted))
 
 
