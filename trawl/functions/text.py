@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType
 
 from trawl.functions import rules
 
+#: A quoted string; possessive throughout, so that long ones need no stack.
+STRING = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
+
 
 def hit(text: Column, pattern: str) -> Column:
     """Does the pattern match? False for null."""

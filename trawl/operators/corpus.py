@@ -89,9 +89,9 @@ def select(samples: DataFrame, include=None, exclude=None, latest: bool = False,
     chosen = tier_filter(samples, include, exclude)
     if latest:
         chosen = latest_only(chosen)
-    if limit:
-        chosen = chosen.orderBy(F.collate("id", "UNICODE") if latest else corpus_order(), F.concat("id", "version")).limit(limit)
-    return chosen
+    if latest or limit:
+        chosen = chosen.orderBy(F.collate("id", "UNICODE") if latest else corpus_order(), F.concat("id", "version"))
+    return chosen.limit(limit) if limit else chosen
 
 
 def pending(todo: DataFrame, done: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.rules import Rule
-from trawl.functions.text import deobfuscate, expand_script_vars, gated_hit, has_untrusted_binary, hit, invisible_count, is_cradle, may_hit
+from trawl.functions.text import STRING, deobfuscate, expand_script_vars, gated_hit, has_untrusted_binary, hit, invisible_count, is_cradle, may_hit
 
 SCRIPTS, JS = r"(?i)\.(?:bat|cmd|ps1|sh)$", r"(?i)\.(?:js|cjs|mjs)$"
-QUOTED = r"""('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`)"""
+QUOTED = f"({STRING})"
 
 
 def within_budget(files: DataFrame, names: Sequence[str] = tuple(rules.OWN_REPORTS), max_files: int = rules.MAX_FILES, max_bytes: int = rules.MAX_TOTAL_BYTES) -> DataFrame:
@@ -93,6 +93,17 @@ def manifest_findings(manifests: DataFrame, stats: DataFrame) -> DataFrame:
     return told.select("sample_key", "f.points", "f.reason", F.lit("package.json").alias("file"), "f.detail", "f.tier")
 
 
+def package_findings(files: DataFrame, manifests: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -> DataFrame:
+    """All that is found in a package: by its files' text and shapes, its invisible code points and its manifest."""
+    from trawl.operators.shapes import shape_findings
+
+    parts = [findings(files, pack), shape_findings(files), invisible_findings(files), manifest_findings(manifests, file_stats(files))]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def once(found: DataFrame) -> DataFrame:
     """A reason counts once for a sample: with its most points, in its first file."""
     best = F.max("points").alias("points"), F.min_by(F.struct("file", "detail", "tier"), F.struct(-F.col("points"), F.col("file"))).alias("f")

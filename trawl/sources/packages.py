@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,7 @@ from trawl.functions.text import hit
 PRUNED = r"(^|/)(node_modules|\.git|\.vscode-test|out-test|__pycache__)/"
 DEPTH, FOLDER_DEPTH = 8, 6
 MAX_ENTRIES, MAX_BYTES = 20_000, 400 * 1024 * 1024
+BATCH_ROWS, BATCH_BYTES = 1000, 16 * 1024 * 1024
 ENTRIES = "target string, path string, size long, is_dir boolean, content binary, error string"
 
 
@@ -29,6 +30,37 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("size"))
 
 
+def corpus_root(paths: Sequence[str], root: str, levels: int = 4) -> str:
+    """The folder that holds a corpus: wrappers of one folder, named like the one above or as archives unpack, are entered.
+
+    ``paths`` are the files below ``root`` (a listing; no contents are read).
+    """
+    held, at = {tuple(p.removeprefix(root.rstrip("/")).strip("/").split("/")) for p in paths if p.startswith(root)}, root.rstrip("/")
+    for _ in range(levels):
+        folders = {p[0] for p in held if len(p) > 1}
+        shown = sorted(f for f in folders if not f.startswith("."))
+        if {"extensions", "metadata"} <= folders or any(len(p) == 1 and p[0].lower().endswith(".vsix") for p in held):
+            break
+        if len(shown) != 1 or not (shown[0].lower() == at.rpartition("/")[2].lower() or shown[0] in ("vsmex-dataset", "vsmex-main", "extensions")):
+            break
+        held, at = {p[1:] for p in held if p[0] == shown[0] and len(p) > 1}, f"{at}/{shown[0]}"
+    return at
+
+
+def corpus_kind(paths: Sequence[str], root: str) -> str:
+    """What a corpus is, by its folders or its name."""
+    folders = {p.removeprefix(root.rstrip("/")).strip("/").split("/")[0] for p in paths if p.startswith(root) and "/" in p.removeprefix(root.rstrip("/")).strip("/")}
+    name = root.rstrip("/").rpartition("/")[2].lower()
+    if {"extensions", "metadata"} <= folders:
+        return "vsmex"
+    return next((f"datadog-{k}" for k in ("malicious", "benign") if k in name), "generic")
+
+
+def chosen_corpora(corpora: Sequence[tuple[str, str]], wanted: str, present: Callable[[str], bool]) -> list[tuple[str, str]]:
+    """Of ``(group, folder)`` those of the wanted group (``all``: every one) whose folder is there."""
+    return [(g, d) for g, d in corpora if wanted.lower() in ("all", g.lower()) and present(d)]
+
+
 def find_archives(spark: SparkSession, root: str) -> DataFrame:
     """``(target, is_dir, size)`` of all archives under ``root``."""
     inside = below(F.col("path"), root)
@@ -66,13 +98,20 @@ def archive_entries(spark: SparkSession, root: str, pattern: str = "*.[vV][sS][i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
         names = ["target", "path", "size", "is_dir", "content", "error"]
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            rows.clear()
+            return made
+
         for batch in batches:
-            for target, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for target, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 spent = 0
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(raw))
+                    archive = zipfile.ZipFile(io.BytesIO(raw.as_py()))
                 except (zipfile.BadZipFile, ValueError, OSError) as e:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((target, "", 0, False, None, f"not an archive: {e}"), kinds, strict=True)], names)
+                    rows.append((target, "", 0, False, None, f"not an archive: {e}"))
                     continue
                 for info in archive.infolist()[:MAX_ENTRIES]:
                     content = error = None
@@ -87,7 +126,13 @@ def archive_entries(spark: SparkSession, root: str, pattern: str = "*.[vV][sS][i
                                 content = archive.read(info)
                             except Exception as e:  # noqa: BLE001  a broken entry is a result
                                 error = f"{type(e).__name__}: {e}"
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((target, info.filename, info.file_size, info.is_dir(), content, error), kinds, strict=True)], names)
+                    rows.append((target, info.filename, info.file_size, info.is_dir(), content, error))
+                    held += len(content or b"")
+                    if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
+                        yield flush()
+                        held = 0
+        if rows:
+            yield flush()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select("path", "content").mapInArrow(run, ENTRIES).withColumn("path", safe_path(F.col("path")))

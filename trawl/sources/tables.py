@@ -14,16 +14,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     The header is matched by name, so columns may come in any order.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "")
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
     wanted = spark.createDataFrame([], schema).columns
     try:
-        found = reader.csv(path)
+        header = reader.csv(path).columns
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    names = {c.strip(): c for c in found.columns}
-    if len(found.columns) > 1:  # fields a record lacks are null, empty ones are not
-        found = found.where(F.coalesce(*(F.col(f"`{c}`") for c in found.columns[1:])).isNotNull())
-    return found.select(*(F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in wanted))
+    names = {c.strip(): f"_{i}" for i, c in enumerate(header)}
+    found = reader.schema(", ".join([*(f"_{i} string" for i in range(len(header))), "_raw string"])).option("columnNameOfCorruptRecord", "_raw").csv(path)
+    if len(header) > 1:  # a record short of fields keeps its raw text; without a comma outside quotes it has one field
+        found = found.where(F.coalesce(*(F.col(f"_{i}") for i in range(1, len(header)))).isNotNull() | F.col("_raw").isNull() | F.regexp_replace("_raw", '"[^"]*"', "").contains(","))
+    return found.select(*(F.coalesce(names[c], F.lit("")).alias(c) if c in names else F.lit("").alias(c) for c in wanted))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
