@@ -65,6 +65,6 @@ def sinks(events: DataFrame) -> DataFrame:
         F.when(module.isin("http", "https", "fetch", "axios"), F.struct(address.alias("destination"), text("url", "body").alias("payload")))
         .when(module.isin("net", "tls") & call.isin("write", "end", "connect"), F.struct(F.concat_ws(":", a("host"), a("port")).alias("destination"), text("data").alias("payload")))
         .when(module == "dns", F.struct(F.concat(F.lit("dns:"), F.coalesce(a("hostname"), F.lit(""))).alias("destination"), text("hostname").alias("payload")))
-        .when(module == "child_process", F.struct(F.concat(F.lit("process:"), F.substring(F.coalesce(a("command"), F.lit("")), 1, 80)).alias("destination"), F.concat_ws("\n", text("command", "args"), F.array_join(environment, "\n")).alias("payload")))
+        .when(module == "child_process", F.struct(F.concat(F.lit("process:"), F.substring(F.coalesce(a("command"), F.lit("")), 1, 80)).alias("destination"), F.concat_ws("\n", a("command"), a("args"), environment).alias("payload")))
     )
     return events.select("sample_key", F.col("id").alias("seq"), sent.alias("s")).where("s.payload <> ''").select("sample_key", "seq", "s.destination", "s.payload")

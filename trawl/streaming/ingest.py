@@ -1,4 +1,4 @@
-"""Incremental evaluation: evidence that arrives is scored once and appended."""
+"""Incremental evaluation: evidence that arrives is scored once and appended; progress is told to a listener."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_at_once: int = 100, format: str = "parquet", **options: str) -> DataFrame:  # noqa: A002
@@ -25,6 +25,22 @@ def append_results(stream: DataFrame, score: Callable[[DataFrame], DataFrame], s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_current(counts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """The running result as it stands after each micro-batch, in a folder of its own; the last one holds."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number:012d}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_current(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``keep_current`` wrote last."""
+    rows = spark.read.option("basePath", sink).parquet(f"{sink}/batch=*")
+    newest = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == newest).drop("batch")
+
+
 def first_seen(stream: DataFrame, key: str, at: str, within: str = "30 days") -> DataFrame:
     """Resume inside a stream: the first row of each key; keys are forgotten after ``within``."""
     timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", within)
@@ -36,3 +52,24 @@ def running_counts(stream: DataFrame, at: str, window: str, late: str, *keys: st
     timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
     counts = timed.groupBy(F.window("_at", window), *keys).agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("window_start"), *keys, "n")
+
+
+class Progress(StreamingQueryListener):
+    """Tells how far a stream is: rows so far and the last micro-batch, through ``tell``."""
+
+    def __init__(self, tell: Callable[[str, int, int], None]) -> None:
+        self.tell, self.rows = tell, {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.rows[str(event.runId)] = 0
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + event.progress.numInputRows
+        self.tell("progress", event.progress.batchId, self.rows[run])
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.tell("failed" if event.exception else "done", -1, self.rows.pop(str(event.runId), 0))
