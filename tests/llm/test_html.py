@@ -34,6 +34,12 @@ def test_equals_plain_reading_of_the_table(spark, sf):
         ("<article><p>cut off <em>he", "cut off he"),
         ("<article>a<!-- <p>no</p> -->b&#8212;c &lt;p&gt;</article>", "ab—c <p>"),
         ("<article><p>broken <a href=\"x\">tag</p><p>next", "broken tag\nnext"),
+        ("<article><p>a</p><svg/><p>b</p><math display='block'/><p>c</p><svg><text>no</text></svg></article>", "a\nb\nc"),
+        ("<div class='content has-sidebar'>" + "<p>a body of some length, in plain words</p>" * 4 + "<div class='page-footer-links'>no</div></div>", "\n".join(["a body of some length, in plain words"] * 4)),
+        ("<div class='share-story'><p>" + "w " * 60 + "</p></div><div class='related-post'>no</div>", ("w " * 60).strip()),
+        ("<p>A short page.</p><p><a href=x>all of it link</a></p><p>Its end.</p>", "A short page.\nall of it link\nIts end."),
+        ("<article><p class='byline'>me<p>one<p>two</article>", "one\ntwo"),
+        ("<article><p>" + "x " * 300_000 + "</p></article>", ("x " * 300_000).strip()),
         ("<article><p>a< b and c</p><p>end <sp", "a< b and c\nend"),
     ],
 )

@@ -5,7 +5,8 @@ navigation, headers, footers, sidebars, notices, adverts, forms, comments, scrip
 and styles count no text, nor does link text. The text lengths of a sliding window of lines make the
 distribution: a surge is where it leaves zero, a dive where it falls back. The
 lines between a surge and its dive are the article if the page marks them as such
-(``article`` or ``main``) or the window reaches ``peak`` characters in between.
+(``article`` or ``main``) or the window reaches ``peak`` characters in between, or four fifths of the
+page's own greatest sum where that is less.
 
 Defined results: a null page is an empty one and gives an empty text; character
 references are decoded once; white space inside a block becomes one space; blocks
@@ -30,6 +31,7 @@ PEAK = 86
 #: Comments, elements whose content is no text, and tags.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>"
+    r"|<(?:svg|math)\b[^<>]*/>"
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|title|head(?=[\s>]))\b.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
@@ -43,6 +45,9 @@ BOILERPLATE = frozenset("nav header footer aside form menu button dialog".split(
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies consent copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
+#: Names that tell what a block has beside it, or what is done with an article, mark none.
+BESIDE, DONE_WITH, ARTICLES = frozenset("has with without no".split()), frozenset("search share social tags".split()), frozenset("article entry post story".split())
+NAME_PARTS = re.compile(r"[^\s\"']+")
 NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -52,7 +57,15 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if tag in ("html", "body", "main", "article") or not attributes:
         return False
-    return any(part.lower() in NAMES for value in NAMED.findall(attributes) for part in PARTS.findall(value))
+    return any(names_boilerplate(name) for value in NAMED.findall(attributes) for name in NAME_PARTS.findall(value))
+
+
+def names_boilerplate(name: str) -> bool:
+    """Does any word of a name mark boilerplate, as in ``page-footer``, but not ``has-sidebar`` or ``share-story``?"""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if not parts or parts[0] in BESIDE or parts[0] in DONE_WITH and parts[-1] in ARTICLES:
+        return False
+    return any(p in NAMES for p in parts)
 
 
 def lines_of(page: str) -> Iterator[tuple[str, bool, bool, int]]:
@@ -98,6 +111,8 @@ def lines_of(page: str) -> Iterator[tuple[str, bool, bool, int]]:
         elif tag not in VOID:
             if tag == "p" and open_tags[-1:] == ["p"]:
                 open_tags.pop()
+                if len(open_tags) < skip_from:
+                    skip_from = 0
             open_tags.append(tag)
             article += tag in ("article", "main")
             links += tag == "a"
@@ -113,14 +128,21 @@ def main_text(page: str | None, window: int = WINDOW, peak: int = PEAK) -> str:
     lines = list(lines_of(page or ""))
     if not lines:
         return ""
+    counted = np.array([counts for _, counts, _, _ in lines])
     weight = np.array([max(0, len(text) - linked) if counts else 0 for text, counts, _, linked in lines])
     marked = np.array([counts and article for _, counts, article, _ in lines])
     if marked.any():
         weight = np.where(marked, np.maximum(weight, 1), 0)
+    else:
+        peak = min(peak, int(0.8 * np.convolve(weight, np.ones(window, np.int64)).max()))  # a page of short lines has its own scale
     spread = np.convolve(weight, np.ones(window, np.int64))[: len(lines)]  # the window ends at the line
     flat = np.concatenate([[True], spread == 0, [True]])
     surges, dives = np.flatnonzero(flat[:-1] & ~flat[1:]), np.flatnonzero(~flat[:-1] & flat[1:])
-    kept = [i for a, b in zip(surges, dives, strict=True) if marked[a:b].any() or spread[a:b].max() >= peak for i in range(a, b) if weight[i]]
+    kept: list[int] = []
+    for a, b in zip(surges, dives, strict=True):
+        if marked[a:b].any() or spread[a:b].max() >= peak:
+            held = a + np.flatnonzero(weight[a:b])
+            kept += [i for i in range(held[0], held[-1] + 1) if weight[i] or counted[i] and not marked.any()]  # a line that is all link stays between others
     return "\n".join(lines[i][0] for i in kept)
 
 

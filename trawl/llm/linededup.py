@@ -83,7 +83,8 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     asked = stored(keys.join(shared, "key").groupBy(F.col("d").alias("ad"), F.col("t").alias("at")).agg(F.collect_set("p").alias("places")))
     wanted = broadcast_if(asked, BROADCAST_ROWS)
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")).join(wanted, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("t") == F.col("at")))
-    found = text.select(F.col("doc_id").alias("d"), "t", F.explode("places").alias("p"), "lines").select("d", "t", "p", words(F.col("lines")[F.col("p")]).alias("w")).dropDuplicates(["d", "t", "p"])
+    spots = F.transform("places", lambda p: F.struct(p.alias("p"), F.col("lines")[p].alias("line")))  # each place with its own line, not with all
+    found = text.select(F.col("doc_id").alias("d"), "t", F.explode(spots).alias("s")).select("d", "t", "s.p", words(F.col("s.line")).alias("w")).dropDuplicates(["d", "t", "p"])
     found = stored(found.select(lead("d", "t", "p").alias("at"), "w", F.size("w").alias("n"), F.monotonically_increasing_id().alias("k")))
     around = found.select("k", F.explode(section_keys(F.col("w"), F.col("n"))).alias("key"))  # a line's keys differ: they hold its section
     close = around.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
