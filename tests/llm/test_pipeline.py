@@ -44,3 +44,23 @@ def test_stages_take_effect(spark, sf, tmp_path):
 def test_run_equals_the_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.count() > 0 and rows.columns[:4] == ["doc_id", "start", "length", "ids_crc32"]
+
+
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    """Rows without an id or a text pass all stages; a contaminated one goes, named or not."""
+    item = "the answer to this long benchmark question stands in its last seven words here"
+    text = lambda k: " ".join(f"wort{(k * 7 + i * i) % 97}" for i in range(60))
+    rows = [(i, text(i), "en", "s", 1) for i in range(20)] + [(None, text(50), "en", "s", 1), (None, f"{text(51)} {item}", None, None, None), (30, None, None, None, None), (31, "", "en", "s", 0), (3, text(3), "en", "s", 1), (40, f"{text(52)}\n{item}", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    for name, df in (("full", docs), ("none", docs.limit(0))):
+        for table, data in (("documents", df), ("labels", labels), ("benchmark", bench)):
+            data.coalesce(1).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    held = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:4]:  # the first needs more text than this to judge by
+        held = stage(spark, held, f"{tmp_path}/full")
+        assert held.columns == docs.columns
+    left = [r.doc_id for r in held.collect()]
+    assert left.count(None) == 1 and 40 not in left and 30 in left and set(range(20)) <= set(left)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
