@@ -30,8 +30,8 @@ from trawl.llm.common import broadcast_if, stored
 MIN_WORDS = 8
 #: Sections of a line; an edit lies in one of them and leaves the words before and after it.
 CUTS = 8
-#: Rows of candidate lines (24 bytes each) that may be broadcast to fetch their words.
-BROADCAST_ROWS = 1_000_000
+#: Documents with candidate lines (some 64 bytes each) and their places (4 bytes each) that may be broadcast to fetch the words.
+BROADCAST_ROWS, BROADCAST_PLACES = 1_000_000, 4_000_000
 
 
 def words(line: Column) -> Column:
@@ -81,7 +81,8 @@ def near_lines(first: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     keys = first.select("d", "t", "p", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key IS NOT NULL")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     asked = stored(keys.join(shared, "key").groupBy(F.col("d").alias("ad"), F.col("t").alias("at")).agg(F.collect_set("p").alias("places")))
-    wanted = broadcast_if(asked, BROADCAST_ROWS)
+    places = asked.agg(F.sum(F.size("places"))).first()[0] or 0  # arrays: their lengths count too
+    wanted = broadcast_if(asked, BROADCAST_ROWS) if places <= BROADCAST_PLACES else asked
     text = docs.select("doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines")).join(wanted, F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("t") == F.col("at")))
     spots = F.transform("places", lambda p: F.struct(p.alias("p"), F.col("lines")[p].alias("line")))  # each place with its own line, not with all
     found = text.select(F.col("doc_id").alias("d"), "t", F.explode(spots).alias("s")).select("d", "t", "s.p", words(F.col("s.line")).alias("w")).dropDuplicates(["d", "t", "p"])
