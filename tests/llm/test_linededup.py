@@ -1,6 +1,7 @@
 import random
 import re
 
+from trawl.llm import linededup
 from trawl.llm.linededup import dedup_lines
 
 SCHEMA = "doc_id long, text string, t string, n_kept int, lines array<string>"
@@ -71,3 +72,10 @@ def test_repeated_rows_are_one_document(spark):
 def test_null_ids_and_empty_table(spark):
     assert run(spark, [(None, "a"), (1, "a\nz")]) == [(1, "z", 2, 1), (None, "a", 1, 1)]
     assert run(spark, []) == []
+
+
+def test_shuffled_past_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_PLACES", 0)
+    line = "one two three four five six seven eight"
+    rows = [(1, line), (2, f"{line} nine\nten"), (3, line)]
+    assert run(spark, rows) == brute(rows)
