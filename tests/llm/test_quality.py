@@ -106,6 +106,21 @@ def test_words_equal_definition(spark):
         assert math.isclose(got[k], math.exp(-sum(own) / len(own)), rel_tol=1e-4)
 
 
+def test_spread_words_weigh_the_same(spark):
+    rng = random.Random(5)
+    words = ["the", "of", "cat", "dog", "mat", "sat", "on", ",", "ran", "house"]
+    texts = [" ".join(rng.choices(words, range(20, 0, -2), k=rng.randrange(1, 60))) for _ in range(60)]
+    trusted = spark.createDataFrame([(t,) for t in texts[:40]], "text string").repartition(3)
+    logs = train(trusted)
+    keyed = spark.createDataFrame([*enumerate([*texts, "a zebra", "the", "x of the y"]), (0, texts[0])], "key long, text string").repartition(3)
+    plain, one, every = (train_words(trusted, logs, share) for share in (1, 0.12, 0))
+    assert not plain.hot and 0 < len(one.hot) < len(every.hot)
+    plain, *spread = ({r.key: r.perplexity for r in perplexities(keyed, m, logs).collect()} for m in (plain, one, every))
+    assert len(plain) == 63
+    for got in spread:
+        assert got.keys() == plain.keys() and all(math.isclose(got[k], plain[k], rel_tol=1e-9) for k in plain)
+
+
 def test_word_order_counts(spark):
     rng = random.Random(1)
     words = [a + b for a in ("ba", "le", "ti", "mo", "su", "ra") for b in ("n", "ker", "dal", "sto", "vi")]

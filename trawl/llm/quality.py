@@ -4,10 +4,12 @@ The model is trained on trusted text: documents labelled of good quality. It hol
 every word n-gram up to three words of that text, so it grows with the input; below single words
 stands a model of characters (32 symbols, four-grams, a table of 4 MB) that spells words never seen. An n-gram is a 48-bit hash.
 
-In its back-off form a log probability is a sum: what the spelling gives, plus a weight for each
-seen n-gram that ends at the word or stands before it. So tasks reduce documents to their distinct
-n-grams with counts, packed by hash shard; these meet the model's shard, where the
-weights are added up, and a document's perplexity follows from its sums. No task holds more than one shard of the model.
+In its back-off form a log probability is a sum: what the spelling gives, plus weights of the word,
+of the last two and three words, and of the one and two words before. All but the weights of single words belong to
+the shard of the trigram's middle word: trusted and asked trigrams are packed by it, meet there, and the
+weights are added up, so that a document's perplexity follows from its sums. Shards tell each other only how many
+n-grams have which count and how many left neighbours a word has. A hot middle word is spread over all shards by the word
+before it; its pairs are then counted in common. No task holds more than one shard of the model.
 
 A document is rejected if its perplexity exceeds the cut of its language and length (by powers of
 two): a quantile of trusted documents that the model was not trained on, a ``HELD`` th of all.
@@ -21,13 +23,17 @@ like the results are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +47,12 @@ HELD = 4
 LEAST = 100
 #: Words; a sign and a letter of a script without spaces stand alone.
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]")
-BEGIN, END = 1, 2
-SHARD_BITS = 6
-#: N-grams reduced and packed at once, and words whose hash and spelling a task remembers.
-GRAMS_AT_ONCE = 1 << 20
+NONE, BEGIN, END = range(3)
+#: Trusted text that one task weighs at once; shards grow in number with the text.
+SHARD_BYTES = 16 << 20
+LEAST_SHARDS = 32
+#: Words packed at once, and distinct words that the search for frequent ones remembers.
+WORDS_AT_ONCE = 1 << 20
 WORDS_HELD = 1 << 18
 #: Ids of trusted documents, or documents' perplexities, that may be broadcast.
 BROADCAST_ROWS = 4_000_000
@@ -78,15 +86,22 @@ def grams(text: str) -> np.ndarray:
     return sum(s[k : k + n] << BITS * (ORDER - 1 - k) for k in range(ORDER))
 
 
-def discounts(counts: DataFrame) -> Column:
-    """What the modified Kneser-Ney estimate takes off each count ``n``."""
-    n1, n2, n3, n4 = counts.agg(*(F.count_if(F.col("n") == k) for k in range(1, 5))).first()
+def rates_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What the modified Kneser-Ney estimate takes off counts of 1, 2, and 3 or more, from how many n-grams have counts 1 to 4."""
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     rates = [k - (k + 1) * y * b / a if a and b else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    rates = [min(max(r, 0.1), k - 0.05) for k, r in enumerate(rates, 1)]
+    return [min(max(r, 0.1), k - 0.05) for k, r in enumerate(rates, 1)]
+
+
+def taken_off(rates: list[float]) -> Column:
+    """What ``rates`` take off each count ``n``."""
     return F.when(F.col("n") == 1, rates[0]).when(F.col("n") == 2, rates[1]).otherwise(rates[2])
 
 
+def discounts(counts: DataFrame) -> Column:
+    return taken_off(rates_of(*counts.agg(*(F.count_if(F.col("n") == k) for k in range(1, 5))).first()))
+
+
 def discounted(counts: DataFrame, order: int, lower: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """One order of the model from ``counts(gram, n)``.
 
@@ -138,164 +153,340 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(16)
 
 
-class Words:
-    """Hashes and log probabilities by characters of a text's words."""
+def squeeze(values: np.ndarray) -> bytes:
+    """``values`` compressed, equal bytes of all values side by side."""
+    planes = values.view(np.uint8).reshape(values.size, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-    def __init__(self, logs: np.ndarray) -> None:
-        self.logs, self.held = logs, {}
 
-    def look_up(self, word: str) -> tuple[int, float]:
-        if len(self.held) >= WORDS_HELD:
-            self.held.clear()
-        spelt = float(self.logs[grams(word + " ")].sum(dtype=np.float64))
-        found = self.held[word] = xxhash.xxh64_intdigest(word) >> 16, spelt
-        return found
+def expand(data: bytes, kind: type) -> np.ndarray:
+    raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, raw.size // width).T).view(kind).ravel()
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Of the words between two begins and an end; the end is spelt as a line end."""
-        held = self.held
-        found = [held.get(w) or self.look_up(w) for w in WORD.findall(text.lower())]
-        end = float(self.logs[grams("\n")][0])
-        return np.array([BEGIN, BEGIN, *(h for h, _ in found), END], np.uint64), np.array([*(p for _, p in found), end])
 
+def found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the ``asked`` among sorted ``keys``; 0 where there is none."""
+    if not keys.size:
+        return np.zeros(asked.size)
+    at = np.minimum(np.searchsorted(keys, asked), keys.size - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
 
-def ngram_counts(trusted: DataFrame, logs: np.ndarray) -> DataFrame:
-    """``(gram, context, suffix, middle, last, spelt, n)`` of all word trigrams of ``trusted(text)``, as hashes."""
-    shared = trusted.sparkSession.sparkContext.broadcast(logs)
-    names = ["gram", "context", "suffix", "middle", "last", "spelt", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, size = Words(shared.value), [], 0
+def merged(key: np.ndarray, n: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, the sums of their counts, and the columns of one row of each."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(key.size, 1), bool), ordered[1:] != ordered[:-1]]))
+    return ordered[at], np.add.reduceat(n[order], at) if at.size else n, *(c[order[at]] for c in columns)
 
-        def flush() -> pa.RecordBatch:
-            one, spelt = (np.concatenate(x) for x in zip(*parts, strict=True))
-            two = mix(one[:, :2], one[:, 1:])
-            gram = mix(two[:, 0], one[:, 2])
-            _, at, n = np.unique(gram, return_index=True, return_counts=True)
-            columns = (gram[at], two[at, 0], two[at, 1], one[at, 1], one[at, 2])
-            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(spelt[at]), pa.array(n.astype(np.int64))], names)
 
-        for batch in batches:
-            for text in batch.column(0):
-                h, spelt = words.read(text.as_py())
-                parts.append((np.stack([h[:-2], h[1:-1], h[2:]], axis=1), spelt))
-                size += spelt.size
-                if size >= GRAMS_AT_ONCE // 4:
-                    yield flush()
-                    parts, size = [], 0
-        if parts:
-            yield flush()
+class Words:
+    """A batch of texts as numbers of words, with the words' hashes and log probabilities by characters."""
+
+    def __init__(self, logs: np.ndarray) -> None:
+        self.logs = logs
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.hashes = [NONE, BEGIN, END]
+        self.spelt = [0.0, 0.0, float(self.logs[grams("\n")][0])]  # an end is spelt as a line end
+
+    def number(self, word: str) -> int:
+        self.hashes.append(xxhash.xxh64_intdigest(word) >> 16)
+        self.spelt.append(float(self.logs[grams(word + " ")].sum(dtype=np.float64)))
+        made = self.numbers[word] = len(self.hashes) - 1
+        return made
 
-    rows = trusted.select("text").where("text <> ''").mapInArrow(run, "gram long, context long, suffix long, middle long, last long, spelt double, n long")
-    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in names[1:6]), F.sum("n").alias("n"))
+    def read(self, text: str) -> np.ndarray:
+        """Its words between two begins and an end."""
+        held = self.numbers
+        return np.array([1, 1, *(held.get(w) or self.number(w) for w in WORD.findall(text.lower())), 2], np.int64)
 
 
-def train_words(trusted: DataFrame, logs: np.ndarray) -> DataFrame:
-    """``(gram, weight)`` of all n-grams of ``trusted(text)``; a seen n-gram adds its weight to a text's log probability.
+PACKED = "shard int, kind int, words binary, first binary, middle binary, last binary, spelt binary, docs binary, keys binary"
+SIDE, TRUSTED, ASKED, LENGTHS = range(4)
 
-    Gram 0 stands before every word.
+
+def packed_trigrams(keyed: DataFrame, logs: np.ndarray, shards: int, hot: list[int], kind: int) -> DataFrame:
+    """``keyed(key, text)`` as packed rows for each shard: word trigrams in document order, and documents' lengths.
+
+    A trigram lies in the shard of its middle word, or if that is ``hot``, in that of its first two words;
+    asked trigrams with a hot middle word lie once more, without the first word, in that of the last two.
     """
-    three = stored(ngram_counts(trusted, logs))
-    two = stored(three.groupBy(F.col("suffix").alias("gram")).agg(F.first("middle").alias("context"), F.first("last").alias("suffix"), F.first("spelt").alias("spelt"), F.count("*").alias("n")))
-    one = stored(two.groupBy(F.col("suffix").alias("gram")).agg(F.lit(0).cast("long").alias("context"), F.first("spelt").alias("spelt"), F.count("*").alias("n")))
-    lower, weights = None, []
-    for counts in (one, two, three):
-        off = discounts(counts)
-        contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("taken")).withColumn("back", F.col("taken") / F.col("total"))
-        known = counts.join(contexts, "context")
-        low = F.exp("spelt") if lower is None else F.col("low")
-        if lower is not None:
-            known = known.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
-        lower = stored(known.select("gram", ((F.col("n") - off) / F.col("total") + F.col("back") * low).alias("p"), (F.col("back") * low).alias("unseen")))
-        weights.append(lower.select("gram", F.log(F.col("p") / F.col("unseen")).alias("weight")))
-        weights.append(contexts.select(F.col("context").alias("gram"), F.log("back").alias("weight")))
-    every = weights[0]
-    for more in weights[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("gram").agg(F.sum("weight").alias("weight"))
-
-
-def packed_documents(keyed: DataFrame, logs: np.ndarray) -> DataFrame:
-    """``keyed(key, text)`` as packed rows for each hash shard: its distinct n-grams, their documents and counts."""
-    shared = keyed.sparkSession.sparkContext.broadcast(logs)
-    names = ["shard", "kind", "high", "low", "runs", "doc", "n", "keys", "spelt"]
-    cut = np.arange(1, 1 << SHARD_BITS, dtype=np.uint64) << np.uint64(48 - SHARD_BITS)
+    shared = keyed.sparkSession.sparkContext.broadcast((logs, np.array(sorted(hot), np.uint64)))
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    types = [pa.int32()] * 2 + [pa.binary()] * 7
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value)
-        held, keys, lengths, spelt, size = [], [], [], [], 0
+        table, spread = shared.value
+        words, texts, keys, own_keys, size = Words(table), [], [], set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)  # by n-gram, then document
-            gram, doc = pairs >> np.uint64(16), (pairs & np.uint64(0xFFFF)).astype(np.uint16)
+            hashes, spelt = np.array(words.hashes, np.uint64), np.array(words.spelt)
+            u, v, w = (np.concatenate([t[k : t.size - 2 + k] for t in texts]) for k in range(3))
+            doc = np.repeat(np.arange(len(texts)), [t.size - 2 for t in texts])
+            home, wide = (hashes % np.uint64(shards)).astype(np.int64), np.isin(hashes, spread)
+            shard = home[v]
+            split = wide[v]
+            if split.any():
+                shard[split] = mix(hashes[u[split]], hashes[v[split]]) % np.uint64(shards)
+                if kind == ASKED:
+                    pair = (mix(hashes[v[split]], hashes[w[split]]) % np.uint64(shards)).astype(np.int64)
+                    shard, doc = np.concatenate([shard, pair]), np.concatenate([doc, doc[split]])
+                    u, v, w = np.concatenate([u, np.zeros(pair.size, np.int64)]), np.concatenate([v, v[split]]), np.concatenate([w, w[split]])
+            order = np.argsort(shard * len(texts) + doc, kind="stable")
+            shard, doc, u, v, w = shard[order], doc[order], u[order], v[order], w[order]
             every = np.array(keys, np.int64)
-            rows = [(0, 1, b"", b"", b"", b"", np.array(lengths, np.int64).tobytes(), every.tobytes(), np.array(spelt).tobytes())]
-            ends = [0, *np.searchsorted(gram, cut), gram.size]
-            for shard, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                if a < b:
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(gram[a:b]) > 0]))
-                    seen, runs = gram[a:b][first], np.diff(np.append(first, b - a)).astype(np.uint16)
-                    mine, local = np.unique(doc[a:b], return_inverse=True)
-                    fields = ((seen >> np.uint64(32)).astype(np.uint16), seen.astype(np.uint32), runs, local.astype(np.uint16), n[a:b].astype(np.uint32), every[mine])
-                    rows.append((shard, 2, *(f.tobytes() for f in fields), b""))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.binary()] * 7, strict=True)], names)
+            ends = np.append(np.flatnonzero(np.diff(shard)) + 1, shard.size)
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                seen = np.zeros(hashes.size, bool)
+                for part in (u, v, w):
+                    seen[part[a:b]] = True
+                used = np.flatnonzero(seen)
+                used = used[np.argsort(hashes[used])]
+                rank = np.zeros(hashes.size, np.uint32)
+                rank[used] = np.arange(used.size)
+                runs = np.bincount(doc[a:b], minlength=len(texts))
+                own = np.flatnonzero(runs)
+                fields = [squeeze(hashes[used]), *(squeeze(rank[part[a:b]]) for part in (u, v, w))]
+                fields += [squeeze(spelt[used[np.unique(rank[v[a:b]])]]) if kind == TRUSTED else b""]
+                fields += [squeeze(runs[own].astype(np.uint32)), squeeze(every[own])] if kind == ASKED else [b"", b""]
+                yield row(int(shard[a]), kind, *fields)
+            if kind == ASKED:
+                lengths = np.array([t.size - 2 for t in texts], np.uint32)
+                spelling = np.array([spelt[t[2:]].sum() for t in texts])
+                yield row(int(every[0] % shards), LENGTHS, b"", b"", b"", b"", squeeze(spelling), squeeze(lengths), squeeze(every))
+
+        def row(*fields: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f], t) for f, t in zip(fields, types, strict=True)], names)
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, p = words.read(text.as_py())
-                two = mix(h[:-1], h[1:])
-                every = np.concatenate([h[1:], two, mix(two[:-1], h[2:])])
-                held.append(every << np.uint64(16) | np.uint64(len(keys)))
+                if kind == ASKED and key in own_keys:  # a copy would add to length and sum alike
+                    continue
+                own_keys.add(key)
+                texts.append(words.read(text.as_py()))
                 keys.append(key)
-                lengths.append(p.size)
-                spelt.append(p.sum())
-                size += every.size
-                if size >= GRAMS_AT_ONCE or len(keys) == 1 << 15:
+                size += texts[-1].size
+                if size >= WORDS_AT_ONCE:
                     yield from flush()
-                    held, keys, lengths, spelt, size = [], [], [], [], 0
-        if keys:
+                    words.clear()
+                    own_keys.clear()
+                    texts, keys, size = [], [], 0
+        if texts:
             yield from flush()
 
-    return keyed.mapInArrow(run, "shard int, kind int, high binary, low binary, runs binary, doc binary, n binary, keys binary, spelt binary")
+    return keyed.mapInArrow(run, PACKED)
 
 
-def perplexities(keyed: DataFrame, model: DataFrame, logs: np.ndarray) -> DataFrame:
-    """``(key, perplexity)``, one row for each key of ``keyed(key, text)``; equal keys have equal texts."""
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("runs", "doc", "n", "keys", "spelt")]
+def trigrams(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    """``(gram, n, context, suffix, middle, last)`` of the distinct trigrams of packed rows."""
+    parts = []
+    for words, *numbers in rows:
+        word = expand(words, np.uint64)
+        u, v, w = (word[expand(k, np.uint32)] for k in numbers)
+        context = mix(u, v)
+        parts.append(merged(mix(context, w), np.ones(u.size, np.int64), context, mix(v, w), v, w))
+    return merged(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
-    def pack(rows: pa.Table) -> pa.Table:
-        gram, weight = rows.column("gram").to_numpy(), rows.column("weight").to_numpy()
-        order = np.argsort(gram)
-        return pa.table({"shard": rows.column("shard")[:1], "high": [gram[order].tobytes()], "low": [weight[order].tobytes()]})
 
-    packed = model.withColumn("shard", F.shiftright("gram", 48 - SHARD_BITS).cast("int")).groupBy("shard").applyInArrow(pack, "shard int, high binary, low binary")
-    packed = packed.select("shard", F.lit(0).alias("kind"), "high", "low", *empty)
+def frequent_words(texts: DataFrame, share: float) -> list[int]:
+    """Hashes of the words that fill more than ``share`` of a hashed sixteenth of the texts: fewer than ``1 / share``.
+
+    They only say how the work is spread; the model doesn't depend on them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        total = 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = WORD.findall(text.as_py().lower())
+                held.update(words)
+                total += len(words)
+                if len(held) > WORDS_HELD:  # a word left out here is no frequent one of this task
+                    held = Counter(dict(held.most_common(WORDS_HELD // 2)))
+        best = held.most_common(int(2 / share) if share else None)
+        rows = [(xxhash.xxh64_intdigest(w) >> 16, n) for w, n in best] + [(NONE, total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["word", "n"])
+
+    counts = pin(texts.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.where(F.col("word") == NONE).agg(F.max("n")).first()[0] or 0
+    return [r.word for r in counts.where((F.col("n") > total * share) & (F.col("word") != NONE)).collect()]
+
+
+@dataclass
+class Model:
+    """Packed trigrams of trusted text, and what a shard must know of the others to weigh them.
+
+    ``middles`` has what a hot middle word adds, ``start`` what single words leave to the spelling, ``end`` what a text's end adds.
+    """
+
+    packed: DataFrame
+    side: DataFrame
+    shards: int
+    hot: list[int]
+    rates: dict[int, list[float]]
+    middles: dict[int, float]
+    start: float
+    end: float
+
+
+def survey(packed: DataFrame, hot: list[int]) -> DataFrame:
+    """What each shard of ``packed`` tells the others.
+
+    Kind 0: how many n-grams of order ``a`` have count ``b``; 1: words ``a`` that end trigrams, with the number of their
+    left neighbours; 2: pairs of a hot word ``a`` and a word ``b``, hashed ``c``, likewise; 3: middle words and their spelling.
+    """
+    spread = np.array(sorted(hot), np.uint64)
+
+    def run(rows: pa.Table) -> pa.Table:
+        raw = [rows.column(c).to_pylist() for c in ("words", "first", "middle", "last", "spelt")]
+        _, n, _, suffix, middle, last = trigrams(list(zip(*raw[:4], strict=True)))
+        pair, left, middle, last = merged(suffix, np.ones(suffix.size, np.int64), middle, last)
+        wide = np.isin(middle, spread)
+        spelt = {}
+        for words, middles, known in zip(raw[0], raw[2], raw[4], strict=True):
+            spelt.update(zip(expand(words, np.uint64)[np.unique(expand(middles, np.uint32))].tolist(), expand(known, np.float64).tolist(), strict=True))
+        spelt.pop(BEGIN, None)
+        word, of = np.unique(last, return_inverse=True)
+        parts = [(0, np.full(4, order), np.arange(1, 5), 0, np.array([(c == k).sum() for k in range(1, 5)]), 0.0) for order, c in ((3, n), (2, left[~wide]))]
+        parts.append((1, word, 0, 0, np.bincount(of, ~wide), 0.0))
+        parts.append((2, middle[wide], last[wide], pair[wide], left[wide], 0.0))
+        parts.append((3, np.array(list(spelt), np.uint64), 0, 0, 0, np.array(list(spelt.values()), np.float64)))
+        columns = []
+        for k, kind in enumerate([np.int32, *[np.int64] * 4, np.float64]):
+            columns.append(np.concatenate([np.broadcast_to(np.asarray(p[k]), p[1].shape).astype(kind) for p in parts]))
+        return pa.table([np.full(columns[0].size, rows.column("shard")[0].as_py(), np.int32), *columns], names=["shard", "kind", "a", "b", "c", "n", "x"])
+
+    return packed.groupBy("shard").applyInArrow(run, "shard int, kind int, a long, b long, c long, n long, x double")
+
+
+def train_words(trusted: DataFrame, logs: np.ndarray, share: float | None = None) -> Model:
+    """The model of all word n-grams of ``trusted(text)``; words over ``share`` of it are hot (by default one shard's part)."""
+    trusted = trusted.select(F.lit(0).cast("long").alias("key"), "text").where("text <> ''")
+    size = trusted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES))
+    hot = frequent_words(trusted.select("text"), 1 / shards if share is None else share)
+    packed = stored(packed_trigrams(trusted, logs, shards, hot, TRUSTED))
+    told = stored(survey(packed, hot))
+    rates, n, taken = {}, F.col("n"), {}
+    counted = {(r.a, r.b): r.n for r in told.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}  # eight rows
+    pairs = pin(told.where("kind = 2").groupBy("a", "b", "c").agg(F.sum("n").alias("n")))
+    wide = pairs.agg(*(F.count_if(n == k) for k in range(1, 5))).first()
+    rates[3] = rates_of(*(counted.get((3, k), 0) for k in range(1, 5)))
+    rates[2] = rates_of(*(counted.get((2, k), 0) + wide[k - 1] for k in range(1, 5)))
+    spark = trusted.sparkSession
+    end = spark.createDataFrame([(END, 0, float(logs[grams("\n")][0]))], "word long, n long, spelt double")
+    none = F.lit(None).cast("double")
+    heard = told.where("kind = 1").select(F.col("a").alias("word"), "n", none.alias("spelt")).unionByName(pairs.select(F.col("b").alias("word"), F.lit(1).cast("long").alias("n"), none.alias("spelt")))
+    heard = heard.unionByName(told.where("kind = 3").select(F.col("a").alias("word"), F.lit(0).cast("long").alias("n"), F.col("x").alias("spelt"))).unionByName(end)
+    one = pin(heard.groupBy("word").agg(F.sum("n").alias("n"), F.max("spelt").alias("spelt")).where("n > 0"))
+    rates[1] = rates_of(*one.agg(*(F.count_if(n == k) for k in range(1, 5))).first())
+    total, off = one.agg(F.sum("n"), F.sum(taken_off(rates[1]))).first()
+    back = off / total if total else 1.0
+    low = F.exp("spelt") * back
+    known = one.withColumn("p", (n - taken_off(rates[1])) / F.lit(total or 1) + low).select("word", "p", F.log(F.col("p") / low).alias("weight"))
+    ends = known.where(F.col("word") == END).first()
+    # hot pairs: their second words by join, their first words as there are few
+    sums = pairs.groupBy("a").agg(F.sum("n").alias("total"), (F.sum(taken_off(rates[2])) / F.sum("n")).alias("back"))
+    lead = pin(sums.join(known.withColumnRenamed("word", "a"), "a", "left").select("a", "total", "back", (F.log("back") + F.coalesce("weight", F.lit(0.0))).alias("adds")))
+    taken = {r.a: r.adds for r in lead.collect()}  # as many as there are hot words
+    low = F.col("back") * F.col("p")
+    weighed = pairs.join(F.broadcast(lead.select("a", "total", "back")), "a").join(known.select(F.col("word").alias("b"), "p"), "b")
+    weighed = pin(weighed.select("c", ((n - taken_off(rates[2])) / F.col("total") + low).alias("x"), low.alias("low")))
+    of_words = told.where("kind IN (1, 3)").select("shard", F.col("a").alias("word")).distinct().join(known, "word").select("shard", F.lit(1).alias("what"), F.col("word").alias("id"), F.col("p").alias("x"), F.col("weight").alias("y"))
+    of_pairs = told.where("kind = 2").select("shard", "c").join(weighed, "c").select("shard", F.lit(2).alias("what"), F.col("c").alias("id"), "x", F.lit(0.0).alias("y"))
+    placed = weighed.select(F.pmod("c", F.lit(shards)).cast("int").alias("shard"), F.lit(3).alias("what"), F.col("c").alias("id"), F.log(F.col("x") / F.col("low")).alias("x"), F.lit(0.0).alias("y"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        what, ids, x, y = (rows.column(c).to_numpy() for c in ("what", "id", "x", "y"))
+        order = np.lexsort((ids, what))
+        columns = [what[order].astype(np.uint8), ids[order].astype(np.uint64), x[order], y[order]]
+        whole = [rows.column("shard")[:1], pa.array([SIDE], pa.int32()), *([squeeze(c)] for c in columns), [b""], [b""], [b""]]
+        return pa.table(whole, names=["shard", "kind", "words", "first", "middle", "last", "spelt", "docs", "keys"])
+
+    side = of_words.unionByName(of_pairs).unionByName(placed).groupBy("shard").applyInArrow(pack, PACKED)
+    return Model(packed, stored(side), shards, hot, rates, taken, math.log(back), ends.weight if ends else 0.0)
+
+
+class Shard:
+    """The weights of a shard's n-grams, from its trusted trigrams and what it was told of the others."""
+
+    def __init__(self, model_rates: dict[int, list[float]], middles: dict[int, float], side: tuple | None, rows: list) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        words, pairs, placed = none, none, none
+        if side:
+            what, ids, x, y = (expand(s, k) for s, k in zip(side, (np.uint8, np.uint64, np.float64, np.float64), strict=True))
+            words, pairs, placed = ((ids[what == k], x[what == k], y[what == k]) for k in (1, 2, 3))
+        spread = sorted(middles)
+        self.spread, self.adds = np.array(spread, np.uint64), np.array([middles[k] for k in spread], np.float64)
+        self.gram, self.context, self.middle, self.pair = none[:2], none[:2], none[:2], placed[:2]
+        if not rows:
+            return
+        rate = {k: np.array([0.0, *r]) for k, r in model_rates.items()}
+        gram, n, context, suffix, middle, last = trigrams(rows)
+        pair, left, first, second = merged(suffix, np.ones(suffix.size, np.int64), middle, last)
+        wide = np.isin(first, self.spread)
+        p2 = found(pairs[0], pairs[1], pair)
+        cold = ~wide
+        of, at = np.unique(first[cold], return_inverse=True)
+        off = rate[2][np.minimum(left[cold], 3)]
+        total = np.bincount(at, left[cold], of.size)
+        back = np.bincount(at, off, of.size) / total
+        low = back[at] * found(*words[:2], second[cold])
+        p2[cold] = (left[cold] - off) / total[at] + low
+        own = pair[cold], np.log(p2[cold] / low)
+        ids = np.concatenate([own[0], placed[0]])
+        order = np.argsort(ids)
+        self.pair = ids[order], np.concatenate([own[1], placed[1]])[order]
+        self.middle = of, np.log(back) + found(words[0], words[2], of)
+        of, at = np.unique(context, return_inverse=True)
+        off = rate[3][np.minimum(n, 3)]
+        total = np.bincount(at, n, of.size)
+        back = np.bincount(at, off, of.size) / total
+        low = back[at] * p2[np.searchsorted(pair, suffix)]
+        self.gram = gram, np.log(((n - off) / total[at] + low) / low)
+        self.context = of, np.log(back)
+
+    def weigh(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        context = mix(u, v)
+        long = found(*self.gram, mix(context, w)) + found(*self.context, context)
+        short = found(*self.pair, mix(v, w)) + found(*self.middle, v)
+        wide = np.isin(v, self.spread)
+        alone = u == NONE
+        return np.where(wide, np.where(alone, short + found(self.spread, self.adds, v), long), long + short)
+
+
+def perplexities(keyed: DataFrame, model: Model, logs: np.ndarray) -> DataFrame:
+    """``(key, perplexity)``, one row for each key of ``keyed(key, text)``; equal keys have equal texts."""
+    rates, middles, start, end = model.rates, model.middles, model.start, model.end
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known, weights = -1, np.zeros(0, np.int64), np.zeros(0)
+        at, side, rows, held = -1, None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard, kind = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                raw = lambda k, t: np.frombuffer(batch.column(k)[i].as_buffer(), t)  # noqa: E731, B023
-                if kind == 0:
-                    at, known, weights = shard, raw(2, np.int64).copy(), raw(3, np.float64).copy()
-                    continue
-                keys = raw(7, np.int64)
-                if kind == 1:
-                    n, total = raw(6, np.int64), raw(8, np.float64)
-                    if shard == at and known.size and known[0] == 0:  # what single words leave to the spelling
-                        total = total + n * weights[0]
+            for shard, kind, words, first, middle, last, spelt, docs, keys in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
+                if shard != at:
+                    at, side, rows, held = shard, None, [], None
+                if kind == SIDE:
+                    side = words, first, middle, last
+                elif kind == TRUSTED:
+                    rows.append((words, first, middle, last))
                 else:
-                    if shard != at or not known.size:
-                        continue
-                    gram = raw(2, np.uint16).astype(np.int64) << 32 | raw(3, np.uint32)
-                    place = np.minimum(np.searchsorted(known, gram), known.size - 1)
-                    value = np.repeat(np.where(known[place] == gram, weights[place], 0.0), raw(4, np.uint16))
-                    n, total = np.zeros(keys.size, np.int64), np.bincount(raw(5, np.uint16), value * raw(6, np.uint32), keys.size)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(total)], ["key", "n", "total"])
-
-    both = packed.unionByName(packed_documents(keyed, logs)).repartition("shard").sortWithinPartitions("shard", "kind")
+                    key, runs = expand(keys, np.int64), expand(docs, np.uint32)
+                    if kind == LENGTHS:
+                        n, total = runs.astype(np.int64), expand(spelt, np.float64) + start * runs + end
+                    else:
+                        if held is None:
+                            held, rows = Shard(rates, middles, side, rows), []
+                        word = expand(words, np.uint64)
+                        value = held.weigh(*(word[expand(k, np.uint32)] for k in (first, middle, last)))
+                        n, total = np.zeros(key.size, np.int64), np.add.reduceat(value, np.append(0, np.cumsum(runs[:-1], dtype=np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(total)], ["key", "n", "total"])
+
+    asked = packed_trigrams(keyed.select("key", "text"), logs, model.shards, model.hot, ASKED)
+    both = model.side.unionByName(model.packed).unionByName(asked).repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
     sums = both.mapInArrow(meet, "key long, n long, total double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return sums.select("key", F.exp(-F.col("total") / F.col("n")).alias("perplexity"))
 
@@ -317,7 +508,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = TRUSTED_QUANTILE
     split = len(sides) == 2
     learnt = trusted.where(~held) if split else trusted
     logs = train(learnt)
-    model = pin(train_words(learnt, logs))
+    model = train_words(learnt, logs)
     scores = pin(perplexities(docs.where("text <> ''").select(key.alias("key"), text.alias("text")), model, logs))
     asked = (trusted.where(held) if split else trusted).select("of", "band", "key").join(broadcast_if(scores, BROADCAST_ROWS), "key")
     at = F.percentile_approx("perplexity", quantile, 100_000)
