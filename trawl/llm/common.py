@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +27,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here leave no shuffle files: their results are in the shared folder, and lost ones are computed again."""
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: lineage is cut as by ``pin``, in compressed columns."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or new_folder(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove what was ``stored`` there, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` (pinned, narrow rows) with a broadcast hint if it has at most ``most_rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= most_rows else df

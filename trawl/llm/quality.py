@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import broadcast_if, pin, stored
+from trawl.llm.common import broadcast_if, new_folder, pin, remove_folder, stored
 
 BITS, ORDER = 5, 4
 SYMBOLS = 1 << BITS
@@ -50,7 +50,7 @@ WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\u3040-\u30ff\u3400-\u9fff]
 NONE, BEGIN, END = range(3)
 #: Trusted text that one task weighs at once; shards grow in number with the text.
 SHARD_BYTES = 16 << 20
-LEAST_SHARDS = 32
+LEAST_SHARDS = 16
 #: Words packed at once, and distinct words that the search for frequent ones remembers.
 WORDS_AT_ONCE = 1 << 20
 WORDS_HELD = 1 << 18
@@ -323,6 +323,7 @@ class Model:
     ``middles`` has what a hot middle word adds, ``start`` what single words leave to the spelling, ``end`` what a text's end adds.
     """
 
+    folder: str
     packed: DataFrame
     side: DataFrame
     shards: int
@@ -332,6 +333,10 @@ class Model:
     start: float
     end: float
 
+    def remove(self) -> None:
+        """Remove its tables, once the perplexities asked of it are pinned."""
+        remove_folder(self.packed.sparkSession, self.folder)
+
 
 def survey(packed: DataFrame, hot: list[int]) -> DataFrame:
     """What each shard of ``packed`` tells the others.
@@ -369,15 +374,16 @@ def train_words(trusted: DataFrame, logs: np.ndarray, share: float | None = None
     size = trusted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(size / SHARD_BYTES))
     hot = frequent_words(trusted.select("text"), 1 / shards if share is None else share)
-    packed = stored(packed_trigrams(trusted, logs, shards, hot, TRUSTED))
-    told = stored(survey(packed, hot))
+    spark = trusted.sparkSession
+    folder = new_folder(spark)
+    packed = stored(packed_trigrams(trusted, logs, shards, hot, TRUSTED), f"{folder}/packed")
+    told = stored(survey(packed, hot), f"{folder}/told")
     rates, n, taken = {}, F.col("n"), {}
     counted = {(r.a, r.b): r.n for r in told.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}  # eight rows
     pairs = pin(told.where("kind = 2").groupBy("a", "b", "c").agg(F.sum("n").alias("n")))
     wide = pairs.agg(*(F.count_if(n == k) for k in range(1, 5))).first()
     rates[3] = rates_of(*(counted.get((3, k), 0) for k in range(1, 5)))
     rates[2] = rates_of(*(counted.get((2, k), 0) + wide[k - 1] for k in range(1, 5)))
-    spark = trusted.sparkSession
     end = spark.createDataFrame([(END, 0, float(logs[grams("\n")][0]))], "word long, n long, spelt double")
     none = F.lit(None).cast("double")
     heard = told.where("kind = 1").select(F.col("a").alias("word"), "n", none.alias("spelt")).unionByName(pairs.select(F.col("b").alias("word"), F.lit(1).cast("long").alias("n"), none.alias("spelt")))
@@ -408,7 +414,9 @@ def train_words(trusted: DataFrame, logs: np.ndarray, share: float | None = None
         return pa.table(whole, names=["shard", "kind", "words", "first", "middle", "last", "spelt", "docs", "keys"])
 
     side = of_words.unionByName(of_pairs).unionByName(placed).groupBy("shard").applyInArrow(pack, PACKED)
-    return Model(packed, stored(side), shards, hot, rates, taken, math.log(back), ends.weight if ends else 0.0)
+    side = stored(side, f"{folder}/side")
+    remove_folder(spark, f"{folder}/told")
+    return Model(folder, packed, side, shards, hot, rates, taken, math.log(back), ends.weight if ends else 0.0)
 
 
 class Shard:
@@ -510,6 +518,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = TRUSTED_QUANTILE
     logs = train(learnt)
     model = train_words(learnt, logs)
     scores = pin(perplexities(docs.where("text <> ''").select(key.alias("key"), text.alias("text")), model, logs))
+    model.remove()
     asked = (trusted.where(held) if split else trusted).select("of", "band", "key").join(broadcast_if(scores, BROADCAST_ROWS), "key")
     at = F.percentile_approx("perplexity", quantile, 100_000)
     cells = pin(asked.groupBy("of", "band").agg(at.alias("cell"), F.count("*").alias("cell_n")))
