@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.llm.alignment import align
 from trawl.llm.common import shared_folder, table
 from trawl.llm.decontaminate import leaks
 from trawl.llm.embeddings import near_vectors
@@ -67,6 +68,10 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {}
