@@ -16,6 +16,7 @@ from trawl.llm.embeddings import near_vectors
 from trawl.llm.html import extract
 from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
+from trawl.llm.prefixtrie import trie
 from trawl.llm.quality import judge
 from trawl.llm.sharding import numbered, resharded_files
 from trawl.llm.simhash import simhash_groups
@@ -68,6 +69,10 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_embedding_neardup": op10_embedding_neardup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
