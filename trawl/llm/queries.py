@@ -18,6 +18,7 @@ from trawl.llm.linededup import dedup_lines
 from trawl.llm.packing import pack
 from trawl.llm.prefixtrie import trie
 from trawl.llm.quality import judge
+from trawl.llm.sanitise import personal_data
 from trawl.llm.sharding import numbered, resharded_files
 from trawl.llm.simhash import simhash_groups
 from trawl.llm.tokenfile import token_digest
@@ -77,6 +78,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_neardup": op10_embedding_neardup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_pii": op13_pii,
 }
 
 ORACLES: dict[str, str] = {}
