@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from itertools import accumulate
 
 import public_tokenizers
 import sentencepiece
@@ -27,7 +28,7 @@ def brute(rows):
             left = [bytes(of[c] for c in a.id_to_token(i)) if i != 50256 else b"<|endoftext|>" for i in x]
             right = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
             if b"".join(left) == b"".join(right) == f" {text}".encode():
-                ends = [{sum(map(len, t[: k + 1])): k for k in range(len(t))} for t in (left, right)]
+                ends = [{at: k for k, at in enumerate(accumulate(map(len, t)))} for t in (left, right)]
                 i = j = 0
                 for at in sorted(ends[0].keys() & ends[1].keys()):
                     p, q = ends[0][at] + 1, ends[1][at] + 1

@@ -26,14 +26,14 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +41,9 @@ from trawl.llm.common import stored
 from trawl.llm.tokens import byte_letters
 
 #: Pieces of up to ``SHORT`` characters that one worker keeps, and transitions; at the limit it starts anew.
-KEPT, SHORT, MOVES = 400_000, 48, 2_000_000
-#: A block closes at so many characters of text or documents.
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1024
-CUT = re.compile(r"(?<=[^ \n])(?=[ \n][^ \n])")
+KEPT, SHORT, MOVES = 900_000, 48, 2_000_000
+#: A block closes at so many bytes of text or documents.
+BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 1024
 B_IDS = 1 << 20
 #: Stands behind a text's last id; no id is as high.
 END = (1 << 32) - 1
@@ -119,12 +118,13 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         of = {letter: byte for byte, letter in enumerate(byte_letters())}
         names = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
+        if self.a.normalizer is not None:
+            raise ValueError("the first tokenizer must spell texts as they are")
         plain = [names.get(i) or self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
         spelled = [t.encode() if i in names else bytes(map(of.__getitem__, t)) for i, t in enumerate(plain)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.walk = Transducer(spelled, raw)
-        self.a_bytes = spelled
         self.names = list(map(str, range(max(len(spelled), len(raw)))))
         self.known: dict[str, tuple | None] = {}
 
@@ -137,28 +137,29 @@ class Aligner:
             yield x, y if piece[0] == " " else y[1:]
 
     def align(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
-        if b"".join(map(self.a_bytes.__getitem__, a)) != piece.encode():
-            return None
+        """A's tokens always spell the piece; if B's spell the same, the transducer comes to its end."""
         ends = self.walk.groups(a, b)
         if ends is None:
             return None
         said, pairs, i, j, names = [], [], 0, 0, self.names
         for x, y in ends:
             left = names[a[i]] if x - i == 1 else ",".join(map(names.__getitem__, a[i:x]))
-            said.append(f"{left}|{names[b[j]] if y - j == 1 else ','.join(map(names.__getitem__, b[j:y]))}")
+            said.append(f"{left}|{names[b[j]] if y - j == 1 else ','.join(map(names.__getitem__, b[j:y]))};")
             pairs.append(a[x - 1] * B_IDS + b[y - 1])
             i, j = x, y
-        return len(a), len(b), ";".join(said), pairs
+        return len(a), len(b), "".join(said), array("q", pairs).tobytes()
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple | None]:
-        """Results of those pieces, kept ones and new ones."""
+    def learn(self, pieces: list[str]) -> list[tuple | None]:
+        """The results of those pieces, none twice; short ones are kept."""
         known = self.known
         new = [p for p in pieces if p not in known]
         found = {p: self.align(p, a, b) for p, (a, b) in zip(new, self.ids(new), strict=True)} if new else {}
+        results = [found[p] if p in found else known[p] for p in pieces]
         if len(known) + len(found) > KEPT:
-            known = self.known = {p: known[p] for p in pieces if p in known and len(p) <= SHORT}
-        known |= {p: x for p, x in found.items() if len(p) <= SHORT}
-        return known | found if len(pieces) > len(known) else {p: found[p] if p in found else known[p] for p in pieces}
+            known.clear()
+            found = dict(zip(pieces, results, strict=True))
+        known.update((p, x) for p, x in found.items() if len(p) <= SHORT)
+        return results
 
 
 @cache
@@ -174,29 +175,55 @@ SCHEMA = pa.schema(
 )
 
 
-def rows_of(block: str, docs: list[tuple[int | None, list[str]]], known: dict[str, tuple | None]) -> Iterator[pa.RecordBatch]:
+def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts, each behind a space, cut into pieces; and where each text's pieces end. Null and empty texts have none."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.filter(pa.array(lengths > 0)).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
+    offsets = np.frombuffer(spaced.buffers()[1] or bytes(8), np.int64)[spaced.offset : spaced.offset + len(spaced) + 1] if len(spaced) else np.zeros(1, np.int64)
+    data = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[: offsets[-1]] if len(spaced) else np.zeros(0, np.uint8)
+    gap = (data == 32) | (data == 10)
+    starts = np.zeros(data.size + 1, bool)
+    if data.size > 2:
+        starts[1:-2] = gap[1:-1] & ~gap[:-2] & ~gap[2:]
+    starts[np.concatenate([offsets[1:] - 1, offsets[:-1]])] = False  # a text's first and last characters have no neighbour there
+    starts[offsets] = True
+    at = np.flatnonzero(starts)
+    pieces = pa.Array.from_buffers(pa.large_string(), at.size - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+    ends = np.zeros(len(texts), np.int64)
+    ends[lengths > 0] = np.diff(np.searchsorted(at, offsets))
+    return pieces.dictionary_encode(), np.cumsum(ends)
+
+
+def per_text(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ``values[begin : end]``."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[end] - total[begin]
+
+
+def rows_of(docs: pa.Array, texts: pa.Array, learn: Callable[[list[str]], list[tuple | None]]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one with the block's id pairs, their counts, and which of them each piece links."""
-    numbers = {p: k for k, p in enumerate(known)}
-    results = list(known.values())
-    sound = np.array([r is not None for r in results], bool)
-    sizes = np.array([(r[0], r[1], len(r[3])) if r else (0, 0, 0) for r in results], np.int64).reshape(-1, 3)
-    said = [r[2] if r else "" for r in results]
-    linked = np.array(list(chain.from_iterable(r[3] for r in results if r)), np.int64)
+    block = uuid.uuid4().hex
+    pieces, end = pieces_of(texts)
+    begin = np.concatenate([[0], end[:-1]])
+    index = pieces.indices.to_numpy()
+    results = learn(pieces.dictionary.to_pylist())
+    sizes = np.array([(r[0], r[1], len(r[3]) // 8) if r else (0, 0, 0) for r in results], np.int64).reshape(-1, 3)
+    sound = (per_text(np.array([r is None for r in results], bool)[index], begin, end) == 0) & (end > begin)
+    said = pa.array([r[2] if r else "" for r in results], pa.large_string()).take(pieces.indices)
+    ends, spelled = np.frombuffer(said.buffers()[1] or bytes(8), np.int64)[: len(said) + 1], memoryview(said.buffers()[2] or b"")
+    linked = np.frombuffer(b"".join(r[3] for r in results if r), np.int64)
     keys, place = np.unique(linked, return_inverse=True)
-    uses, out = [np.zeros(0, np.int32)], []
-    for doc, pieces in docs:
-        k = np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces))
-        if not k.size or not sound[k].all():
-            out.append((block, doc, 0, 0, 0, "", b"", None, None, None, None))
-            continue
-        uses.append(k)
-        text = ";".join([said[x] for x in k.tolist()])
-        out.append((block, doc, *sizes[k].sum(axis=0).tolist(), hashlib.sha256(text.encode()).hexdigest(), k.tobytes(), None, None, None, None))
-    used = np.bincount(np.concatenate(uses), minlength=len(results))
+    used = np.bincount(index[np.repeat(sound, end - begin)], minlength=len(results))
     counts = np.bincount(place, weights=np.repeat(used, sizes[:, 2]), minlength=keys.size).astype(np.int64)
     there = np.flatnonzero(counts)  # pieces of unsound texts alone link nothing
     spot = np.full(keys.size, -1, np.int32)
     spot[there] = np.arange(there.size)
+    sums = [np.where(sound, per_text(sizes[index, k], begin, end), 0).tolist() for k in range(3)]
+    out = []
+    for k, doc in enumerate(docs.to_pylist()):
+        a, b = begin[k], end[k]
+        sha = hashlib.sha256(spelled[ends[a] : ends[b] - 1]).hexdigest() if sound[k] else ""
+        out.append((block, doc, sums[0][k], sums[1][k], sums[2][k], sha, index[a:b].tobytes() if sound[k] else b"", None, None, None, None))
     out.append((block, None, None, None, None, None, None, keys[there].tolist(), counts[there].tolist(), np.cumsum(sizes[:, 2]).astype(np.int32).tobytes(), spot[place].astype(np.int32).tobytes()))
     for at in range(0, len(out), 64):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 64], strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
@@ -206,21 +233,25 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``docs(doc_id, text)`` to rows of ``BLOCKS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(a_path, b_path)
-        held: list[tuple[int | None, list[str]]] = []
-        filled = 0
+        learn = aligner(a_path, b_path).learn
+        held: list[pa.RecordBatch] = []
+        filled = count = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            return rows_of(uuid.uuid4().hex, held, both.learn(set(chain.from_iterable(p for _, p in held))))
+            whole = pa.Table.from_batches(held).combine_chunks()
+            return rows_of(*(whole.column(k).combine_chunks() for k in range(2)), learn)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py()
-                held.append((doc.as_py(), CUT.split(f" {text}") if text else []))
-                filled += len(text or "")
-                if filled >= BLOCK_CHARS or len(held) >= BLOCK_DOCS:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            first = 0
+            for k, size in enumerate(sizes):
+                filled, count = filled + size, count + 1
+                if filled >= BLOCK_BYTES or count >= BLOCK_DOCS or k + 1 == len(sizes):
+                    held.append(batch.slice(first, k + 1 - first))
+                    first = k + 1
+                if filled >= BLOCK_BYTES or count >= BLOCK_DOCS:
                     yield from close()
-                    held, filled = [], 0
+                    held, filled, count = [], 0, 0
         if held:
             yield from close()
 
