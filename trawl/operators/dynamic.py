@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.text import clip, hit, host_port
+from trawl.operators.numbering import first_rows
 
 WRITES = ["writeFile", "writeFileSync", "appendFile", "appendFileSync", "createWriteStream", "unlink", "unlinkSync", "rename", "renameSync"]
 
 
 def capped(events: DataFrame, most: int = rules.MAX_EVENTS) -> DataFrame:
     """The first events of each sample."""
-    rank = F.row_number().over(Window.partitionBy("sample_key").orderBy("id"))
-    return events.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    return first_rows(events, ["id"], most)
 
 
 def in_order(value: Column, order: str = "id") -> Column:

@@ -33,17 +33,26 @@ def metrics(counts: DataFrame) -> DataFrame:
     return scored.withColumns({"f1": ratio(2 * F.col("precision") * F.col("recall"), both), "accuracy": ratio(tp + tn, F.col("total")), "mcc": ratio(tp * tn - fp * fn, root)})
 
 
-def confusion(rows: DataFrame, by: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """A row for each rule (and group): both rules come from one pass over ``rows(label, final_verdict, final_is_*)``."""
+def matrix_counts(rows: DataFrame, by: list[str] | None = None, compat: bool = False) -> DataFrame:
+    """``(by, rule, tp, fp, fn, tn, errors)``: both rules from one pass over ``rows(label, final_verdict, final_is_*)``. Counts of disjoint rows add up (``merged``)."""
     by = by or []
     pairs = F.array(*(F.struct(F.lit(name).alias("rule"), (F.coalesce(F.col(c).cast("int"), F.lit(0)) != 0).alias("p")) for name, c in RULES.items()))
     known = rows.withColumn("y", label_of(compat)).where("y IN (0, 1)")
     long = known.select(*by, "y", "final_verdict", F.explode(pairs).alias("r")).select(*by, "y", "final_verdict", "r.rule", "r.p")
     y = F.col("y") == 1
-    counts = long.groupBy(*by, "rule").agg(
+    return long.groupBy(*by, "rule").agg(
         F.count_if(y & F.col("p")).alias("tp"), F.count_if(~y & F.col("p")).alias("fp"), F.count_if(y & ~F.col("p")).alias("fn"), F.count_if(~y & ~F.col("p")).alias("tn"), F.count_if(F.col("final_verdict") == "ERROR").alias("errors")
     )
-    return metrics(counts)
+
+
+def merged(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The matrix of a whole run from the counts of its batches, as ``confusion`` gives it from the rows: a run that is resumed reads no earlier row again."""
+    return metrics(parts.groupBy(*(by or []), "rule").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "errors"))))
+
+
+def confusion(rows: DataFrame, by: list[str] | None = None, compat: bool = False) -> DataFrame:
+    """A row for each rule (and group): counts and what follows from them."""
+    return metrics(matrix_counts(rows, by, compat))
 
 
 def evaluate(rows: DataFrame, predicted: str = "final_is_malicious", compat: bool = False) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.text import decode_layers
+from trawl.operators.numbering import running
 
 # How long a logged string, message body and decoded preview may be.
 ARGUMENT, BODY, DECODED, HEADER = 600, 2000, 800, 200
@@ -21,7 +22,7 @@ def cut(text: Column, most: int) -> Column:
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Rows with a running number in each sample, from 1, in the given order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("sample_key").orderBy(*order)))
+    return running(rows, order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("int"))
 
 
 def sanitized(arguments: Column) -> Column:

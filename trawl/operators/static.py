@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.rules import Rule
 from trawl.functions.text import STRING, deobfuscate, expand_script_vars, gated_hit, has_untrusted_binary, hit, invisible_count, is_cradle, may_hit
+from trawl.operators.numbering import running
 
 SCRIPTS, JS = r"(?i)\.(?:bat|cmd|ps1|sh)$", r"(?i)\.(?:js|cjs|mjs)$"
 QUOTED = f"({STRING})"
@@ -20,10 +21,8 @@ def within_budget(files: DataFrame, names: Sequence[str] = tuple(rules.OWN_REPOR
     name = F.element_at(F.split("path", "/"), -1)
     depth = F.size(F.split("path", "/")) - 1
     fit = files.where(name.rlike(rules.TEXT_EXTENSION) & ~name.isin(*names) & (F.col("size") <= rules.MAX_FILE_BYTES) & (depth <= rules.MAX_DEPTH) & ~F.col("path").rlike(r"(^|/)\.git/"))
-    order = Window.partitionBy("sample_key").orderBy("path")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    spent = fit.withColumns({"_n": F.row_number().over(order), "_b": F.coalesce(F.sum("size").over(before), F.lit(0))})
-    return spent.where((F.col("_n") <= max_files) & (F.col("_b") < max_bytes)).drop("_n", "_b")
+    spent = running(fit, ["path"], {"_n": F.lit(1), "_b": F.col("size")})
+    return spent.where((F.col("_n") <= max_files) & (F.col("_b") - F.col("size") < max_bytes)).drop("_n", "_b")
 
 
 def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.text import decode_layers, hit, may_hit, redact
+from trawl.operators.numbering import first_rows
+from trawl.session import written_once
 
 
 def path_categories(path: Column) -> Column:
@@ -41,35 +45,69 @@ def sensitive_reads(reads: DataFrame) -> DataFrame:
     return found.withColumns({"severity": F.when(F.arrays_overlap("categories", critical), "CRITICAL").otherwise("WARN"), "quiet": F.size(F.array_except("categories", quiet)) == 0})
 
 
-def taint_tokens(reads: DataFrame, harness: list[str] | None = None) -> DataFrame:
-    """``(sample_key, seq, path, category, token, strength)``: fingerprints of what was read.
+def read_tokens(reads: DataFrame, harness: list[str] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """``(sample_key, seq, path, also, tokens)``: of each read its fingerprints in order, without those that hold a value the harness planted.
 
-    Strong ones are the secrets themselves, weak ones the first long lines. A token
-    counts once in a sample, the first 120 of a sample count, and values the harness planted don't.
+    Strong ones are the secrets themselves, weak ones the first long lines. No shuffle, so it also runs on a stream.
     """
     strong = F.transform(F.filter("secrets", lambda s: F.length(s["raw"]) >= rules.MIN_TOKEN), lambda s: F.struct(s["category"].alias("category"), s["raw"].alias("token"), F.lit("strong").alias("strength")))
     lines = F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= rules.MIN_LINE)
     weak = F.transform(F.slice(lines, 1, rules.LINES), lambda x: F.struct(F.col("categories")[0].alias("category"), x.alias("token"), F.lit("weak").alias("strength")))
-    named = sensitive_reads(reads).select("sample_key", "seq", "path", F.posexplode(F.concat(strong, F.coalesce(weak, F.array()))).alias("pos", "t"))
-    tokens = named.select("sample_key", "seq", "path", "pos", "t.*")
-    for value in harness or []:
-        tokens = tokens.where(~F.col("token").contains(value))
-    first = F.row_number().over(Window.partitionBy("sample_key", "token").orderBy("seq", "pos"))
-    rank = F.row_number().over(Window.partitionBy("sample_key").orderBy("seq", "pos"))
-    distinct = tokens.withColumn("_first", first).where("_first = 1").drop("_first")
-    return distinct.withColumn("_rank", rank).where(F.col("_rank") <= rules.MAX_TOKENS).drop("_rank")
+    own = lambda t: ~F.lit(False) if not harness else ~F.greatest(F.lit(False), *(t["token"].contains(v) for v in harness))
+    return sensitive_reads(reads).select("sample_key", "seq", "path", *also, F.filter(F.concat(strong, F.coalesce(weak, F.array())), own).alias("tokens"))
+
+
+def taint_tokens(reads: DataFrame, harness: list[str] | None = None) -> DataFrame:
+    """``(sample_key, seq, path, pos, category, token, strength)``: a token counts once in a sample, where it was read first, and the first 120 of a sample count."""
+    tokens = read_tokens(reads, harness).select("sample_key", "seq", "path", F.posexplode("tokens").alias("pos", "t")).select("sample_key", "seq", "path", "pos", "t.*")
+    known = [c for c in tokens.columns if c not in ("sample_key", "token")]
+    first = tokens.groupBy("sample_key", "token").agg(F.min(F.struct("seq", "pos", *(c for c in known if c not in ("seq", "pos")))).alias("f")).select("sample_key", "token", "f.*")
+    return first_rows(first, ["seq", "pos"], rules.MAX_TOKENS).select("sample_key", "seq", "path", "pos", "category", "token", "strength")
 
 
 def payload_layers(sends: DataFrame) -> DataFrame:
-    """``sends(sample_key, seq, destination, payload)``, a row for each decoded layer."""
-    return sends.select("sample_key", F.col("seq").alias("send_seq"), "destination", F.posexplode(decode_layers(F.col("payload"))).alias("layer_pos", "layer"))
+    """``sends(sample_key, seq, destination, payload)``, a row for each decoded layer with the ``patterns`` in it; made once for all that read it."""
+    layers = sends.select("sample_key", F.col("seq").alias("send_seq"), "destination", F.posexplode(decode_layers(F.col("payload"))).alias("layer_pos", "layer"))
+    return written_once(layers.withColumn("patterns", F.transform(content_secrets(F.col("layer")), lambda s: s["category"])), "layers")
 
 
-def flows(tokens: DataFrame, sends: DataFrame) -> DataFrame:
-    """Tokens found in what the same sample sent after reading them."""
-    layers = payload_layers(sends)
-    join = (F.col("t.sample_key") == F.col("l.sample_key")) & (F.col("t.seq") < F.col("l.send_seq")) & F.col("l.layer").contains(F.col("t.token"))
-    return layers.alias("l").join(tokens.alias("t"), join).select("l.sample_key", "send_seq", "destination", "layer_pos", "seq", "path", "pos", "category", "token", "strength")
+#: Tokens of at least so many characters are found by grams of so many; all tokens are in the first class that they fit.
+GRAMS = ((rules.MIN_LINE, 12), (rules.MIN_TOKEN, 6))
+
+
+def layer_grams(layer: Column) -> Column:
+    """Of each class every ``step``-th gram of a text; any ``step`` neighbouring positions hold one of them."""
+
+    def one(k: int) -> Column:
+        least, gram = GRAMS[k]
+        chunks = F.regexp_extract_all(layer, F.lit(rf"(?s).{{{gram},{least - gram + 1}}}"), F.lit(0))
+        return F.array_distinct(F.transform(chunks, lambda c: F.xxhash64(F.lit(k), F.substring(c, 1, gram))))
+
+    return F.concat(*map(one, range(len(GRAMS))))
+
+
+def token_grams(token: Column) -> Column:
+    """Of a token the first ``step`` grams: wherever it stands in a text, one of them is a gram of ``layer_grams``."""
+
+    def one(k: int) -> Column:
+        least, gram = GRAMS[k]
+        return F.transform(F.sequence(F.lit(1), F.lit(least - gram + 1)), lambda i: F.xxhash64(F.lit(k), token.substr(i, F.lit(gram))))
+
+    return F.array_distinct(F.when(F.length(token) >= GRAMS[0][0], one(0)).otherwise(one(1)))
+
+
+def flows(tokens: DataFrame, sends: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """Tokens found in what the same sample sent after reading them.
+
+    An index join: a token's first grams meet every so-manieth gram of the layers by sample and hash, and only such
+    pairs are compared whole. A token stands for itself however often its grams do.
+    """
+    layers = payload_layers(sends) if layers is None else layers
+    place = ["sample_key", "send_seq", "layer_pos"]
+    asked = layers.select(*place, F.explode(layer_grams(F.col("layer"))).alias("gram"))
+    index = tokens.select("*", F.explode(token_grams(F.col("token"))).alias("gram"))
+    near = asked.join(index, ["sample_key", "gram"]).where(F.col("seq") < F.col("send_seq")).select(*place, "seq", "path", "pos", "category", "token", "strength").distinct()
+    return layers.join(near, place).where(F.col("layer").contains(F.col("token"))).select("sample_key", "send_seq", "destination", "layer_pos", "seq", "path", "pos", "category", "token", "strength")
 
 
 def adjudicate(tokens: DataFrame, sends: DataFrame) -> DataFrame:
@@ -78,14 +116,14 @@ def adjudicate(tokens: DataFrame, sends: DataFrame) -> DataFrame:
     Seen bytes beat a mere pattern and a secret beats a line. Confirmed is what was
     seen, by a secret or in a category that a line may prove.
     """
-    seen = flows(tokens, sends).select("sample_key", "send_seq", "destination", "layer_pos", "category", F.lit("taint").alias("via"), "strength", "path", F.struct("seq", "pos").alias("order"))
-    patterns = payload_layers(sends).select("sample_key", "send_seq", "destination", "layer_pos", F.explode(F.transform(content_secrets(F.col("layer")), lambda s: s["category"])).alias("category"))
+    layers = payload_layers(sends)
+    seen = flows(tokens, sends, layers).select("sample_key", "send_seq", "destination", "layer_pos", "category", F.lit("taint").alias("via"), "strength", "path", F.struct("seq", "pos").alias("order"))
+    patterns = layers.select("sample_key", "send_seq", "destination", "layer_pos", F.explode("patterns").alias("category"))
     none = F.struct(F.lit(None).cast(tokens.schema["seq"].dataType).alias("seq"), F.lit(None).cast("int").alias("pos"))
     likely = patterns.select("*", F.lit("pattern").alias("via"), F.lit("strong").alias("strength"), F.lit("").alias("path"), none.alias("order"))
-    best = Window.partitionBy("sample_key", "send_seq", "destination", "category").orderBy((F.col("via") != "taint"), (F.col("strength") != "strong"), "layer_pos", "order")
-    ranked = seen.unionByName(likely).withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
-    confirmed = (F.col("via") == "taint") & ((F.col("strength") == "strong") | ~F.col("category").isin(rules.WEAK_ONLY))
-    return ranked.withColumn("confirmed", confirmed).select("sample_key", "send_seq", "destination", "category", "via", "strength", "path", "confirmed")
+    rank = F.struct((F.col("via") != "taint").alias("_via"), (F.col("strength") != "strong").alias("_strength"), "layer_pos", "order", "via", "strength", "path")
+    best = seen.unionByName(likely).groupBy("sample_key", "send_seq", "destination", "category").agg(F.min(rank).alias("b")).select("sample_key", "send_seq", "destination", "category", "b.via", "b.strength", "b.path")
+    return best.withColumn("confirmed", (F.col("via") == "taint") & ((F.col("strength") == "strong") | ~F.col("category").isin(rules.WEAK_ONLY)))
 
 
 def stolen_summary(judged: DataFrame) -> DataFrame:

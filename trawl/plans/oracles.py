@@ -7,7 +7,7 @@ the two rules that use one are written as an extraction less the excluded prefix
 from __future__ import annotations
 
 from trawl.functions import rules
-from trawl.plans.fixtures import CLASSES, COMMANDS, PACK, SAMPLES, SCRIPTS, URLS
+from trawl.plans.fixtures import CLASSES, COMMANDS, ITEMS, PACK, SAMPLES, SCRIPTS, URLS
 
 
 def text(value: str) -> str:
@@ -118,10 +118,12 @@ TOKENS = rf"""strong AS ({secrets('benchmark', 'item_id', 'text')}),
 lines AS (SELECT item_id, trim(unnest(regexp_split_to_array(text, '\r?\n'))) AS token, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS n FROM benchmark),
 weak AS (SELECT item_id, token, row_number() OVER (PARTITION BY item_id ORDER BY n) AS k FROM lines WHERE length(token) >= {rules.MIN_LINE}),
 every AS (SELECT item_id, pos, category, raw AS token, 'strong' AS strength FROM strong WHERE length(raw) >= {rules.MIN_TOKEN} UNION ALL SELECT item_id, 100 + k, 'dotenv_secrets', token, 'weak' FROM weak WHERE k <= {rules.LINES}),
-single AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY token ORDER BY item_id, pos) = 1),
-tokens AS (SELECT * FROM single QUALIFY row_number() OVER (ORDER BY item_id, pos) <= {rules.MAX_TOKENS})"""
+single AS (SELECT *, item_id // {ITEMS} AS sample FROM every QUALIFY row_number() OVER (PARTITION BY item_id // {ITEMS}, token ORDER BY item_id, pos) = 1),
+tokens AS (SELECT * FROM single QUALIFY row_number() OVER (PARTITION BY sample ORDER BY item_id, pos) <= {rules.MAX_TOKENS})"""
+#: The sample that sent a document.
+_SENDER = f"doc_id % (SELECT max(item_id) // {ITEMS} + 1 FROM benchmark)"
 EVIDENCE = f"""matched AS ({secrets('documents', 'doc_id', 'text')}),
-evidence AS (SELECT doc_id, category, 'taint' AS via, strength FROM documents JOIN tokens ON contains(text, token) UNION ALL SELECT doc_id, category, 'pattern', 'strong' FROM matched),
+evidence AS (SELECT doc_id, category, 'taint' AS via, strength FROM documents JOIN tokens ON {_SENDER} = sample AND contains(text, token) UNION ALL SELECT doc_id, category, 'pattern', 'strong' FROM matched),
 best AS (SELECT * FROM evidence QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY via <> 'taint', strength <> 'strong') = 1),
 decided AS (SELECT *, via = 'taint' AND (strength = 'strong' OR category NOT IN ({', '.join(map(text, rules.WEAK_ONLY))})) AS confirmed FROM best)"""
 _COUNT = lambda patterns: " + ".join(f"CASE WHEN {hit('text', p)} THEN 1 ELSE 0 END" for p in patterns)
@@ -129,6 +131,7 @@ _HOST = "lower(regexp_extract(url, '//([^/:?#]+)', 1))"
 
 SQL: dict[str, str] = {
     "confusion_matrix": BASE + f", {LONG} SELECT rule, tp, fp, fn, tn, precision, recall, {_F1}, {_ACC}, {_MCC} FROM (SELECT *, {_P} AS precision, {_R} AS recall FROM (SELECT rule, {_COUNTS('label', 'p')} FROM long WHERE label IN (0, 1) GROUP BY rule))",
+    "resumed_metrics": BASE + f", {LONG} SELECT rule, tp, fp, fn, tn, precision, recall, {_F1}, {_ACC}, {_MCC} FROM (SELECT *, {_P} AS precision, {_R} AS recall FROM (SELECT rule, {_COUNTS('label', 'p')} FROM long WHERE label IN (0, 1) GROUP BY rule))",
     "evaluate_skipped": BASE + f"SELECT tp, fp, fn, tn, skipped, precision, recall, {_F1}, {_ACC} FROM (SELECT *, {_P} AS precision, {_R} AS recall FROM (SELECT {_COUNTS('label', 'p_strict')}, count(*) FILTER (label IS NULL) AS skipped FROM result))",
     "tier_breakdown": BASE + f"SELECT tier, {_V}, count(*) FILTER (v = 'BENIGN') AS benign, 0::BIGINT AS error FROM result GROUP BY tier",
     "class_breakdown": BASE + f"SELECT classification, n, malicious, flagged, malicious::DOUBLE / n AS strict_rate, flagged::DOUBLE / n AS triage_rate FROM (SELECT CASE classification WHEN '' THEN '(none)' ELSE classification END AS classification, {_V} FROM result GROUP BY 1)",
@@ -156,10 +159,11 @@ SQL: dict[str, str] = {
     "host_port_parse": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '10.1.2.' || page_id % 200 ELSE {_HOST} END AS domain, CASE WHEN page_id % 3 = 0 THEN '10.1.2.' || page_id % 200 ELSE '' END AS ip, CASE WHEN page_id % 3 = 0 THEN '8443' ELSE regexp_extract(url, '//[^/?#]*:([0-9]+)', 1) END AS port FROM pages",
     "secret_classify": with_("rows AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'conversation', conv_id * 1000 + turn, text FROM conversations)", f"m AS ({secrets('rows', 'kind, id', 'text')})") + rf"SELECT kind, id, category, severity, {_REDACT} AS evidence FROM (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS s FROM m)",
     "sensitive_reads": with_(f"m AS ({secrets('documents', 'doc_id', 'text')})", "f AS (SELECT doc_id, list(category ORDER BY pos) AS found FROM m GROUP BY doc_id)") + f"SELECT doc_id, array_to_string(categories, ',') AS categories, CASE WHEN len(list_filter(categories, lambda c: c NOT IN ({', '.join(text(s.category) for s in rules.SECRETS if s.severity == 'WARN')}))) > 0 THEN 'CRITICAL' ELSE 'WARN' END AS severity, categories = ['source_code'] AS quiet FROM (SELECT doc_id, list_filter(all_c, lambda x, i: list_position(all_c, x) = i) AS categories FROM (SELECT doc_id, list_concat(CASE doc_id % 3 WHEN 0 THEN ['source_code'] WHEN 1 THEN ['ssh_private_key'] ELSE [] END, coalesce(found, [])) AS all_c FROM documents LEFT JOIN f USING (doc_id))) WHERE len(categories) > 0",
-    "taint_tokens": with_(TOKENS) + "SELECT sample, item_id, category, token, strength FROM tokens, (SELECT unnest([0, 1, 2, 3])::BIGINT AS sample)",
-    "taint_join": with_(TOKENS) + "SELECT DISTINCT doc_id, item_id, token FROM documents JOIN tokens ON contains(text, token)",
+    "taint_tokens": with_(TOKENS) + "SELECT sample, item_id, category, token, strength FROM tokens",
+    "taint_join": with_(TOKENS) + f"SELECT DISTINCT doc_id, item_id, token FROM documents JOIN tokens ON {_SENDER} = sample AND contains(text, token)",
     "taint_adjudicate": with_(TOKENS, EVIDENCE) + "SELECT doc_id, category, via, strength, confirmed FROM decided",
-    "stolen_summary": with_(TOKENS, EVIDENCE) + "SELECT sample, len(c) > 0 AS data_stolen, array_to_string(c, ',') AS categories, array_to_string(d, ',') AS destinations, exfiltration_count, array_to_string(list_filter(m, lambda x: NOT list_contains(c, x)), ',') AS suspected, sends - exfiltration_count AS suspected_count FROM (SELECT doc_id % 4 AS sample, coalesce(list_sort(list(DISTINCT category) FILTER (confirmed)), []) AS c, coalesce(list_sort(list(DISTINCT 'https://host' || doc_id % 7 || '.example/c2') FILTER (confirmed)), []) AS d, coalesce(list_sort(list(DISTINCT category) FILTER (NOT confirmed)), []) AS m, count(DISTINCT doc_id) FILTER (confirmed) AS exfiltration_count, count(DISTINCT doc_id) AS sends FROM decided GROUP BY 1)",
+    "streaming_taint": with_(TOKENS, EVIDENCE) + "SELECT doc_id, category, via, strength, confirmed FROM decided",
+    "stolen_summary": with_(TOKENS, EVIDENCE) + f"SELECT sample, len(c) > 0 AS data_stolen, array_to_string(c, ',') AS categories, array_to_string(d, ',') AS destinations, exfiltration_count, array_to_string(list_filter(m, lambda x: NOT list_contains(c, x)), ',') AS suspected, sends - exfiltration_count AS suspected_count FROM (SELECT {_SENDER} AS sample, coalesce(list_sort(list(DISTINCT category) FILTER (confirmed)), []) AS c, coalesce(list_sort(list(DISTINCT 'https://host' || doc_id % 7 || '.example/c2') FILTER (confirmed)), []) AS d, coalesce(list_sort(list(DISTINCT category) FILTER (NOT confirmed)), []) AS m, count(DISTINCT doc_id) FILTER (confirmed) AS exfiltration_count, count(DISTINCT doc_id) AS sends FROM decided GROUP BY 1)",
     "fuse_verdict": with_(FOUND, SCORED, LOG, SEEN, JUDGED, FAMILY, FUSED) + "SELECT sample, (['BENIGN','SUSPICIOUS','MALICIOUS'])[CASE WHEN up THEN 3 ELSE greatest(rs, rd) + 1 END] AS final_verdict, CAST(score AS INTEGER) AS score, CASE WHEN up THEN 'corroboration' WHEN rs > rd THEN 'static' WHEN rd > rs THEN 'dynamic' ELSE 'both' END AS decided_by, array_to_string(list_sort(names), ',') AS corroborated FROM fused",
     "families_intersect": with_(FOUND, SCORED, LOG, SEEN, JUDGED, FAMILY) + f"SELECT sample, string_agg(DISTINCT name, ',' ORDER BY name) AS families FROM ({_FAMS('scored', 'doc_id')} UNION ALL {_FAMS('judged', 'sample')} UNION ALL SELECT sample, '', unnest([]::VARCHAR[]) FROM judged) GROUP BY sample",
     "forensic_behaviours": with_(LOG, SEEN, "b AS (SELECT *, regexp_matches(commands, '(?i)(powershell|cmd\\.exe|certutil|bitsadmin|curl|wget|invoke-webrequest)') AND regexp_matches(commands, '(?i)(https?://|\\.bat|\\.ps1|\\.exe|catbox|pastebin)') AS cradle FROM seen)", "t AS (SELECT sample, list_filter([CASE WHEN child_process_calls > 0 AND cradle THEN {'title': 'Download-and-execute cradle', 'technique': 'T1059 + T1105'} END, CASE WHEN child_process_calls > 0 AND NOT cradle THEN {'title': 'OS process / shell execution', 'technique': 'T1059'} END, CASE WHEN net_socket_calls > 0 AND child_process_calls > 0 THEN {'title': 'Reverse shell', 'technique': 'T1059 + T1571'} END, CASE WHEN net_socket_calls > 0 AND child_process_calls = 0 THEN {'title': 'Raw TCP connection', 'technique': 'T1095'} END, CASE WHEN http_requests > 0 AND os_recon_calls > 0 THEN {'title': 'Host reconnaissance + transmission', 'technique': 'T1082 + T1567'} END, CASE WHEN http_requests > 0 AND os_recon_calls = 0 THEN {'title': 'Outbound C2 / data transmission', 'technique': 'T1071'} END, CASE WHEN crypto_decrypt_calls > 0 THEN {'title': 'Runtime-decrypted payload', 'technique': 'T1027 + T1140'} END, CASE WHEN eval_calls > 0 THEN {'title': 'Dynamic code evaluation', 'technique': 'T1059 + T1140'} END], lambda x: x IS NOT NULL) AS l FROM b)") + "SELECT sample, x.title AS title, x.technique AS technique FROM (SELECT sample, unnest(CASE WHEN len(l) > 0 THEN l ELSE [{'title': 'No observable malicious behaviour', 'technique': 'n/a'}] END) AS x FROM t)",
