@@ -35,6 +35,26 @@ CASES = [
     ("fs.writeFile('C:/x/run.exe', d, cb)", {DROPS}),
     ("fs.createWriteStream(path.join(os.tmpdir(), 'a.ps1'))", {DROPS_SAFELY}),
     ("fs.writeFile('notes.txt', d)", set()),
+    # near misses: comments, strings, definitions, regular expressions, other names
+    ("// eval(atob(p))\n/* cp.exec(atob(x)); eval(y) */ f()", set()),
+    ("log('eval(atob(p)) cp.exec(x)')", set()),
+    ("eval('atob(p)'); cp.exec('decrypt(x)')", set()),
+    ("function exec(cmd) { return 1 }\nclass A { spawn(cmd) { return 2 } }", set()),
+    ("const r = /['\"(]/; eval(atob(p)); const q = a / b / c;", {DECODED_EVAL}),
+    ("x = y /* ' */ ; cp.exec(cmd)", {TAINTED}),
+    ("sock.on('end', d => cp.exec('ls')); sock.on('data', handler)", set()),
+    ("cp.exec(/* decrypt(x) */ 'ls')", set()),
+    # depth, order, layout
+    ("eval(" + "(" * 9 + "x" + ")" * 9 + ")", {BUILT_EVAL}),
+    ("eval(a(b(c(d(e(f(atob(g(h(i))))))))))", {DECODED_EVAL}),
+    ("if (a) { while (b) { [1].map((x) => { try { cp\n.exec (\n  cmd , [ 'a', { b : c } ]) } catch (e) {} }) } }", {TAINTED}),
+    ("new Function('a', 'b', atob(x))", {DECODED_EVAL}),
+    ("eval(wrap('a,b', \"c)\", `d(`, x))", {BUILT_EVAL}),
+    ("cp.exec(fs.writeFileSync('/a/b.exe', atob(x)))", {DECODED_COMMAND, DROPS}),
+    ("sock.on('data', async (d = f(1)) => { if (d) { cp.spawn('sh', ['-c', d]) } })", {SHELL}),
+    ("eval(", set()),
+    ("eval(atob(x", set()),
+    (") ] } eval(x) ( [ {", {BUILT_EVAL}),
     ("", set()),
     (None, set()),
 ]
@@ -50,7 +70,7 @@ def test_each_shape(spark):
 
 
 def test_dependencies_other_files_and_long_ones(spark):
-    rows = [(1, "node_modules/m/a.js", "eval(atob(p)); cp.exec(x)"), (2, "readme.md", "eval(atob(p))"), (3, "a.js", "eval(" + "(" * 9 + "x" + ")" * 9 + ")"), (4, "a.js", "f('" + "x" * 200_000 + "', eval(atob(p)))" + "\\'" * 50_000)]
+    rows = [(1, "node_modules/m/a.js", "eval(atob(p)); cp.exec(x)"), (2, "readme.md", "eval(atob(p))"),  (4, "a.js", "f('" + "x" * 200_000 + "', eval(atob(p)))" + "\\'" * 50_000)]
     got = {(r.sample_key, r.reason, r.tier) for r in shape_findings(spark.createDataFrame(rows, "sample_key long, path string, content string")).collect()}
     assert got == {(1, "AST: dependency eval()/new Function() over decoded data", "supporting"), (4, DECODED_EVAL, "primary")}
     assert shape_findings(spark.createDataFrame([], "sample_key long, path string, content string")).collect() == []

@@ -1,23 +1,46 @@
 """Shapes of calls in scripts: what is evaluated, executed, decrypted or written, told from the calls' arguments.
 
-Calls are read with patterns, not with a parser: an argument list may nest ``DEPTH`` deep, deeper ones
-aren't judged, and a call inside a comment or string counts as a call. All repetitions are possessive, so
-matching needs no stack however long a string is.
+A script is cut into tokens by one alternation: comments, strings, regular expressions, names, gaps and
+single marks. Its brackets and commas are then rows of a relation: a running sum gives each its depth, and those of
+one depth between an opening bracket and the next are that bracket's own. So a group of rows is a bracket, with where it opens
+and closes, its commas, and the words before it: calls and their arguments, however deep. Comments are gaps, so
+nothing in them counts; what stands in strings isn't code. All repetitions are possessive, so
+matching needs no stack however long a token is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.text import STRING, gated_hit, hit, is_cradle
+from trawl.session import written_once
 
-DEPTH = 4
+COMMENT = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
+#: A slash opens a regular expression only where no value can stand before it.
+REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,4})/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+#: One that isn't closed ends with its line, or, a template, with the text; so none is looked for twice.
+ANY_STRING = r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|`[^`\\]*+(?:\\.[^`\\]*+)*+`?"""
+TOKEN = rf"(?s)\s++|{COMMENT}|{ANY_STRING}|{REGEX}|[\w$]++|."
 
-# Functions that run processes, write files or decode, and places that are written to.
+# Functions that run processes, write files or decode, places that are written to, and what is said of them.
 PROCESS = "exec|execSync|spawn|spawnSync|execFile|execFileSync|fork"
 WRITE = "writeFile|writeFileSync|appendFile|appendFileSync|createWriteStream|copyFile|copyFileSync"
+EVALS, CIPHERS = "eval|Function", "createDecipheriv|createDecipher"
+CALLED = f"eval|{CIPHERS}|on|{PROCESS}|{WRITE}"
+REASONS = {
+    "loader": "AST: eval()/new Function() over DECODED data (base64/decipher/inflate) — multi-stage loader",
+    "dependency": "AST: dependency eval()/new Function() over decoded data",
+    "built": "AST: dynamic eval()/new Function() on a constructed (non-static) value",
+    "packed": "runtime-decrypts an embedded payload with a hard-coded key (packed second stage)",
+    "shell": "AST: reverse shell — a socket data handler executes received input as a process",
+    "command": "AST: child_process executing a DECODED command string",
+    "tainted": "AST: child_process invoked with a non-static/tainted command argument",
+    "autostart": "AST: writes into an autostart/persistence location",
+    "drops": "AST: writes an executable/script payload to disk",
+    "drops safely": "AST: writes an executable payload into a temp/extension directory",
+}
 DECODER = r"\b(?:atob|inflate|inflateSync|inflateRaw|inflateRawSync|gunzip|gunzipSync|brotliDecompress|brotliDecompressSync|createDecipheriv|createDecipher|decrypt|decipher)\s*\("
 BUFFER_DECODE = r"""(?i)\bBuffer\.from\s*\(.{0,400}?,\s*['"](?:base64|base64url|hex)['"]\s*\)"""
 EXECUTABLE = r"""(?i)\.(?:exe|dll|scr|msi|bat|cmd|ps1|vbs|jar|lnk)(?:["'`]|\z)"""
@@ -27,31 +50,68 @@ SAFE_PLACE = r"(?i)(?:tmpdir\(\)|os\.tmpdir|globalStorage|storageUri|storagePath
 LITERAL = rf"(?:{STRING}|[\d.]+|true|false|null)"
 
 
-def part(depth: int, beside: str = "") -> str:
-    """A string, a stretch without marks (nor ``beside``), or parentheses around such."""
-    inner = rf"|\({part(depth - 1)}*+\)" if depth else ""
-    return rf"(?:{STRING}|[^()'\"`{beside}]++{inner})"
+def is_gap(token: Column) -> Column:
+    return token.rlike(r"^(?:\s|//|/\*)")
 
 
-ARGUMENTS, FIRST = rf"\s*\(({part(DEPTH)}*+)\)", rf"^({part(DEPTH, ',')}*+)"
+def is_string(token: Column) -> Column:
+    return token.rlike(r"""^['"`]""")
 
 
-def calls(text: Column, names: str) -> Column:
-    """The argument lists of all calls of these functions."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<![\w$])(?:{names}){ARGUMENTS}"), F.lit(1))
+def marks(tokens: Column) -> Column:
+    """Of the brackets and commas: their place, the two tokens before and the one behind, gaps aside."""
+    code = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: ~is_gap(x["t"]))
+    return F.transform(F.array(code), lambda c: F.filter(  # bound once
+        F.transform(c, lambda x, k: F.when(x["t"].isin(*"()[]{},"), F.struct(x["i"].alias("i"), x["t"].alias("t"), F.try_element_at(c, F.when(k > 0, k)).getField("t").alias("before"), F.try_element_at(c, F.when(k > 1, k - 1)).getField("t").alias("second"), F.try_element_at(c, k + 2).getField("t").alias("behind")))),
+        lambda x: x.isNotNull(),
+    ))[0]
 
 
-def first(arguments: Column) -> Column:
-    return F.trim(F.regexp_extract(arguments, FIRST, 1))
+def call_places(scripts: DataFrame) -> DataFrame:
+    """``scripts(file, marks)`` to ``(file, calls)``: of each bracket behind a name of ``CALLED`` the name, and where its arguments begin and end.
+
+    A definition isn't a call: ``function f(...)`` or, as in classes, ``f(...) {``.
+    """
+    rows = scripts.select("file", F.explode("marks").alias("m")).select("file", "m.*")
+    whole = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    opens, closes = F.col("t").isin(*"([{"), F.col("t").isin(*")]}")
+    deep = rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(whole))
+    level = deep.withColumn("level", F.col("depth") + F.when(closes, 1).otherwise(0))
+    own = Window.partitionBy("file", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    told = level.withColumn("nth", F.sum(F.when(opens, 1).otherwise(0)).over(own))
+    of = lambda name, c: F.max(F.when(opens, F.col(c))).alias(name)
+    groups = told.groupBy("file", "level", "nth").agg(
+        F.min(F.when(F.col("t") == "(", F.col("i"))).alias("open"), F.min(F.when(F.col("t") == ")", F.col("i"))).alias("close"), of("name", "before"), of("lead", "second"),
+        F.max(F.when(closes, F.col("behind"))).alias("behind"), F.array_sort(F.collect_list(F.when(F.col("t") == ",", F.col("i")))).alias("commas"),
+    )
+    called = F.col("name").rlike(rf"^(?:{CALLED})$") | ((F.col("name") == "Function") & (F.col("lead") == "new"))
+    call = groups.where("open IS NOT NULL AND close > open").where(called & ~F.coalesce(F.col("lead") == "function", F.lit(False)) & ~F.coalesce(F.col("behind") == "{", F.lit(False)))
+    return call.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("open", "close", "name", "commas"))).alias("calls"))
+
+
+def arguments(tokens: Column, call: Column) -> Column:
+    """The texts of a call's arguments: comments as blanks, and strings as they are."""
+    edges = F.concat(F.array(call["open"]), call["commas"], F.array(call["close"]))
+    shown = lambda a, b: F.trim(F.array_join(F.transform(F.slice(tokens, a + 2, b - a - 1), lambda t: F.when(t.rlike(r"^/[/*]"), F.lit(" ")).otherwise(t)), ""))
+    each = F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), shown)
+    return F.when((F.size(edges) == 2) & (F.element_at(each, 1) == ""), F.slice(each, 1, 0)).otherwise(each)
+
+
+#: What a string is in code that is searched for names: empty, but for the encodings.
+BLANK = rf"""(?s)(['"](?i:base64|base64url|hex)['"])|{STRING}"""
+
+
+def code(argument: Column) -> Column:
+    return F.regexp_replace(argument, BLANK, "$1")
 
 
 def is_decoded(argument: Column) -> Column:
-    return argument.rlike(DECODER) | argument.rlike(BUFFER_DECODE)
+    return F.coalesce(code(argument).rlike(DECODER) | code(argument).rlike(BUFFER_DECODE), F.lit(False))
 
 
 def is_static(argument: Column) -> Column:
     """Nothing, or literals put together; a template that fills in values isn't one."""
-    return argument.rlike(rf"^(?:{LITERAL}(?:\s*\+\s*{LITERAL})*+)?\z") & ~argument.rlike(r"`[^`]*\$\{")
+    return F.coalesce(argument.rlike(rf"^(?:{LITERAL}(?:\s*\+\s*{LITERAL})*+)?\z") & ~argument.rlike(r"`[^`]*\$\{"), F.lit(True))
 
 
 def is_json_eval(argument: Column) -> Column:
@@ -61,40 +121,46 @@ def is_json_eval(argument: Column) -> Column:
 
 def shape_findings(files: DataFrame) -> DataFrame:
     """``files(sample_key, path, content)`` to findings like those of ``static.findings``; each reason once a file."""
-    path, text, low = F.col("path"), F.col("content"), F.col("low")
+    path, text, low = F.col("path"), F.col("content"), F.lower("content")
+    js = files.where(path.rlike(r"(?i)\.(?:js|cjs|mjs|jsx|ts|tsx)$") & text.isNotNull() & (F.length(text) <= rules.MAX_FILE_BYTES))
+    words = ["eval", "function", "createdecipher", ".on", "exec", "spawn", "fork", "writefile", "appendfile", "createwritestream", "copyfile", "'", '"', "`"]
+    cut = js.where(F.greatest(*(low.contains(w) for w in words))).select(F.monotonically_increasing_id().alias("file"), "sample_key", "path", F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    scripts = written_once(cut, "scripts")
+    calls = call_places(scripts.select("file", marks(F.col("tokens")).alias("marks")))
+    called = lambda names: F.filter("calls", lambda c: c["name"].rlike(rf"^(?:{names})$"))
+    given = scripts.join(calls, "file").select("sample_key", "path", F.transform("calls", lambda c: F.struct(c["name"].alias("name"), arguments(F.col("tokens"), c).alias("a"))).alias("calls"))
     app = ~path.rlike(r"(^|/)node_modules/")
-    made = files.where(path.rlike(r"(?i)\.(?:js|cjs|mjs|jsx|ts|tsx)$") & text.isNotNull() & (F.length(text) <= rules.MAX_FILE_BYTES)).select("sample_key", "path", "content", F.lower("content").alias("low"))
-    some = lambda words, value: F.when(F.lit(False) if not words else F.greatest(*(low.contains(w) for w in words)) if len(words) > 1 else low.contains(words[0]), value)
-    parsed = made.select(
-        "*", some(["'", '"', "`"], F.regexp_extract_all(text, F.lit(f"({STRING})"))).alias("strings"), some(["eval", "function"], calls(text, r"eval|(?<=\bnew\s)Function")).alias("evals"),
-        some(["createdecipher"], calls(text, "createDecipheriv|createDecipher")).alias("ciphers"), some([".on"], calls(text, r"(?<=\.)on")).alias("handlers"),
-        some(["exec", "spawn", "fork"], calls(text, PROCESS)).alias("processes"), some(["writefile", "appendfile", "createwritestream", "copyfile"], F.transform(calls(text, WRITE), first)).alias("writes"),
-    ).select("*", F.transform("processes", first).alias("commands"))
-    any_of = lambda name, test: F.coalesce(F.exists(name, test), F.lit(False))
-    decoded_eval = any_of("evals", lambda a: is_decoded(a))
-    built_eval = any_of("evals", lambda a: ~is_decoded(a) & ~is_static(first(a)) & ~is_json_eval(first(a)))
-    second = lambda a: F.trim(F.regexp_replace(F.substring(a, F.length(F.regexp_extract(a, FIRST, 1)) + 1, F.length(a)), r"^,", ""))
-    key = lambda a: first(second(a))
-    packed = any_of("ciphers", lambda a: first(a).rlike(rf"^(?:{STRING})\z") & ((key(a).rlike(rf"^(?:{STRING})\z") & (F.length(key(a)) >= 18)) | key(a).rlike(BUFFER_DECODE)))
-    shell = any_of("handlers", lambda a: a.rlike(r"""^\s*['"](?:data|message)['"]\s*,\s*(?:async\s*)?(?:function\b|\(|\w+\s*=>)""") & a.rlike(rf"(?<![\w$])(?:{PROCESS})\s*\("))
-    executable, autostart, safe = (lambda w, p=p: hit(w, p) for p in (EXECUTABLE, AUTOSTART, SAFE_PLACE))
-    tests = [
-        (any_of("strings", is_cradle), 55, rules.CRADLE_REASON, "primary"),
-        (any_of("strings", lambda s: hit(s, rules.ENCODED_COMMAND)), 50, rules.ENCODED_REASON, "primary"),
-        (app & decoded_eval, 45, "AST: eval()/new Function() over DECODED data (base64/decipher/inflate) — multi-stage loader", "primary"),
-        (~app & decoded_eval, 15, "AST: dependency eval()/new Function() over decoded data", "supporting"),
-        (app & built_eval, 12, "AST: dynamic eval()/new Function() on a constructed (non-static) value", "supporting"),
-        (packed, 45, "runtime-decrypts an embedded payload with a hard-coded key (packed second stage)", "primary"),
-        (app & shell, 55, "AST: reverse shell — a socket data handler executes received input as a process", "primary"),
-        (app & any_of("commands", is_decoded), 50, "AST: child_process executing a DECODED command string", "primary"),
-        (app & any_of("commands", lambda a: ~is_decoded(a) & ~is_static(a)), 12, "AST: child_process invoked with a non-static/tainted command argument", "supporting"),
-        (app & any_of("writes", lambda w: autostart(w)), 45, "AST: writes into an autostart/persistence location", "primary"),
-        (app & any_of("writes", lambda w: executable(w) & ~autostart(w) & ~safe(w)), 35, "AST: writes an executable/script payload to disk", "primary"),
-        (app & any_of("writes", lambda w: executable(w) & ~autostart(w) & safe(w)), 15, "AST: writes an executable payload into a temp/extension directory", "supporting"),
+    arg = lambda c, k: F.try_element_at(c["a"], F.lit(k))
+    any_of = lambda names, test: F.coalesce(F.exists(called(names), test), F.lit(False))
+    loads = lambda c: is_decoded(arg(c, 1)) | is_decoded(arg(c, -1))
+    whole_string = lambda a: F.coalesce(a.rlike(rf"^(?:{STRING})\z"), F.lit(False))
+    key = lambda c: (whole_string(arg(c, 2)) & (F.length(arg(c, 2)) >= 18)) | F.coalesce(arg(c, 2).rlike(BUFFER_DECODE), F.lit(False))
+    runs = lambda a: a.rlike(r"(?s)^(?:async\b\s*)?(?:function\b|\(.*\)\s*=>|[\w$]+\s*=>)") & code(a).rlike(rf"(?<![\w$])(?:{PROCESS})\s*\(")
+    executable, autostart, safe = (lambda c, p=p: hit(arg(c, 1), p) for p in (EXECUTABLE, AUTOSTART, SAFE_PLACE))
+    of_calls = [
+        (app & any_of(EVALS, loads), 45, REASONS["loader"], "primary"),
+        (~app & any_of(EVALS, loads), 15, REASONS["dependency"], "supporting"),
+        (app & any_of(EVALS, lambda c: ~loads(c) & ~is_static(arg(c, 1)) & ~F.coalesce(is_json_eval(arg(c, 1)), F.lit(False))), 12, REASONS["built"], "supporting"),
+        (any_of(CIPHERS, lambda c: whole_string(arg(c, 1)) & key(c)), 45, REASONS["packed"], "primary"),
+        (app & any_of("on", lambda c: F.coalesce(arg(c, 1).rlike(r"""^['"](?:data|message)['"]\z""") & runs(arg(c, 2)), F.lit(False))), 55, REASONS["shell"], "primary"),
+        (app & any_of(PROCESS, lambda c: is_decoded(arg(c, 1))), 50, REASONS["command"], "primary"),
+        (app & any_of(PROCESS, lambda c: ~is_decoded(arg(c, 1)) & ~is_static(arg(c, 1))), 12, REASONS["tainted"], "supporting"),
+        (app & any_of(WRITE, lambda c: autostart(c)), 45, REASONS["autostart"], "primary"),
+        (app & any_of(WRITE, lambda c: executable(c) & ~autostart(c) & ~safe(c)), 35, REASONS["drops"], "primary"),
+        (app & any_of(WRITE, lambda c: executable(c) & ~autostart(c) & safe(c)), 15, REASONS["drops safely"], "supporting"),
+    ]
+    strings = scripts.select("sample_key", "path", F.filter("tokens", is_string).alias("strings"))
+    of_strings = [
+        (F.exists("strings", is_cradle), 55, rules.CRADLE_REASON, "primary"),
+        (F.exists("strings", lambda s: hit(s, rules.ENCODED_COMMAND)), 50, rules.ENCODED_REASON, "primary"),
     ]
-    told = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("points"), F.lit(r).alias("reason"), F.lit(t).alias("tier"))) for c, p, r, t in tests)), lambda f: f.isNotNull())
-    found = parsed.select("sample_key", "path", F.explode_outer(told).alias("f")).where("f IS NOT NULL")
-    return found.select("sample_key", "f.points", "f.reason", F.col("path").alias("file"), F.lit(None).cast("string").alias("detail"), "f.tier")
+
+    def told(rows: DataFrame, tests: list[tuple[Column, int, str, str]]) -> DataFrame:
+        found = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("points"), F.lit(r).alias("reason"), F.lit(t).alias("tier"))) for c, p, r, t in tests)), lambda f: f.isNotNull())
+        each = rows.select("sample_key", "path", F.explode_outer(found).alias("f")).where("f IS NOT NULL")
+        return each.select("sample_key", "f.points", "f.reason", F.col("path").alias("file"), F.lit(None).cast("string").alias("detail"), "f.tier")
+
+    return told(strings, of_strings).unionByName(told(given, of_calls))
 
 
 def is_module_source(text: Column) -> Column:
