@@ -163,12 +163,15 @@ def shape_findings(files: DataFrame) -> DataFrame:
     return told(strings, of_strings).unionByName(told(given, of_calls))
 
 
+# How modules import and export.
+MODULE = (r"(^|\n)\s*import[\s*{'\"]", r"(^|\n)\s*export\s*[\{*]", r"(^|\n)\s*export\s+(default|const|function|class|let|var)\b")
+
+
 def is_module_source(text: Column) -> Column:
     """Does a script import or export as modules do?"""
     low = F.lower(text)
-    patterns = (r"(^|\n)\s*import[\s*{'\"]", r"(^|\n)\s*export\s*[\{*]", r"(^|\n)\s*export\s+(default|const|function|class|let|var)\b")
     found = F.lit(False)
-    for p in patterns:
+    for p in MODULE:
         found = found | gated_hit(text, low, p)
     return found
 

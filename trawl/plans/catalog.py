@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions import rules
 from trawl.functions.identity import tier_of
-from trawl.functions.text import decode_layers, families, hit, host_port, invisible_count, is_printable
+from trawl.functions.text import decode_layers, families, gated_hit, host_port, invisible_count, is_printable
 from trawl.operators import corpus, dynamic, evaluate, fusion, runtime, shapes, static, taint
 from trawl.plans import fixtures as fx
 from trawl.plans.fixtures import read
@@ -132,10 +132,13 @@ def trusted_host_filter(spark, sf):
 
 @query
 def recon_battery(spark, sf):
-    count = lambda patterns: sum((hit(F.col("text"), p).cast("int") for p in patterns), F.lit(0))
-    ids = ["\\bthe\\b", "\\bund\\b"]
-    seen = read(spark, sf, "documents").select("doc_id", count(ids).alias("id_hits"), count([*ids, "\\bof\\b", "\\band\\b", "\\bder\\b", "\\bdes\\b"]).alias("all_hits"))
-    return seen.where("id_hits >= 1 AND all_hits >= 3")
+    """Reconnaissance commands in each document, completed with three of ``PROBES``."""
+    n = len(fx.PROBES)
+    probed = F.concat_ws("; ", F.col("text"), *(fx.choose(fx.PROBES, F.floor(F.col("doc_id") / step)) for step in (1, n, 5)))
+    docs = fx.spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", probed.alias("text"), F.lower(probed).alias("low"))
+    seen = lambda patterns: sum((gated_hit(F.col("text"), F.col("low"), p).cast("int") for p in patterns), F.lit(0))
+    counted = docs.select("doc_id", seen(rules.RECON_IDENTITY).alias("id_hits"), seen(rules.RECON_SYSTEM + rules.RECON_NETWORK).alias("others"))
+    return counted.select("doc_id", "id_hits", (F.col("id_hits") + F.col("others")).alias("all_hits")).where("id_hits >= 1 AND all_hits >= 3")
 
 
 @query

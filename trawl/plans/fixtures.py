@@ -44,7 +44,15 @@ SCRIPTS = [
     ("fs.createWriteStream(__dirname + '/a.ps1')", "AST: writes an executable payload into a temp/extension directory", 15, "supporting"),
     ("cp.exec('git status'); eval('1')", None, None, None),
     ("plain()", None, None, None),
+    # near misses: a comment, a string, a definition, a place that isn't judged; and a call deep in others
+    ("// eval(atob(p)); cp.spawn(cmd)", None, None, None),
+    ("log('eval(atob(p)) and cp.spawn(cmd)')", None, None, None),
+    ("class C { spawn(cmd) { return cmd } }", None, None, None),
+    ("fs.writeFileSync('notes.txt', d)", None, None, None),
+    ("a(b(c([d({ e: (f(cp.fork(g(h)))) })])))", "AST: child_process invoked with a non-static/tainted command argument", 12, "supporting"),
 ]
+#: What documents are completed with for the count of reconnaissance commands; some only look like one.
+PROBES = ["whoami /priv", "net user", "cat /etc/passwd", "tasklist", "systeminfo", "ipconfig /all", "netstat -ano", "arp -a", "net users of the town", "ps auxiliary", "the wmicro", "route printed", "lsof -i", "whoami"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +71,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script for each document, one of ``SCRIPTS`` and then its text."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    content = F.concat(choose([line for line, *_ in SCRIPTS], F.col("doc_id")), F.lit("\n// "), F.regexp_replace(F.substring("text", 1, 200), r"[^\w ]", ""))
+    """A script for each document: two of ``SCRIPTS`` in all combinations, and its whole text as a comment."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = [line for line, *_ in SCRIPTS]
+    comment = F.concat(F.lit("// "), F.regexp_replace("text", "\n", "\n// "))
+    content = F.concat_ws("\n", choose(lines, F.col("doc_id")), choose(lines, F.floor(F.col("doc_id") / len(lines))), comment)
     return docs.select(F.col("doc_id").alias("sample_key"), F.lit("src/a.js").alias("path"), F.length(content).cast("long").alias("size"), content.alias("content"))
 
 

@@ -7,7 +7,8 @@ the two rules that use one are written as an extraction less the excluded prefix
 from __future__ import annotations
 
 from trawl.functions import rules
-from trawl.plans.fixtures import CLASSES, COMMANDS, ITEMS, PACK, SAMPLES, SCRIPTS, URLS
+from trawl.operators.shapes import COMPARED, MODULE, USUAL_WORDS
+from trawl.plans.fixtures import CLASSES, COMMANDS, ITEMS, PACK, PROBES, SAMPLES, SCRIPTS, URLS
 
 
 def text(value: str) -> str:
@@ -150,8 +151,8 @@ SQL: dict[str, str] = {
     "rule_scan": with_(FOUND) + "SELECT doc_id, rule, points, tier FROM found",
     "two_tier_score": with_(FOUND, SCORED) + "SELECT doc_id, primary_score, support_score, score, verdict FROM scored",
     "trusted_host_filter": f"SELECT host, count(*) AS n FROM (SELECT CASE WHEN page_id % 4 = 0 THEN 'objects.githubusercontent.com' ELSE {_HOST} END AS host FROM pages) WHERE NOT {hit('host', rules.TRUSTED_HOST)} GROUP BY host",
-    "recon_battery": f"SELECT doc_id, id_hits, id_hits + more AS all_hits FROM (SELECT doc_id, {_COUNT([r'\bthe\b', r'\bund\b'])} AS id_hits, {_COUNT([r'\bof\b', r'\band\b', r'\bder\b', r'\bdes\b'])} AS more FROM documents) WHERE id_hits >= 1 AND id_hits + more >= 3",
-    "invisible_unicode": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 1 AND doc_id % 9 >= 4 THEN doc_id % 9 ELSE 0 END AS INTEGER) AS n FROM documents",
+    "recon_battery": f"SELECT doc_id, id_hits, id_hits + others AS all_hits FROM (SELECT doc_id, {_COUNT(rules.RECON_IDENTITY)} AS id_hits, {_COUNT(rules.RECON_SYSTEM + rules.RECON_NETWORK)} AS others FROM (SELECT doc_id, concat_ws('; ', text, {', '.join(pick(PROBES, f'doc_id // {k}') for k in (1, len(PROBES), 5))}) AS text FROM documents)) WHERE id_hits >= 1 AND id_hits + others >= 3",
+    "invisible_unicode": r"SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(runs, lambda r: NOT starts_with(r, chr(127988)) AND NOT (contains(r, chr(917631)) AND length(r) <= 8)), lambda r: length(r))), 0) AS INTEGER) AS n FROM (SELECT doc_id, regexp_extract_all(text || 'x' || CASE WHEN doc_id % 2 = 0 THEN chr(127988) ELSE '' END || repeat(chr(917569), doc_id % 9), '[\x{1F3F4}]?[\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]{4,}') AS runs FROM documents)",
     "event_cap": f"SELECT sample, count(*) AS kept, max(event_id) AS last_id FROM (SELECT event_id % {SAMPLES} AS sample, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id % {SAMPLES} ORDER BY event_id) <= 3) GROUP BY sample",
     "event_summary": with_(LOG, SEEN) + "SELECT sample, total_events, critical_events, child_process_calls, http_requests, fs_writes_blocked, fs_reads, eval_calls, crypto_decrypt_calls, net_socket_calls, dns_lookups, os_recon_calls, coalesce(array_to_string(list_filter(hosts, lambda x, i: list_position(hosts, x) = i), '|'), '') AS unique_hosts_contacted, coalesce(array_to_string(list_filter(cmds, lambda x, i: list_position(cmds, x) = i), '|'), '') AS shell_commands_attempted FROM seen",
     "dynamic_verdict": with_(LOG, SEEN, JUDGED) + "SELECT sample, score, verdict FROM judged",
@@ -182,15 +183,17 @@ SQL: dict[str, str] = {
 }
 
 SHAPES = "shapes(k, rule, points, tier) AS (VALUES " + ", ".join(f"({k}, {text(r)}, {p}, {text(t)})" for k, (_, r, p, t) in enumerate(SCRIPTS) if r) + ")"
-SHAPED = f"shaped AS (SELECT doc_id, rule, points, tier FROM documents JOIN shapes ON doc_id % {len(SCRIPTS)} = k)"
+SHAPED = f"shaped AS (SELECT DISTINCT doc_id, rule, points, tier FROM documents JOIN shapes ON doc_id % {len(SCRIPTS)} = k OR doc_id // {len(SCRIPTS)} % {len(SCRIPTS)} = k)"
 MANIFEST = "SELECT doc_id, 'malicious postinstall lifecycle script in package.json', 40, 'primary' FROM documents WHERE doc_id % 10 = 0"
-USUAL = "help,test,run,start,debug,scan,login,password,token,admin"
+_USUAL = f"[{', '.join(map(text, USUAL_WORDS))}]"
+_GATE = "'switch (x) { case ' || chr(39) || upper(left(lang, 1)) || substr(lang, 2) || chr(39) || ': if (s.includes(\"' || source || '\")) y === ' || chr(39) || lang || chr(39) || ' }' || chr(10) || text"
+GATES = f"gates AS (SELECT doc_id, list_transform(list_slice(regexp_extract_all({_GATE}, {text(COMPARED)}, 1), 1, 60), lambda w: lower(w)) AS every, CASE WHEN doc_id % 3 = 0 THEN 'import x from ' || chr(39) || 'y' || chr(39) ELSE 'const x = 1' END || chr(10) || text AS source FROM documents)"
 SQL |= {
     "shape_scan": with_(SHAPES, SHAPED) + "SELECT doc_id, rule, points, tier FROM shaped",
     "package_verdict": with_(FOUND.replace("found AS", "told AS", 1), SHAPES, SHAPED, f"found AS (SELECT * FROM told UNION ALL SELECT * FROM shaped UNION ALL {MANIFEST})", SCORED) + "SELECT doc_id, primary_score, support_score, score, verdict FROM scored",
     "running_ids": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS n FROM events",
     "beacon_projection": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS seq, CASE WHEN turn % 2 = 0 THEN 'https' ELSE 'unknown' END AS transport, 'host' || (conv_id % 5) || '.example:8443' AS host, CAST(length(text) AS INTEGER) AS body_bytes, CAST(CASE WHEN length(text) > 2000 THEN 2012 ELSE length(text) END AS INTEGER) AS shown, role FROM conversations",
-    "trigger_words": f"SELECT doc_id, lang || ',' || source || ',{USUAL}' AS words, doc_id % 3 = 0 AS module FROM documents",
+    "trigger_words": with_(GATES, "told AS (SELECT *, list_filter(every, lambda w, i: list_position(every, w) = i) AS own FROM gates)") + f"SELECT doc_id, array_to_string(list_slice(list_concat(list_slice(own, 1, 14), list_filter({_USUAL}, lambda w: NOT list_contains(own, w))), 1, 14), ',') AS words, {' OR '.join(f'regexp_matches(source, {text(p)})' for p in MODULE)} AS module FROM told",
     "taint_sinks": with_(LOG) + "SELECT coalesce(url, 'process:' || command) AS destination, coalesce(url, command) AS payload, count(*) AS n FROM log WHERE module IN ('https', 'child_process') GROUP BY 1, 2",
     "streaming_first_seen": "SELECT DISTINCT user_id FROM events",
 }
