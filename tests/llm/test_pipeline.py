@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from trawl.llm.simhash import radius_for, wide_fingerprint
+from tests.llm.test_nearcopies import components
 
 
 def test_stages_take_effect(spark, sf, tmp_path):
@@ -23,11 +23,8 @@ def test_stages_take_effect(spark, sf, tmp_path):
     kept = [" ".join(x.split()) for r in rows[2].values() for x in r.text.split("\n") if x.strip()]
     assert len(kept) == len(set(kept)) and set(kept) <= {" ".join(x.split()) for r in rows[1].values() for x in r.text.split("\n")}
     assert all(r.n_chars == len(r.text) for r in rows[2].values())
-    # near copies: brute-force components keep their smallest id
-    fps = {k: int.from_bytes(wide_fingerprint(r.text.encode(), 5, 4).tobytes()) for k, r in rows[2].items()}
-    low = {k: k for k in fps}
-    while (new := {k: min(low[o] for o in fps if (fps[k] ^ fps[o]).bit_count() <= radius_for(0.8, 256)) for k in fps}) != low:
-        low = new
+    # near copies: components of true shingle sets keep their smallest id
+    low = components({k: r.text for k, r in rows[2].items()})
     assert rows[3].keys() == {k for k, v in low.items() if k == v} and all(rows[2][k] == r for k, r in rows[3].items())
     # benchmark: nothing left holds a whole item
     flat = lambda t: f" {' '.join(re.findall(r'\w+', t.lower()))} "

@@ -34,23 +34,27 @@ TILE_ROWS = 256
 HASHES_AT_ONCE = 1 << 16
 
 
-def radius_for(similarity: float, bits: int) -> int:
-    """Bits in which texts of this Jaccard similarity of shingles differ, and one standard deviation more.
+def radius_for(similarity: float, bits: int, deviations: float = 1) -> int:
+    """Bits in which texts of this Jaccard similarity of shingles differ, and so many standard deviations more.
 
     A bit differs with the angle between the shingle counts; sets of one size and
     similarity s have the cosine 2s / (1 + s).
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * share + np.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int, lanes: int) -> np.ndarray:
-    """The fingerprint of one UTF-8 text in ``lanes`` unsigned integers; the first is that of ``fingerprint``."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """A hash for each shingle of words, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of a text's shingles in ``lanes`` unsigned integers; the first is that of ``fingerprint``."""
     set_bits = np.zeros((lanes, 64), np.int64)
     for at in range(0, hashes.size, HASHES_AT_ONCE):
         part = hashes[at : at + HASHES_AT_ONCE]
@@ -63,7 +67,7 @@ def wide_fingerprint(text: bytes | None, shingle: int, lanes: int) -> np.ndarray
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
-    return int(wide_fingerprint(text, shingle, 1)[0])
+    return int(wide_fingerprint(shingle_hashes(text, shingle), 1)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:
@@ -71,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(t.as_py(), shingle, lanes).astype(">u8").tobytes() for t in batch.column(1)]
+            fps = [wide_fingerprint(shingle_hashes(t.as_py(), shingle), lanes).astype(">u8").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
@@ -166,18 +170,19 @@ def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return both[moved], both[root[moved]]
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, lanes: int = 1) -> DataFrame:
-    """Distinct ``fps(fp)`` to links ``(a, b)`` whose components are those of all pairs in the radius.
+def block_pairs(fps: DataFrame, radius: int, block_rows: int, lanes: int, more: int = 0) -> tuple[DataFrame, int]:
+    """Distinct ``fps(fp)`` to ``(pair, second, fps)``: the packed blocks of each pair that its counts allow; and the number of blocks.
 
-    A block is one packed row of at most ``block_rows`` fingerprints and travels to
+    ``more`` lanes behind those that are compared go along. A block is one packed row of at most ``block_rows`` fingerprints and travels to
     the tasks of its block pairs as such. The work is that of comparing all block
     pairs with compatible counts, so it grows with the square of the distinct
     fingerprints; it is dealt to as many tasks as there are block pairs, up to ``MOST_TASKS``.
     """
+    width = lanes + more
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hi, lo = half_counts(rows_of(batch.column(0), lanes))
+            hi, lo = half_counts(rows_of(batch.column(0), width)[:, :lanes])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi), pa.array(lo)], ["fp", "hi", "lo"])
 
     halves = fps.select("fp").mapInArrow(counted, "fp binary, hi long, lo long")
@@ -188,7 +193,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_R
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = rows_of(batch.column(0), lanes)
+            fp = rows_of(batch.column(0), width)
             first = np.array([place[c] for c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], np.int64).reshape(-1, 2)
             block = first[:, 0] + (fp[:, 0] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % np.maximum(1, first[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0)], ["block", "fp"])
@@ -202,35 +207,41 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_R
                 for p in np.flatnonzero(gap(bounds[k], bounds) <= radius).tolist():
                     yield pa.RecordBatch.from_arrays([pa.array([min(k, p) * blocks + max(k, p)]), pa.array([k > p]), pa.array([fps.as_py()])], ["pair", "second", "fps"])
 
+    packed = halves.mapInArrow(place_rows, "block long, fp binary").groupBy("block").applyInArrow(pack, "block long, fps binary")
+    return packed.mapInArrow(deal, "pair long, second boolean, fps binary").repartition(max(1, min(met, MOST_TASKS)), "pair"), blocks
+
+
+def sides_of(key: tuple, rows: pa.Table, blocks: int, width: int) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """The two blocks of a pair, or one and None if a block meets itself; None if a block is empty."""
+    sides = {s: np.frombuffer(f, ">u8").astype(np.uint64).reshape(-1, width) for s, f in zip(rows.column("second").to_pylist(), rows.column("fps").to_pylist(), strict=True)}
+    alone = key[0].as_py() // blocks == key[0].as_py() % blocks
+    return (sides[False], sides.get(True)) if alone or len(sides) == 2 else None
+
+
+def link_fingerprints(fps: DataFrame, radius: int = 4, block_rows: int = BLOCK_ROWS, lanes: int = 1) -> DataFrame:
+    """Distinct ``fps(fp)`` to links ``(a, b)`` whose components are those of all pairs in the radius."""
+    dealt, blocks = block_pairs(fps, radius, block_rows, lanes)
+
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        sides = {s: np.frombuffer(f, ">u8").astype(np.uint64).reshape(-1, lanes) for s, f in zip(rows.column("second").to_pylist(), rows.column("fps").to_pylist(), strict=True)}
-        alone = key[0].as_py() // blocks == key[0].as_py() % blocks
-        a, b = linked(sides[False], sides.get(True), radius) if alone or len(sides) == 2 else (np.zeros((0, lanes), np.uint64),) * 2
+        sides = sides_of(key, rows, blocks, lanes)
+        a, b = linked(*sides, radius) if sides else (np.zeros((0, lanes), np.uint64),) * 2
         return pa.table({"a": binaries(a), "b": binaries(b)})
 
-    packed = halves.mapInArrow(place_rows, "block long, fp binary").groupBy("block").applyInArrow(pack, "block long, fps binary")
-    dealt = packed.mapInArrow(deal, "pair long, second boolean, fps binary").repartition(max(1, min(met, MOST_TASKS)), "pair")
     return dealt.groupBy("pair").applyInArrow(meet, "a binary, b binary")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS, lanes: int = 1) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs(doc_id, text)``."""
-    marked = pin(fingerprints(docs, shingle, lanes))
-    firsts = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    roots = connected_components(link_fingerprints(firsts, radius, block_rows, lanes))
+def component_ids(marked: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """``marked`` with ``component_id``; ``firsts(fp, first, copies)`` has its classes, ``links(a, b)`` are of them."""
+    roots = connected_components(links)
     member = pin(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
     least = pin(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("classes")))
     named = pin(join_spread(member, least, ["root"], "classes").select("fp", "copies", "component_id"))
-    return join_spread(marked, named, ["fp"], "copies").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
+    return join_spread(marked, named, ["fp"], "copies")
 
-def without_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, lanes: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest id.
 
-    Similarity is that of the shingle sets as ``64 * lanes`` fingerprint bits tell it (``radius_for``).
-    Rows that share an id are one document: they stay if any of them stands for its group. A row
-    with a null id can't stand for a group and isn't known as a copy; it stays.
-    """
-    grouped = pin(simhash_groups(docs, shingle, radius_for(similarity, 64 * lanes), lanes=lanes).where("doc_id IS NOT NULL"))
-    gone = grouped.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
-    return docs.join(gone.select(F.col("doc_id").alias("_nd_id")), F.col("doc_id").cast("long") == F.col("_nd_id"), "left_anti")
+def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, block_rows: int = BLOCK_ROWS, lanes: int = 1) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, one row for each row of ``docs(doc_id, text)``."""
+    marked = pin(fingerprints(docs, shingle, lanes))
+    firsts = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    found = component_ids(marked, firsts, link_fingerprints(firsts, radius, block_rows, lanes))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
