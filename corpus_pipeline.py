@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from trawl.llm.common import shared_folder, table
 from trawl.llm.decontaminate import clean
 from trawl.llm.linededup import dedup_lines
+from trawl.llm.nearcopies import without_near_copies
 from trawl.llm.packing import pack
 from trawl.llm.quality import judge
-from trawl.llm.simhash import without_near_copies
 
 
 def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
