@@ -72,6 +72,25 @@ def test_defined_results(spark):
     assert judge(docs.limit(0), labels).collect() == []
 
 
+def test_cuts_are_of_the_language(spark):
+    """``cut`` and ``kept`` against plain quantiles over the held-out trusted texts; a small language isn't judged by a large one."""
+    rng = random.Random(6)
+    words = {"en": [f"en{i}" for i in range(3000)], "xx": [f"xx{i}" for i in range(30)], "yy": [f"yy{i}" for i in range(300)]}
+    docs = [(k, " ".join(rng.choices(words[lang], k=rng.randrange(20, 60))), lang, "x", 1) for k, lang in enumerate(["en"] * 900 + ["xx"] * 200 + ["yy"] * 12)]
+    docs += [(5000 + k, " ".join(rng.choices([f"junk{i}" for i in range(500)], k=30)), "xx", "x", 1) for k in range(10)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    labels = spark.createDataFrame([(d[0], 1) for d in docs if d[0] < 5000], "doc_id long, quality int")
+    rows = judge(frame, labels).selectExpr("*", "pmod(xxhash64(text), 4) = 0 AS out", "cast(floor(log2(length(text) + 1)) AS int) AS band").collect()
+    held = [r for r in rows if r.out and r.doc_id < 5000]
+    quantile = lambda some: sorted(r.perplexity for r in some)[max(0, math.ceil(0.99 * len(some)) - 1)]
+    for r in rows:
+        groups = (([h for h in held if (h.lang, h.band) == (r.lang, r.band)], 100), ([h for h in held if h.lang == r.lang], 20), ([h for h in held if h.band == r.band], 100), (held, 0))
+        want = quantile(next(g for g, least in groups if len(g) >= least))
+        assert math.isclose(r.cut, want, rel_tol=1e-9) and r.kept == (r.perplexity <= r.cut)
+    assert not any(r.kept for r in rows if r.doc_id >= 5000)
+    assert max(r.cut for r in rows if r.lang == "xx") < min(r.cut for r in rows if r.lang == "en")
+
+
 def test_words_equal_definition(spark):
     texts = ["the cat sat on the mat . the cat sat", "the dog sat on the cat", "a dog , a cat , a mat", "the the the"]
     asked = [*texts, "the cat sat on a zebra", "mat mat dog the cat", "unseen words only"]

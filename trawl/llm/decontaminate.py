@@ -295,19 +295,23 @@ def answer(batch: pa.RecordBatch, best: dict[tuple[int, int | None], tuple[float
 
 
 def all_leaks(docs: DataFrame, benchmark: DataFrame, block: int, topics: int) -> DataFrame:
-    found = docs.sparkSession.createDataFrame([], LEAKS)
-    for some in blocks_of(benchmark, block):
-        found = found.unionByName(pin(block_leaks(docs, some, topics)))
+    """``LEAKS`` with the ``block`` that found each."""
+    found = docs.sparkSession.createDataFrame([], f"{LEAKS}, block int")
+    for k, some in enumerate(blocks_of(benchmark, block)):
+        found = found.unionByName(pin(block_leaks(docs, some, topics)).withColumn("block", F.lit(k)))
     return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int = TOPICS) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap, answer)`` for each document that holds a benchmark item.
 
-    An item whose passages lie in two blocks can have a row from each.
+    An item whose passages lie in several blocks is found by some of them; its best find holds. A block
+    tells of each repeated row, so the rows of one find are as many as one block has of it.
     """
-    found = all_leaks(docs, benchmark, block, topics)
-    return found.select("doc_id", "item_id", "cosine", "overlap", "answer")
+    row = ["doc_id", "h1", "h2", "item_id"]
+    each = all_leaks(docs, benchmark, block, topics).groupBy(*row, "block").agg(F.count("*").alias("n"), F.max(F.struct("overlap", "answer", "cosine")).alias("best"))
+    once = each.groupBy(*row).agg(F.max("n").alias("n"), F.max("best").alias("best"))
+    return once.select("doc_id", "item_id", "best.cosine", "best.overlap", "best.answer", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).drop("nth")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, topics: int = TOPICS) -> DataFrame:

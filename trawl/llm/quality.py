@@ -13,7 +13,7 @@ before it; its pairs are then counted in common. No task holds more than one sha
 
 A document is rejected if its perplexity exceeds the cut of its language and length (by powers of
 two): a quantile of trusted documents that the model was not trained on, a ``HELD`` th of all.
-With fewer than ``LEAST`` of these the cut is that of the length, of the language, or of all.
+With fewer than ``LEAST`` of these the cut is that of the language if it has ``LEAST_OWN``; only then that of the length in all languages, or of all.
 
 Defined results: a null or empty text has no perplexity and is kept; without any trusted
 document all are kept; a null language is a language of its own; repeated labels count once;
@@ -44,7 +44,7 @@ SYMBOLS = 1 << BITS
 DIGIT, SPACE, LINE, MARK, SIGN, OTHER = range(26, 32)
 TRUSTED_QUANTILE = 0.99
 HELD = 4
-LEAST = 100
+LEAST, LEAST_OWN = 100, 20
 #: Words; a sign and a letter of a script without spaces stand alone.
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]")
 NONE, BEGIN, END = range(3)
@@ -528,6 +528,6 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = TRUSTED_QUANTILE
     judged = docs.withColumn("key", key).withColumn("of", lang).withColumn("band", band)
     for table, on in ((broadcast_if(scores, BROADCAST_ROWS), "key"), (broadcast_if(cells, BROADCAST_LANGS), ["of", "band"]), (F.broadcast(bands), "band"), (broadcast_if(pin(langs), BROADCAST_LANGS), "of")):
         judged = judged.join(table, on, "left")
-    enough = [F.when(F.col(f"{c}_n") >= LEAST, F.col(c)) for c in ("cell", "wide", "own")]
+    enough = [F.when(F.col(f"{c}_n") >= n, F.col(c)) for c, n in (("cell", LEAST), ("own", LEAST_OWN), ("wide", LEAST))]
     judged = judged.withColumn("cut", F.coalesce(*enough, F.lit(every).cast("double")))
     return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("cut"), F.lit(True))).select(*docs.columns, "perplexity", "cut", "kept")
