@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +101,19 @@ def pending(todo: DataFrame, done: DataFrame) -> DataFrame:
     return todo.join(done.select("key").distinct(), "key", "left_anti")
 
 
-def discovery_stats(samples: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(stat, name, n)``: how many were found and chosen, and counts by tier and classification."""
+def discovery_stats(samples: DataFrame, chosen: DataFrame, metadata: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``(stat, name, n)``: how many were found, chosen and left out by the filters, counts by tier and classification, and rows of metadata."""
     n = F.count("*").alias("n")
     kind = F.when(F.col("is_dir"), "folders").otherwise("archives")
     classification = F.coalesce(F.nullif("classification", F.lit("")), F.lit("(none)"))
+    one = lambda rows, stat, name="all": rows.agg(n).select(F.lit(stat).alias("stat"), F.lit(name).alias("name"), "n")
+    left_out = samples.select(F.lit(1).alias("x")).unionAll(chosen.select(F.lit(-1).alias("x"))).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n"))
     parts = [
         samples.groupBy(F.lit("found").alias("stat"), kind.alias("name")).agg(n),
-        chosen.groupBy(F.lit("selected").alias("stat"), F.lit("all").alias("name")).agg(n),
+        one(chosen, "selected"),
+        left_out.select(F.lit("excluded_by_tier").alias("stat"), F.lit("all").alias("name"), "n"),
         chosen.groupBy(F.lit("tier").alias("stat"), F.col("tier").alias("name")).agg(n),
         chosen.groupBy(F.lit("classification").alias("stat"), classification.alias("name")).agg(n),
+        *(one(rows, "metadata_rows", name) for name, rows in (metadata or {}).items()),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return reduce(DataFrame.unionByName, parts)

@@ -136,5 +136,55 @@ def cause_listing(rows: DataFrame, most: int = 120) -> DataFrame:
     return missed.withColumn("rank", rank).where(F.col("rank") <= most).select("cause", "rank", "id", "version", "tier", "score")
 
 
+def alarm_listing(rows: DataFrame) -> DataFrame:
+    """The report's false positives, every one by its cause."""
+    y, p = label_of(), F.coalesce(F.col("final_is_malicious").cast("int"), F.lit(0)) != 0
+    return rows.where((y == 0) & p).select(false_alarm_cause().alias("cause"), "id", "version", "score", "decided_by", F.substring(F.coalesce("top_reasons", F.lit("")), 1, 300).alias("reasons"))
+
+
+def error_listing(rows: DataFrame, most: int = 100) -> DataFrame:
+    """The report's analyses that failed: the first ``most`` ids with their errors."""
+    return rows.where("final_verdict = 'ERROR'").orderBy("id", "version", "target").limit(most).select("id", "version", "error")
+
+
+def misjudged(rows: DataFrame) -> DataFrame:
+    """One row ``(false_positives, false_negatives, errors)``; a failed analysis of a positive is a miss too."""
+    y, p = label_of(), F.coalesce(F.col("final_is_malicious").cast("int"), F.lit(0)) != 0
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.agg(count((y == 0) & p).alias("false_positives"), count((y == 1) & ~p).alias("false_negatives"), count(F.col("final_verdict") == "ERROR").alias("errors"))
+
+
+def cause_report(rows: DataFrame, most: int = 120) -> DataFrame:
+    """``(part, cause, n, position, line)``: the report on every misjudged sample, part by part, causes by their number; lists of misses are cut, their counts aren't."""
+    numbers = root_causes(rows)
+    name = F.concat(F.lit("- **"), F.col("id"), F.lit("** v"), F.coalesce("version", F.lit("")))
+    alarms = alarm_listing(rows).select(F.lit("FP").alias("kind"), "cause", "id", F.concat(name, F.lit(" — score "), F.col("score").cast("string"), F.lit(", decided by "), F.coalesce("decided_by", F.lit("")), F.when(F.col("reasons") != "", F.concat(F.lit("; "), F.col("reasons"))).otherwise("")).alias("line"))
+    misses = cause_listing(rows, most).select(F.lit("FN").alias("kind"), "cause", "id", F.concat(name, F.lit(" (tier "), F.coalesce("tier", F.lit("?")), F.lit(", score "), F.col("score").cast("string"), F.lit(")")).alias("line"))
+    errors = error_listing(rows).select(F.lit("ERROR").alias("kind"), F.lit("ANALYSIS_ERROR").alias("cause"), "id", F.concat(name, F.lit(" — "), F.coalesce("error", F.lit(""))).alias("line"))
+    failed = rows.where("final_verdict = 'ERROR'").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("ERROR").alias("kind"), F.lit("ANALYSIS_ERROR").alias("cause"), "n")
+    counted = numbers.unionByName(failed)
+    return alarms.unionByName(misses).unionByName(errors).join(F.broadcast(counted), ["kind", "cause"]).select(F.col("kind").alias("part"), "cause", "n", "id", "line")  # a row for each cause
+
+
+def metrics_report(rows: DataFrame, sections: dict[str, Column]) -> DataFrame:
+    """``(section, report)``: of each section one JSON text with its size, both matrices, and its verdicts by tier and by classification."""
+    names = F.array(*(F.when(c, F.lit(s)) for s, c in sections.items()))
+    inside = rows.withColumn("section", F.explode(F.filter(names, lambda s: s.isNotNull())))
+    y, v = label_of(), F.coalesce(F.col("final_verdict"), F.lit(""))
+    sizes = inside.groupBy("section").agg(F.count("*").alias("n"), F.count_if(y == 1).alias("positives"), F.count_if(y == 0).alias("negatives"))
+    matrix = confusion(inside, ["section"]).drop("errors")
+    kept = [c for c in matrix.columns if c not in ("section", "rule")]
+    pick = lambda rule: F.max(F.when(F.col("rule") == rule, F.struct(*kept))).alias(rule)
+    matrices = matrix.groupBy("section").agg(*map(pick, RULES))
+
+    def by(column: str, blank: str) -> DataFrame:
+        name = F.coalesce(F.nullif(column, F.lit("")), F.lit(blank)).alias("name")
+        each = inside.groupBy("section", name).agg(*verdict_counts(), F.count_if(v == "ERROR").alias("error"))
+        return each.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("name", "n", "malicious", "flagged", "error"))).alias(column))
+
+    whole = sizes.join(matrices, "section", "left").join(by("tier", "unknown"), "section").join(by("classification", "(none)"), "section")
+    return whole.select("section", F.to_json(F.struct("section", "n", "positives", "negatives", *RULES, F.col("tier").alias("tiers"), F.col("classification").alias("classes"))).alias("report"))
+
+
 def count_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

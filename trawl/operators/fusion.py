@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
-from trawl.functions.text import families, hit
+from trawl.functions.text import clip, families, hit
+from trawl.operators.numbering import first_rows
 from trawl.schemas import REASON, RESULT_COLUMNS, RESULTS
 
 
@@ -44,9 +45,16 @@ def fuse_with(engine: Callable[[DataFrame, DataFrame], DataFrame] | None, static
     return (engine or fuse)(static, dynamic)
 
 
-def behaviours(seen: DataFrame, invisible: DataFrame | None = None) -> DataFrame:
-    """``(sample_key, title, technique)`` for each behaviour that the observations show."""
+def behaviours(seen: DataFrame, invisible: DataFrame | None = None, static: DataFrame | None = None) -> DataFrame:
+    """``(sample_key, title, technique)`` for each behaviour that the observations show.
+
+    With ``static(sample_key, reasons)``, a sample that shows none, or wasn't observed at all, but has reasons, is told apart from a clean one.
+    """
     c, cmds = F.col, F.col("commands")
+    if static is not None:
+        seen = seen.join(static.select("sample_key", (F.size("reasons") > 0).alias("_static")), "sample_key", "full")
+        flags = ["any_process", "has_socket", "binary_url", "data_stolen", "sends_off_box", "recon"]
+        seen = seen.withColumns({f: F.coalesce(f, F.lit(False)) for f in [*flags, "_static"]} | {f: F.coalesce(f, F.lit(0)) for f in ("crypto_decrypt_calls", "eval_calls")} | {"commands": F.coalesce("commands", F.lit(""))})
     if invisible is not None:
         seen = seen.join(invisible, "sample_key", "left")
     hidden = F.coalesce(c("invisible_total") > 8, F.lit(False)) if invisible is not None else F.lit(False)
@@ -59,10 +67,41 @@ def behaviours(seen: DataFrame, invisible: DataFrame | None = None) -> DataFrame
         (c("crypto_decrypt_calls") > 0, "Runtime-decrypted payload", "T1027 + T1140"), (c("eval_calls") > 0, "Dynamic code evaluation", "T1059 + T1140"), (hidden, "Invisible-Unicode obfuscation", "T1027.010"),
     ]
     told = F.filter(F.array(*(F.when(k, F.struct(F.lit(t).alias("title"), F.lit(m).alias("technique"))) for k, t, m in cases)), lambda b: b.isNotNull())
-    none = F.array(F.struct(F.lit("No observable malicious behaviour").alias("title"), F.lit("n/a").alias("technique")))
+    alone = lambda title, technique: F.array(F.struct(F.lit(title).alias("title"), F.lit(technique).alias("technique")))
+    none = alone("No observable malicious behaviour", "n/a")
+    if static is not None:
+        none = F.when(c("_static"), alone("Static indicators only (no runtime detonation)", "T1195 / dormant first-stage")).otherwise(none)
     return seen.select("sample_key", F.explode(F.when(F.size(told) > 0, told).otherwise(none)).alias("b")).select("sample_key", "b.title", "b.technique")
 
 
+def iocs(seen: DataFrame, flows: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """``(sample_key, hosts, shell_commands, exfil_categories, taint_flows, outbound_count)``; each list has its first ``most`` entries, and beside a cut one ``_truncated_from`` tells how many there were."""
+    if flows is not None:  # (sample_key, send_seq, category, path, destination, confirmed) of ``taint.adjudicate``
+        told = F.struct("send_seq", F.concat(F.col("category"), F.lit(": "), F.col("path"), F.lit(" → "), F.col("destination")).alias("flow"))
+        of_flows = flows.where("confirmed").groupBy("sample_key").agg(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["flow"]).alias("taint_flows"))
+        seen = seen.join(of_flows, "sample_key", "left")
+    else:
+        seen = seen.withColumn("taint_flows", F.lit(None).cast("array<string>"))
+    lists = {"hosts": F.col("hosts"), "shell_commands": F.col("shell_commands_attempted"), "exfil_categories": F.col("categories"), "taint_flows": F.coalesce("taint_flows", F.array().cast("array<string>"))}
+    cuts = [x for name, v in lists.items() for x in (F.slice(v, 1, most).alias(name), F.when(F.size(v) > most, F.size(v)).alias(f"{name}_truncated_from"))]
+    return seen.select("sample_key", *cuts, F.col("outbound_messages").alias("outbound_count"))
+
+
+def prompt_digest(fused: DataFrame, seen: DataFrame, intel: DataFrame, beacons: DataFrame, most: int = 30) -> DataFrame:
+    """``(sample_key, digest)``: the evidence as one short JSON text, for a reader with little room; every list is cut."""
+    sent = F.struct("seq", F.struct(F.coalesce(F.nullif("host", F.lit("")), "destination").alias("to"), "method", clip(F.coalesce(F.nullif("decoded", F.lit("")), "body", F.lit("")), 200).alias("body")).alias("m"))
+    first = first_rows(beacons, ["seq"], most).groupBy("sample_key").agg(F.transform(F.array_sort(F.collect_list(sent)), lambda x: x["m"]).alias("outbound"))
+    rows = fused.join(seen.select("sample_key", *(F.col(c) for c in ("total_events", "http_requests", "child_process_calls", "eval_calls", "hosts", "shell_commands_attempted", "categories"))), "sample_key", "left").join(intel.select("sample_key", "purpose"), "sample_key", "left").join(first, "sample_key", "left")
+    number, some = lambda c: F.coalesce(c, F.lit(0)), lambda c: F.slice(F.coalesce(c, F.array()), 1, most)
+    static = F.filter("reasons", lambda r: r["source"] == "static")
+    of_static = F.struct(F.col("static_verdict").alias("verdict"), F.col("static_score").alias("score"), F.transform(F.slice(static, 1, most), lambda r: r["reason"]).alias("iocs"))
+    of_dynamic = F.struct(
+        F.col("dynamic_verdict").alias("verdict"), F.col("dynamic_score").alias("score"), "purpose", number("total_events").alias("events"), number("http_requests").alias("http"), number("child_process_calls").alias("exec"), number("eval_calls").alias("eval"),
+        some("hosts").alias("hosts"), some("shell_commands_attempted").alias("commands"), F.coalesce("outbound", F.array()).alias("outbound"), some("categories").alias("stolen"),
+    )
+    return rows.select("sample_key", F.to_json(F.struct(F.col("sample_key").alias("sample"), of_static.alias("static"), of_dynamic.alias("dynamic"))).alias("digest"))
+
+
 def top_reasons(reasons: Column, most: int = 4, cut: int = 400) -> Column:
     """The first reasons as one line."""
     shown = F.transform(F.slice(reasons, 1, most), lambda r: F.concat(r["source"], F.lit(":+"), r["points"].cast("string"), F.lit(" "), r["reason"]))

@@ -14,6 +14,8 @@ from trawl.operators.numbering import running
 
 SCRIPTS, JS = r"(?i)\.(?:bat|cmd|ps1|sh)$", r"(?i)\.(?:js|cjs|mjs)$"
 QUOTED = f"({STRING})"
+#: A file in a dependency, at most ``MAX_DEPENDENCY_DEPTH`` folders down.
+DEPENDENCY = rf"(^|/)node_modules/(?:[^/]+/){{0,{rules.MAX_DEPENDENCY_DEPTH}}}[^/]+$"
 
 
 def within_budget(files: DataFrame, names: Sequence[str] = tuple(rules.OWN_REPORTS), max_files: int = rules.MAX_FILES, max_bytes: int = rules.MAX_TOTAL_BYTES) -> DataFrame:
@@ -25,6 +27,14 @@ def within_budget(files: DataFrame, names: Sequence[str] = tuple(rules.OWN_REPOR
     return spent.where((F.col("_n") <= max_files) & (F.col("_b") - F.col("size") < max_bytes)).drop("_n", "_b")
 
 
+def within_dependency_budget(files: DataFrame, most: int = rules.MAX_DEPENDENCY_FILES) -> DataFrame:
+    """``files`` less the small scripts of dependencies beyond the first ``most`` of a sample, in path order: a dependency scan reads no more."""
+    counted = F.col("path").rlike(DEPENDENCY) & F.col("path").rlike(JS) & (F.col("size") <= rules.MAX_DEPENDENCY_BYTES)
+    scripts = files.where(counted)
+    kept = running(scripts, ["path"], {"_n": F.lit(1)}).where(F.col("_n") <= most).drop("_n")
+    return files.where(~F.coalesce(counted, F.lit(False))).unionByName(kept)
+
+
 def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -> DataFrame:
     """``files(sample_key, path, content)`` to ``(sample_key, points, reason, file, detail, tier)``, one for each rule a file meets.
 
@@ -53,7 +63,7 @@ def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -
         found(app & runs & seen(rules.SOCKET) & seen(rules.SHELL_BINARY), 55, "reverse shell pattern (outbound TCP socket spawning a shell interpreter in the same file)"),
         found(app & runs & seen(rules.DROP_TO_TEMP), 50, "drops an executable into a temp directory and launches it (dropper)"),
         found(app & raw.contains("_0x") & hit(raw, rules.OBFUSCATOR), 25, "javascript-obfuscator string-array decoder present (deliberate code hiding)", "supporting"),
-        found(~app & path.rlike(JS) & (F.length(raw) <= 200 * 1024) & raw.contains("_0x") & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
+        found(path.rlike(DEPENDENCY) & path.rlike(JS) & (F.length(raw) <= rules.MAX_DEPENDENCY_BYTES) & raw.contains("_0x") & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
     ]
     shown = files.withColumn("text", deobfuscate(F.col("content"))).withColumn("expanded", expand_script_vars(F.when(script, F.col("text"))))
     shown = shown.withColumn("low", F.lower("text")).select("*", *(v.alias(k) for k, v in shared.items()))  # each shared test once

@@ -392,10 +392,47 @@ def tier_names(spark, sf):
 @query
 def discovery_stats(spark, sf):
     rows = fx.result_rows(spark, sf).select("doc_id", "tier", "classification", (F.col("doc_id") % 2 == 0).alias("is_dir"))
-    return corpus.discovery_stats(rows, corpus.tier_filter(rows, include="code,suspect"))
+    return corpus.discovery_stats(rows, corpus.tier_filter(rows, include="code,suspect"), {"labels": read(spark, sf, "labels")})
 
 
 @query
 def cause_listing(spark, sf):
     rows = fx.result_rows(spark, sf).select("*", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.lit("1").alias("version"), F.lit("").alias("target"))
     return evaluate.cause_listing(rows, 5).select("cause", "rank", "id", "tier")
+
+
+@query
+def flat_results(spark, sf):
+    """The run's result rows, all documents in them."""
+    rows = fx.flat_results(spark, sf)
+    return rows.select(
+        "id", "dataset", "label", "tier", "final_verdict", "final_is_malicious", "final_is_flagged", "decided_by", "score", "static_verdict", "static_score", "dynamic_verdict", "dynamic_score",
+        "total_events", "http_requests", "child_process_calls", "outbound_messages", "eval_calls", "fs_reads", "net_socket_calls", "hosts", "purpose", "stolen_categories", "error",
+    )
+
+
+@query
+def evidence_digest(spark, sf):
+    """The nested record of each sample, its parts side by side."""
+    seen = fx.observed(spark, sf)
+    rows = fusion.evidence_digest(fx.fused(spark, sf), seen, dynamic.intelligence(seen), fx.document_findings(spark, sf))
+    return rows.select(F.col("sample_key").alias("sample"), F.col("verdict.final").alias("final"), F.col("verdict.score").alias("score"), F.coalesce(F.array_join(F.transform("static_iocs", lambda f: f["reason"]), " | "), F.lit("")).alias("iocs"), F.col("intel.purpose").alias("purpose"), F.array_join("hosts", "|").alias("hosts"), F.col("summary.total_events").alias("events"))
+
+
+@query
+def static_only_forensics(spark, sf):
+    """Behaviours of all that was observed or found: static indicators alone are told from nothing at all."""
+    found = fx.document_verdicts(spark, sf)
+    return fusion.behaviours(fx.observed(spark, sf), None, found).where("technique LIKE 'T1195%' OR technique = 'n/a'").select(F.col("sample_key").alias("sample"), "technique")
+
+
+@query
+def ioc_lists(spark, sf):
+    """Indicators of each observed sample, lists cut to two with their true lengths."""
+    rows = fusion.iocs(fx.observed(spark, sf), most=2)
+    return rows.select(F.col("sample_key").alias("sample"), F.array_join("hosts", "|").alias("hosts"), "hosts_truncated_from", F.array_join("shell_commands", "|").alias("commands"), "shell_commands_truncated_from", "outbound_count")
+
+
+@query
+def misjudged(spark, sf):
+    return evaluate.misjudged(fx.result_rows(spark, sf))

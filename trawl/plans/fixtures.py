@@ -142,6 +142,16 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result rows of a run over all documents: rules, log, fusion and intelligence together."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("label"))
+    classes = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
+    named = docs.join(labels, "doc_id", "left").withColumn("classification", F.coalesce(F.try_element_at(classes, F.col("lang")), F.lit("")))
+    samples = named.select(F.col("doc_id").alias("key"), F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("id"), F.lit("1").alias("version"), "label", tier_of(F.col("classification")).alias("tier"), "classification", F.col("lang").alias("target"))
+    seen = observed(spark, sf_dir)
+    return fusion.result_rows(samples, fused(spark, sf_dir), seen, dynamic.intelligence(seen))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item as a file that a sample read, ``ITEMS`` of them each."""
     items = read(spark, sf_dir, "benchmark")

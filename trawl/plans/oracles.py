@@ -130,6 +130,10 @@ decided AS (SELECT *, via = 'taint' AND (strength = 'strong' OR category NOT IN
 _COUNT = lambda patterns: " + ".join(f"CASE WHEN {hit('text', p)} THEN 1 ELSE 0 END" for p in patterns)
 _HOST = "lower(regexp_extract(url, '//([^/:?#]+)', 1))"
 
+_PURPOSE = "CASE WHEN net_socket_calls > 0 AND child_process_calls > 0 THEN 'Backdoor / Reverse shell' WHEN regexp_matches(commands, '(?i)curl') THEN 'Loader / Downloader (stager)' WHEN os_recon_calls > 0 AND http_requests > 0 THEN 'Infostealer / Reconnaissance' WHEN http_requests > 0 OR net_socket_calls > 0 THEN 'C2 beacon / Command-and-control client' WHEN eval_calls > 0 OR crypto_decrypt_calls > 0 THEN 'Obfuscated payload (staged execution)' ELSE 'No malicious behaviour observed (dynamic)' END"
+_UNIQUE = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+DECIDED = f"decided AS (SELECT *, (['BENIGN','SUSPICIOUS','MALICIOUS'])[CASE WHEN up THEN 3 ELSE greatest(rs, rd) + 1 END] AS final, CASE WHEN up THEN 'corroboration' WHEN rs > rd THEN 'static' WHEN rd > rs THEN 'dynamic' ELSE 'both' END AS by_side FROM fused)"
+
 SQL: dict[str, str] = {
     "confusion_matrix": BASE + f", {LONG} SELECT rule, tp, fp, fn, tn, precision, recall, {_F1}, {_ACC}, {_MCC} FROM (SELECT *, {_P} AS precision, {_R} AS recall FROM (SELECT rule, {_COUNTS('label', 'p')} FROM long WHERE label IN (0, 1) GROUP BY rule))",
     "resumed_metrics": BASE + f", {LONG} SELECT rule, tp, fp, fn, tn, precision, recall, {_F1}, {_ACC}, {_MCC} FROM (SELECT *, {_P} AS precision, {_R} AS recall FROM (SELECT rule, {_COUNTS('label', 'p')} FROM long WHERE label IN (0, 1) GROUP BY rule))",
@@ -168,7 +172,7 @@ SQL: dict[str, str] = {
     "fuse_verdict": with_(FOUND, SCORED, LOG, SEEN, JUDGED, FAMILY, FUSED) + "SELECT sample, (['BENIGN','SUSPICIOUS','MALICIOUS'])[CASE WHEN up THEN 3 ELSE greatest(rs, rd) + 1 END] AS final_verdict, CAST(score AS INTEGER) AS score, CASE WHEN up THEN 'corroboration' WHEN rs > rd THEN 'static' WHEN rd > rs THEN 'dynamic' ELSE 'both' END AS decided_by, array_to_string(list_sort(names), ',') AS corroborated FROM fused",
     "families_intersect": with_(FOUND, SCORED, LOG, SEEN, JUDGED, FAMILY) + f"SELECT sample, string_agg(DISTINCT name, ',' ORDER BY name) AS families FROM ({_FAMS('scored', 'doc_id')} UNION ALL {_FAMS('judged', 'sample')} UNION ALL SELECT sample, '', unnest([]::VARCHAR[]) FROM judged) GROUP BY sample",
     "forensic_behaviours": with_(LOG, SEEN, "b AS (SELECT *, regexp_matches(commands, '(?i)(powershell|cmd\\.exe|certutil|bitsadmin|curl|wget|invoke-webrequest)') AND regexp_matches(commands, '(?i)(https?://|\\.bat|\\.ps1|\\.exe|catbox|pastebin)') AS cradle FROM seen)", "t AS (SELECT sample, list_filter([CASE WHEN child_process_calls > 0 AND cradle THEN {'title': 'Download-and-execute cradle', 'technique': 'T1059 + T1105'} END, CASE WHEN child_process_calls > 0 AND NOT cradle THEN {'title': 'OS process / shell execution', 'technique': 'T1059'} END, CASE WHEN net_socket_calls > 0 AND child_process_calls > 0 THEN {'title': 'Reverse shell', 'technique': 'T1059 + T1571'} END, CASE WHEN net_socket_calls > 0 AND child_process_calls = 0 THEN {'title': 'Raw TCP connection', 'technique': 'T1095'} END, CASE WHEN http_requests > 0 AND os_recon_calls > 0 THEN {'title': 'Host reconnaissance + transmission', 'technique': 'T1082 + T1567'} END, CASE WHEN http_requests > 0 AND os_recon_calls = 0 THEN {'title': 'Outbound C2 / data transmission', 'technique': 'T1071'} END, CASE WHEN crypto_decrypt_calls > 0 THEN {'title': 'Runtime-decrypted payload', 'technique': 'T1027 + T1140'} END, CASE WHEN eval_calls > 0 THEN {'title': 'Dynamic code evaluation', 'technique': 'T1059 + T1140'} END], lambda x: x IS NOT NULL) AS l FROM b)") + "SELECT sample, x.title AS title, x.technique AS technique FROM (SELECT sample, unnest(CASE WHEN len(l) > 0 THEN l ELSE [{'title': 'No observable malicious behaviour', 'technique': 'n/a'}] END) AS x FROM t)",
-    "purpose_case": with_(LOG, SEEN, JUDGED) + "SELECT sample, CASE WHEN net_socket_calls > 0 AND child_process_calls > 0 THEN 'Backdoor / Reverse shell' WHEN regexp_matches(commands, '(?i)curl') THEN 'Loader / Downloader (stager)' WHEN os_recon_calls > 0 AND http_requests > 0 THEN 'Infostealer / Reconnaissance' WHEN http_requests > 0 OR net_socket_calls > 0 THEN 'C2 beacon / Command-and-control client' WHEN eval_calls > 0 OR crypto_decrypt_calls > 0 THEN 'Obfuscated payload (staged execution)' ELSE 'No malicious behaviour observed (dynamic)' END AS purpose, CASE WHEN score >= 90 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS confidence, concat_ws('|', CASE WHEN contains(dests, 'ngrok') THEN 'tunnel (ngrok / cloudflare / tcp)' END, CASE WHEN contains(dests, 'api.telegram.org') THEN 'Telegram bot' END, CASE WHEN contains(dests, '8.8.4.7') THEN 'hard-coded raw IP' END) AS c2 FROM judged",
+    "purpose_case": with_(LOG, SEEN, JUDGED) + f"SELECT sample, {_PURPOSE} AS purpose, CASE WHEN score >= 90 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END AS confidence, concat_ws('|', CASE WHEN contains(dests, 'ngrok') THEN 'tunnel (ngrok / cloudflare / tcp)' END, CASE WHEN contains(dests, 'api.telegram.org') THEN 'Telegram bot' END, CASE WHEN contains(dests, '8.8.4.7') THEN 'hard-coded raw IP' END) AS c2 FROM judged",
     "root_cause_fn": BASE + f"SELECT {_MISSED} AS cause, count(*) AS n FROM result WHERE label = 1 AND NOT p_strict GROUP BY 1",
     "root_cause_fp": BASE + f"SELECT {_ALARM} AS cause, count(*) AS n FROM result WHERE label = 0 AND p_triage GROUP BY 1",
     "topn_reasons": BASE + "SELECT doc_id, top_reasons FROM result WHERE top_reasons <> ''",
@@ -178,7 +182,7 @@ SQL: dict[str, str] = {
     "streaming_ingest": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2",
     "streaming_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "tier_names": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'code' WHEN doc_id % 3 = 0 THEN 'policy' WHEN doc_id % 3 = 1 THEN 'policy' ELSE 'suspect' END AS tier FROM documents",
-    "discovery_stats": with_(f"r AS (SELECT doc_id, {_TIER} AS tier, {_CLASS} AS classification FROM documents)", "c AS (SELECT * FROM r WHERE tier IN ('code', 'suspect'))") + "SELECT 'found' AS stat, CASE WHEN doc_id % 2 = 0 THEN 'folders' ELSE 'archives' END AS name, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'selected', 'all', count(*) FROM c UNION ALL SELECT 'tier', tier, count(*) FROM c GROUP BY tier UNION ALL SELECT 'classification', classification, count(*) FROM c GROUP BY classification",
+    "discovery_stats": with_(f"r AS (SELECT doc_id, {_TIER} AS tier, {_CLASS} AS classification FROM documents)", "c AS (SELECT * FROM r WHERE tier IN ('code', 'suspect'))") + "SELECT 'found' AS stat, CASE WHEN doc_id % 2 = 0 THEN 'folders' ELSE 'archives' END AS name, count(*) AS n FROM r GROUP BY 2 UNION ALL SELECT 'selected', 'all', count(*) FROM c UNION ALL SELECT 'excluded_by_tier', 'all', (SELECT count(*) FROM r) - (SELECT count(*) FROM c) UNION ALL SELECT 'metadata_rows', 'labels', count(*) FROM labels UNION ALL SELECT 'tier', tier, count(*) FROM c GROUP BY tier UNION ALL SELECT 'classification', classification, count(*) FROM c GROUP BY classification",
     "cause_listing": BASE + f"SELECT cause, row_number() OVER (PARTITION BY cause ORDER BY id) AS rank, id, tier FROM (SELECT {_MISSED} AS cause, lpad(doc_id::VARCHAR, 12, '0') AS id, tier FROM result WHERE label = 1 AND NOT p_strict) QUALIFY row_number() OVER (PARTITION BY cause ORDER BY id) <= 5",
 }
 
@@ -197,3 +201,19 @@ SQL |= {
     "taint_sinks": with_(LOG) + "SELECT coalesce(url, 'process:' || command) AS destination, coalesce(url, command) AS payload, count(*) AS n FROM log WHERE module IN ('https', 'child_process') GROUP BY 1, 2",
     "streaming_first_seen": "SELECT DISTINCT user_id FROM events",
 }
+_RUN = (FOUND, SCORED, LOG, SEEN, JUDGED, FAMILY, FUSED, DECIDED, f"purposes AS (SELECT sample, {_PURPOSE} AS purpose FROM judged)")
+_NONE = lambda c: f"CAST(coalesce({c}, 0) AS INTEGER)"
+SQL |= {
+    "flat_results": with_(*_RUN) + f"""SELECT CAST(d.doc_id AS VARCHAR) AS id, source AS dataset, CAST(1 - quality AS INTEGER) AS label, {_TIER} AS tier, coalesce(final, 'BENIGN') AS final_verdict, CAST(coalesce(final, '') = 'MALICIOUS' AS INTEGER) AS final_is_malicious,
+      CAST(coalesce(final, 'BENIGN') <> 'BENIGN' AS INTEGER) AS final_is_flagged, coalesce(by_side, '') AS decided_by, {_NONE('f.score')} AS score, coalesce(s.verdict, 'BENIGN') AS static_verdict, {_NONE('s.score')} AS static_score, coalesce(j.verdict, 'BENIGN') AS dynamic_verdict, {_NONE('j.score')} AS dynamic_score,
+      {', '.join(f"{_NONE('j.' + c)} AS {c}" for c in ('total_events', 'http_requests', 'child_process_calls', 'eval_calls', 'fs_reads', 'net_socket_calls'))}, {_NONE('j.http_requests')} AS outbound_messages,
+      coalesce(array_to_string(list_slice({_UNIQUE('j.hosts')}, 1, 5), '|'), '') AS hosts, coalesce(purpose, '') AS purpose, '' AS stolen_categories, '' AS error
+    FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN decided f ON f.sample = d.doc_id LEFT JOIN scored s ON s.doc_id = d.doc_id LEFT JOIN judged j ON j.sample = d.doc_id LEFT JOIN purposes p ON p.sample = d.doc_id""",
+    "evidence_digest": with_(*_RUN, "told AS (SELECT doc_id, list_slice(list(rule ORDER BY points DESC, rule), 1, 30) AS rules FROM (SELECT DISTINCT doc_id, rule, points FROM found) GROUP BY doc_id)") + f"""SELECT f.sample, final, CAST(f.score AS INTEGER) AS score, coalesce(array_to_string(rules, ' | '), '') AS iocs, purpose,
+      array_to_string(list_slice({_UNIQUE('j.hosts')}, 1, 30), '|') AS hosts, j.total_events AS events FROM decided f LEFT JOIN judged j USING (sample) LEFT JOIN purposes p USING (sample) LEFT JOIN told t ON t.doc_id = f.sample""",
+    "static_only_forensics": with_(FOUND, SCORED, LOG, SEEN) + """SELECT sample, CASE WHEN doc_id IS NOT NULL THEN 'T1195 / dormant first-stage' ELSE 'n/a' END AS technique FROM (
+      SELECT coalesce(s.sample, c.doc_id) AS sample, c.doc_id, coalesce(child_process_calls + net_socket_calls + http_requests + crypto_decrypt_calls + eval_calls, 0) AS shown FROM seen s FULL JOIN scored c ON c.doc_id = s.sample) WHERE shown = 0""",
+    "ioc_lists": with_(LOG, SEEN) + f"""SELECT sample, coalesce(array_to_string(list_slice(h, 1, 2), '|'), '') AS hosts, CASE WHEN len(h) > 2 THEN CAST(len(h) AS INTEGER) END AS hosts_truncated_from, coalesce(array_to_string(list_slice(c, 1, 2), '|'), '') AS commands,
+      CASE WHEN len(c) > 2 THEN CAST(len(c) AS INTEGER) END AS shell_commands_truncated_from, http_requests AS outbound_count FROM (SELECT sample, {_UNIQUE('hosts')} AS h, {_UNIQUE('cmds')} AS c, http_requests FROM seen)""",
+    "misjudged": BASE + "SELECT count(*) FILTER (label = 0 AND p_strict) AS false_positives, count(*) FILTER (label = 1 AND NOT p_strict) AS false_negatives, 0 AS errors FROM result",
+}
