@@ -40,6 +40,9 @@ def test_equals_plain_reading_of_the_table(spark, sf):
         ("<p>A short page.</p><p><a href=x>all of it link</a></p><p>Its end.</p>", "A short page.\nall of it link\nIts end."),
         ("<article><p class='byline'>me<p>one<p>two</article>", "one\ntwo"),
         ("<article><p>" + "x " * 300_000 + "</p></article>", ("x " * 300_000).strip()),
+        ("<article><section id='related-work'><p>a</p></section><section id=binary-search>b</section><div class='social-history'>c</div><p class='tags-explained'>d</p><div class='sharing-economy'>e</div></article>", "a\nb\nc\nd\ne"),
+        ("<article><p>a</p><div class='td-ad-slot-2'>no</div><div id=relatedPosts>no</div><div class='social-share buttons'>no</div><div class='newsletter_signup_box'>no</div><p>b</p></article>", "a\nb"),
+        ('<article><p>a</p><svg viewBox="0 0 > 1"/><p>b</p></article>', "a\nb"),
         ("<article><p>a< b and c</p><p>end <sp", "a< b and c\nend"),
     ],
 )

@@ -31,7 +31,7 @@ PEAK = 86
 #: Comments, elements whose content is no text, and tags.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>"
-    r"|<(?:svg|math)\b[^<>]*/>"
+    r"""|<(?:svg|math)\b(?:[^<>"']|"[^"]*"|'[^']*')*/>"""
     r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|title|head(?=[\s>]))\b.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
@@ -47,6 +47,10 @@ NAMES = frozenset(
 )
 #: Names that tell what a block has beside it, or what is done with an article, mark none.
 BESIDE, DONE_WITH, ARTICLES = frozenset("has with without no".split()), frozenset("search share social tags".split()), frozenset("article entry post story".split())
+#: Words that stand beside those of ``NAMES`` without telling of anything else; so do vendors' short prefixes and numbers.
+AFFIXES = frozenset(
+    "area bar block bottom box button buttons col column container content desktop dropdown element fixed float form global group holder icon icons id inner item items left link links list main message mobile module outer page panel post posts primary region right row secondary section site slot sticky text toggle top unit wrap wrapper".split()
+)
 NAME_PARTS = re.compile(r"[^\s\"']+")
 NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -61,11 +65,12 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
 
 
 def names_boilerplate(name: str) -> bool:
-    """Does any word of a name mark boilerplate, as in ``page-footer``, but not ``has-sidebar`` or ``share-story``?"""
+    """Does a name mark boilerplate, whole or with affixes, as ``page-footer`` does, but not ``has-sidebar``, ``share-story`` or ``related-work``?"""
     parts = [p.lower() for p in PARTS.findall(name)]
     if not parts or parts[0] in BESIDE or parts[0] in DONE_WITH and parts[-1] in ARTICLES:
         return False
-    return any(p in NAMES for p in parts)
+    marks = [p in NAMES for p in parts]
+    return any(marks) and all(mark or p in AFFIXES or i == 0 and len(p) <= 3 for i, (p, mark) in enumerate(zip(parts, marks, strict=True)))
 
 
 def lines_of(page: str) -> Iterator[tuple[str, bool, bool, int]]:
