@@ -75,3 +75,15 @@ def test_small_tables(spark):
 def test_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_equals_its_sql(spark, sf):
+    import duckdb
+
+    from trawl.llm.queries import ORACLES, op11_prefix_trie
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS FROM read_parquet('{sf}/conversations.parquet')")
+    want, got = con.sql(ORACLES["op11_prefix_trie"]), op11_prefix_trie(spark, sf)
+    assert want.columns == got.columns
+    assert sorted(want.fetchall(), key=str) == sorted(map(tuple, got.collect()), key=str)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,20 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where none is set, and then only on one machine (tests), does this choose a temporary one.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="trawl-checkpoint-"))
-        folder = context.getCheckpointDir()
-    return folder
+from trawl.session import shared_folder
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

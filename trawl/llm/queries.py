@@ -98,4 +98,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_pii": op13_pii,
 }
 
-ORACLES: dict[str, str] = {}
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+ORACLES: dict[str, str] = {
+    "op11_prefix_trie": f"""WITH turns AS (SELECT conv_id AS c, turn, coalesce(text, '') AS x, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(m ORDER BY turn NULLS FIRST, m) AS ms, list(strlen(x) ORDER BY turn NULLS FIRST, m) AS ns, {_CRC} % 9 AS h FROM turns GROUP BY c),
+paths AS (SELECT o.c, list_concat(list_slice(coalesce(f.ms, []), 1, o.h), list_slice(o.ms, o.h + 1, len(o.ms))) AS ms, list_concat(list_slice(coalesce(f.ns, []), 1, o.h), list_slice(o.ns, o.h + 1, len(o.ns))) AS ns FROM own o LEFT JOIN own f ON f.c = o.c - o.c % 5),
+held AS (SELECT c, d, array_to_string(list_slice(ms, 1, d), '') AS node, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS size, d = len(ms) AS ends FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM paths)),
+nodes AS (SELECT node, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256, left(node, greatest(32 * (d - 1), 0)) AS above FROM held GROUP BY node, d),
+kids AS (SELECT above AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY above),
+below AS (SELECT left(n.node, 32 * k) AS node, sum(saved) AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) n LEFT JOIN kids ON kids.node = n.node GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.above""",
+}
