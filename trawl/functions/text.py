@@ -58,6 +58,10 @@ def is_printable(text: Column) -> Column:
     return F.coalesce((n > 0) & ((n - odd) / F.greatest(n, F.lit(1)) > 0.85), F.lit(False))
 
 
+# The least lengths of what may be encoded text, and how many runs are decoded.
+WHOLE_BASE64, RUN_BASE64, RUN_HEX, MOST_RUNS = 16, 24, 32, 16
+
+
 def from_base64(text: Column) -> Column:
     """Base64 as text, lenient about padding and white space; null if it isn't any."""
     bare = F.regexp_replace(text, r"[\s=]", "")
@@ -70,11 +74,11 @@ def decode_layers(text: Column) -> Column:
     """The text and what it may hide: whole base64, embedded base64 runs, URL encoding, a hexadecimal run; distinct, in this order."""
     t = F.coalesce(text, F.lit(""))
     trimmed = F.trim(t)
-    whole = F.when(trimmed.rlike(r"^[A-Za-z0-9+/=\s]{16,}\z"), from_base64(trimmed))
-    runs = F.transform(F.slice(F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9+/]{24,}={0,2})")), 1, 16), from_base64)
+    whole = F.when(trimmed.rlike(rf"^[A-Za-z0-9+/=\s]{{{WHOLE_BASE64},}}\z"), from_base64(trimmed))
+    runs = F.transform(F.slice(F.regexp_extract_all(t, F.lit(rf"([A-Za-z0-9+/]{{{RUN_BASE64},}}={{0,2}})")), 1, MOST_RUNS), from_base64)
     runs = F.filter(runs, lambda x: is_printable(x) & (F.length(x) > 8))
     url = F.try_url_decode(t)
-    run = F.regexp_extract(t, rules.ascii_bounds(r"\b([0-9a-fA-F]{32,})\b"), 1)
+    run = F.regexp_extract(t, rules.ascii_bounds(rf"\b([0-9a-fA-F]{{{RUN_HEX},}})\b"), 1)
     even = F.substring(run, F.lit(1), F.length(run) - F.length(run) % 2)
     hexed = F.when(F.length(run) > 0, F.make_valid_utf8(F.try_to_binary(even, F.lit("hex")).cast("string")))
     first = F.when(is_printable(whole), whole)
@@ -115,6 +119,7 @@ def deobfuscate(text: Column) -> Column:
     return F.array_join(F.concat(F.array(text, escaped), readable), "\n")
 
 
+# How scripts assign and use variables.
 _BATCH = re.compile(r'^\s*set\s+"?([A-Za-z_]\w*)=([^"\r\n]*)"?\s*$', re.I | re.M)
 _PWSH = re.compile(r"""^\s*\$([A-Za-z_]\w*)\s*=\s*["']([^"'\r\n]*)["']""", re.I | re.M)
 _SHELL = re.compile(r"""^\s*(?:export\s+)?([A-Za-z_]\w*)=["']?([^"'\s\r\n]*)["']?\s*$""", re.I | re.M)

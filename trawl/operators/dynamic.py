@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import rules
+from trawl.functions.rules import RUN
 from trawl.functions.text import clip, hit, host_port
 from trawl.operators.numbering import first_rows
 
@@ -85,28 +86,28 @@ def dynamic_verdict(seen: DataFrame) -> DataFrame:
     fingerprint = hit(bodies, rules.RUN_FINGERPRINT) | (hit(bodies, r"(?i)\bhostname\b") & hit(bodies, r"(?i)\busername\b"))
     named = lambda text, column: F.concat(F.lit(text), F.array_join(column, ", "))
     behaviour = [
-        (hit(cmds, rules.RUN_LOLBIN) & hit(cmds, rules.RUN_PAYLOAD), 55, "download-and-execute cradle (LOLBIN fetches & runs a remote payload)"),
-        (c("has_socket") & c("has_exec"), 60, "reverse shell: raw TCP socket bound to a shell process"),
-        (~c("has_socket") & c("has_exec"), 35, "spawns an OS process / shell via child_process"),
-        (binary & c("has_exec"), 45, "downloads an executable and launches it (dropper)"),
-        (binary & ~c("has_exec"), 30, "downloads an executable/DLL payload"),
-        (c("data_stolen"), 55, named("exfiltrates sensitive data (proven read → send): ", "categories")),
-        (~c("data_stolen") & (F.size("suspected") > 0), 15, named("outbound payload resembles credentials but no matching read was observed: ", "suspected")),
-        (decrypts & network, 35, "runtime-decrypts a payload (AES) then contacts the network"),
-        (~(decrypts & network) & evals & network, 35, "evaluates dynamically-built code then contacts the network"),
-        (evals & ~network, 18, "evaluates dynamically-built code (eval / new Function)"),
-        (c("second_stage"), 25, "detonated a forked second-stage script"),
-        (c("recon") & network, 30, "collects host/user reconnaissance and transmits it"),
-        (hit(cmds, rules.RUN_RECON_ID) & hit(cmds, rules.RUN_RECON_ANY), 40, "executed a host reconnaissance battery (account/privilege enumeration + system probing)"),
-        (hit(F.concat_ws(" ", cmds, c("paths")), rules.RUN_PERSISTENCE), 40, "establishes persistence (autostart registry key / scheduled task / startup folder / cron)"),
-        (hit(cmds, rules.RUN_EVASION), 50, "attempts security-product evasion (Defender exclusion / AMSI bypass)"),
+        (hit(cmds, rules.RUN_LOLBIN) & hit(cmds, rules.RUN_PAYLOAD), *RUN["cradle"]),
+        (c("has_socket") & c("has_exec"), *RUN["shell"]),
+        (~c("has_socket") & c("has_exec"), *RUN["process"]),
+        (binary & c("has_exec"), *RUN["dropper"]),
+        (binary & ~c("has_exec"), *RUN["binary"]),
+        (c("data_stolen"), RUN["stolen"][0], named(RUN["stolen"][1], "categories")),
+        (~c("data_stolen") & (F.size("suspected") > 0), RUN["suspected"][0], named(RUN["suspected"][1], "suspected")),
+        (decrypts & network, *RUN["decrypts"]),
+        (~(decrypts & network) & evals & network, *RUN["evaluates and sends"]),
+        (evals & ~network, *RUN["evaluates"]),
+        (c("second_stage"), *RUN["second stage"]),
+        (c("recon") & network, *RUN["recon"]),
+        (hit(cmds, rules.RUN_RECON_ID) & hit(cmds, rules.RUN_RECON_ANY), *RUN["battery"]),
+        (hit(F.concat_ws(" ", cmds, c("paths")), rules.RUN_PERSISTENCE), *RUN["persistence"]),
+        (hit(cmds, rules.RUN_EVASION), *RUN["evasion"]),
         (hit(cmds, rules.RUN_ENCODED), 50, rules.ENCODED_REASON),
-        (fingerprint, 45, "exfiltrates a host fingerprint (machineId / MAC / hostname+username)"),
+        (fingerprint, *RUN["fingerprint"]),
     ]
     marks = fired([(hit(dests, p) | hit(cmds, p), points, why) for _, points, why, p in rules.INDICATORS])
     first = seen.withColumn("_behaviour", fired(behaviour)).withColumn("_marks", marks)
-    sent = fired([((F.size("_marks") > 0) & c("sends_body"), 25, "transmits a data payload to the suspicious/tunnelled endpoint (exfiltration)")])
-    baseline = fired([(network & (F.size("_behaviour") + F.size("_marks") == 0), 10, "makes outbound network connections")])
+    sent = fired([((F.size("_marks") > 0) & c("sends_body"), *RUN["sent"])])
+    baseline = fired([(network & (F.size("_behaviour") + F.size("_marks") == 0), *RUN["network"])])
     scored = first.withColumn("reasons", F.concat("_behaviour", "_marks", sent, baseline)).drop("_behaviour", "_marks")
     scored = scored.withColumn("score", F.aggregate("reasons", F.lit(0), lambda a, r: a + r["points"]))
     verdict = F.when(c("score") >= rules.MALICIOUS_SCORE, "MALICIOUS").when(c("score") >= rules.SUSPICIOUS_SCORE, "SUSPICIOUS").otherwise("BENIGN")

@@ -60,17 +60,17 @@ def behaviours(seen: DataFrame, invisible: DataFrame | None = None, static: Data
     hidden = F.coalesce(c("invisible_total") > 8, F.lit(False)) if invisible is not None else F.lit(False)
     cradle = hit(cmds, r"(?i)(powershell|cmd\.exe|certutil|bitsadmin|curl|wget|invoke-webrequest)") & hit(cmds, r"(?i)(https?://|\.bat|\.ps1|\.exe|catbox|pastebin)")
     cases = [
-        (c("any_process") & cradle, "Download-and-execute cradle", "T1059 + T1105"), (c("any_process") & ~cradle, "OS process / shell execution", "T1059"),
-        (c("has_socket") & c("any_process"), "Reverse shell", "T1059 + T1571"), (c("has_socket") & ~c("any_process"), "Raw TCP connection", "T1095"),
-        (c("binary_url"), "Payload download (dropper)", "T1105"), (c("data_stolen"), "Credential exfiltration (proven data flow)", "T1552 + T1567"),
-        (c("sends_off_box") & ~c("data_stolen") & c("recon"), "Host reconnaissance + transmission", "T1082 + T1567"), (c("sends_off_box") & ~c("data_stolen") & ~c("recon"), "Outbound C2 / data transmission", "T1071"),
-        (c("crypto_decrypt_calls") > 0, "Runtime-decrypted payload", "T1027 + T1140"), (c("eval_calls") > 0, "Dynamic code evaluation", "T1059 + T1140"), (hidden, "Invisible-Unicode obfuscation", "T1027.010"),
+        (c("any_process") & cradle, *rules.BEHAVIOURS["cradle"]), (c("any_process") & ~cradle, *rules.BEHAVIOURS["process"]),
+        (c("has_socket") & c("any_process"), *rules.BEHAVIOURS["shell"]), (c("has_socket") & ~c("any_process"), *rules.BEHAVIOURS["socket"]),
+        (c("binary_url"), *rules.BEHAVIOURS["binary"]), (c("data_stolen"), *rules.BEHAVIOURS["stolen"]),
+        (c("sends_off_box") & ~c("data_stolen") & c("recon"), *rules.BEHAVIOURS["recon"]), (c("sends_off_box") & ~c("data_stolen") & ~c("recon"), *rules.BEHAVIOURS["sent"]),
+        (c("crypto_decrypt_calls") > 0, *rules.BEHAVIOURS["decrypts"]), (c("eval_calls") > 0, *rules.BEHAVIOURS["evaluates"]), (hidden, *rules.BEHAVIOURS["hidden"]),
     ]
     told = F.filter(F.array(*(F.when(k, F.struct(F.lit(t).alias("title"), F.lit(m).alias("technique"))) for k, t, m in cases)), lambda b: b.isNotNull())
     alone = lambda title, technique: F.array(F.struct(F.lit(title).alias("title"), F.lit(technique).alias("technique")))
-    none = alone("No observable malicious behaviour", "n/a")
+    none = alone(*rules.BEHAVIOURS["none"])
     if static is not None:
-        none = F.when(c("_static"), alone("Static indicators only (no runtime detonation)", "T1195 / dormant first-stage")).otherwise(none)
+        none = F.when(c("_static"), alone(*rules.BEHAVIOURS["static"])).otherwise(none)
     return seen.select("sample_key", F.explode(F.when(F.size(told) > 0, told).otherwise(none)).alias("b")).select("sample_key", "b.title", "b.technique")
 
 

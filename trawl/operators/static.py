@@ -54,16 +54,16 @@ def findings(files: DataFrame, pack: Sequence[Rule] = tuple(rules.TEXT_RULES)) -
     battery = F.concat(F.lit("host reconnaissance battery ("), every.cast("string"), F.lit(" enumeration commands incl. "), ids.cast("string"), F.lit(" account/privilege probe(s))"))
     tests = [found(seen(r.pattern) & (app if r.scope == "app" else F.lit(True)), r.points, r.reason, r.tier) for r in pack]
     tests += [
-        found(F.col("untrusted"), 45, "downloads an executable/script binary from a non-distribution host"),
+        found(F.col("untrusted"), 45, rules.COMBINED["binary"]),
         found(script & hit(full, rules.LOLBIN) & has_untrusted_binary(full) & hit(full, rules.SCRIPT_EXEC_VERB), 55, rules.CRADLE_REASON, detail=F.regexp_replace(full, r"\s+", " ")),
         found(script & hit(full, rules.ENCODED_COMMAND), 50, rules.ENCODED_REASON),
         found(app & (F.size(cradles) > 0), 55, rules.CRADLE_REASON, detail=F.try_element_at(cradles, F.lit(1))),
         found(app & (ids >= 1) & (every >= 3) & runs, 45, battery),
-        found(app & runs & seen(rules.HIDDEN_WINDOW), 15, "executes a child process with windowsHide:true (concealed execution)", "supporting"),
-        found(app & runs & seen(rules.SOCKET) & seen(rules.SHELL_BINARY), 55, "reverse shell pattern (outbound TCP socket spawning a shell interpreter in the same file)"),
-        found(app & runs & seen(rules.DROP_TO_TEMP), 50, "drops an executable into a temp directory and launches it (dropper)"),
-        found(app & raw.contains("_0x") & hit(raw, rules.OBFUSCATOR), 25, "javascript-obfuscator string-array decoder present (deliberate code hiding)", "supporting"),
-        found(path.rlike(DEPENDENCY) & path.rlike(JS) & (F.length(raw) <= rules.MAX_DEPENDENCY_BYTES) & raw.contains("_0x") & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, "obfuscated dependency in node_modules invoking process execution (supply-chain trojan)"),
+        found(app & runs & seen(rules.HIDDEN_WINDOW), 15, rules.COMBINED["hidden window"], "supporting"),
+        found(app & runs & seen(rules.SOCKET) & seen(rules.SHELL_BINARY), 55, rules.COMBINED["shell"]),
+        found(app & runs & seen(rules.DROP_TO_TEMP), 50, rules.COMBINED["dropper"]),
+        found(app & raw.contains("_0x") & hit(raw, rules.OBFUSCATOR), 25, rules.COMBINED["decoder"], "supporting"),
+        found(path.rlike(DEPENDENCY) & path.rlike(JS) & (F.length(raw) <= rules.MAX_DEPENDENCY_BYTES) & raw.contains("_0x") & hit(raw, r"_0x[a-f0-9]{4,}") & hit(text, r"(?i)child_process|powershell|cmd\.exe|curl|spawn|exec"), 45, rules.COMBINED["dependency"]),
     ]
     shown = files.withColumn("text", deobfuscate(F.col("content"))).withColumn("expanded", expand_script_vars(F.when(script, F.col("text"))))
     shown = shown.withColumn("low", F.lower("text")).select("*", *(v.alias(k) for k, v in shared.items()))  # each shared test once
@@ -95,7 +95,7 @@ def manifest_findings(manifests: DataFrame, stats: DataFrame) -> DataFrame:
     kind = lambda points, reason, tier, detail=None: F.struct(F.lit(points).alias("points"), reason.alias("reason"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"), F.lit(tier).alias("tier"))
     tests = F.array(
         F.when(hook.isNotNull(), kind(40, F.concat(F.lit("malicious "), hook, F.lit(" lifecycle script in package.json")), "primary", F.substring(F.try_element_at("scripts", hook), 1, 160))),
-        F.when(F.coalesce(F.col("main") != "", F.lit(False)) & hit(blurb, rules.ADVERTISES) & stub & (F.col("app_code_bytes") > 0), kind(20, F.lit("advertises substantial functionality but ships only a trivial stub (possible first-stage placeholder)"), "supporting")),
+        F.when(F.coalesce(F.col("main") != "", F.lit(False)) & hit(blurb, rules.ADVERTISES) & stub & (F.col("app_code_bytes") > 0), kind(20, F.lit(rules.COMBINED["stub"]), "supporting")),
         F.when(F.coalesce(F.array_contains("activationEvents", "*"), F.lit(False)) & stub, kind(15, F.lit('activates on "*" (every start) despite shipping no real functionality'), "supporting")),
     )
     told = m.select("sample_key", F.explode(F.filter(tests, lambda f: f.isNotNull())).alias("f"))
