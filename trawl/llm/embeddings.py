@@ -2,7 +2,7 @@
 
 Only rows with the same non-null label are compared. Equal vectors collapse to one
 class first. Labels may be of any type that Spark can group. A class is hashed by the signs of its products with fixed random
-hyperplanes into several tables; classes that share a bucket are compared exactly
+hyperplanes into several tables, both by the number of classes (``plan_of``); classes that share a bucket are compared exactly
 in double precision, block by block. Buckets over ``block_rows`` are cut into
 blocks whose pairs go to different tasks, so no bucket is collected whole. A pair
 that meets in several tables counts in the first only. Tasks report one row per
@@ -17,9 +17,11 @@ other input columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from trawl.llm.common import connected_components, join_spread, pin, union_pairs
 SEED = 20
 BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 1 << 18
+LEAST_BITS, A_BUCKET, RECALL = 10, 4, 0.999
 
 
 def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -45,7 +48,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 10, bits: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def plan_of(classes: int, threshold: float) -> tuple[int, int]:
+    """``(tables, bits)``: bits so that ``A_BUCKET`` of a label's classes share a bucket by chance, and tables so that a pair at the threshold meets in one with probability ``RECALL``.
+
+    Work grows with the classes and their logarithm, not with their square.
+    """
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, classes) / A_BUCKET)))
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return (math.ceil(math.log(1 - RECALL) / math.log(1 - same)) if same < 1 else 1), bits
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` to ``(vec_id, n_links, component_id, kept)``."""
     plain = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -54,6 +67,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = 10,
     usable = rows.where("v IS NOT NULL")
     classes = pin(usable.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()))
 
+    tables, bits = plan_of(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, threshold)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("v").value_lengths().to_numpy()
