@@ -96,3 +96,21 @@ def test_short_items_null_ids_and_synonyms(spark):
     assert len(got & {(100 + k, k) for k in range(1, 20)}) >= 0.9 * 19 and got <= {(None, 0)} | {(d, 50) for d in range(1, 10, 2)} | {(100 + k, k) for k in range(20)}
     left = clean(docs, marks)
     assert left.where("doc_id IS NULL").count() == 1 and left.where("doc_id < 10").count() == 5
+
+
+def test_finds_reordered_items(spark):
+    """Items in noise whose halves or thirds have changed places, with words between them; and none that only share words."""
+    rng = random.Random(12)
+    vocabulary = [f"wort{i}" for i in range(2500)] + ["the", "of", "and"] * 300
+    noise = lambda n: rng.choices(vocabulary, k=n)
+    items = [(k, noise(45)) for k in range(40)]
+    docs = []
+    for k, w in items:
+        halves, thirds = w[22:] + w[:22], w[30:] + w[15:30] + w[:15]
+        docs += [(100 + k, halves), (200 + k, thirds), (300 + k, w[22:] + noise(5) + w[:22]), (400 + k, rng.sample(w, len(w)))]
+    frame = spark.createDataFrame([(d, " ".join(noise(60) + w + noise(60)), 1, 1) for d, w in docs], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in leaks(frame, spark.createDataFrame([(k, " ".join(w), "x") for k, w in items], "item_id long, text string, doc_id string")).collect()}
+    assert all(d % 100 == k for d, k in got)
+    for kind in (100, 200, 300):
+        assert len([d for d, _ in got if kind <= d < kind + 100]) >= 38, kind
+    assert not [d for d, _ in got if d >= 400]

@@ -10,7 +10,8 @@ latent space: tasks multiply their windows' TF-IDF rows A with a random test mat
 are orthonormalised together with the passages (scaled to one length), and the least rank is kept that leaves every passage
 ``ENERGY`` of its squared weight. Windows of every document are projected; a window is a candidate for a
 passage if its latent vector, in the passage's direction, covers enough of the passage's. A word counts once
-in a step. Candidates are checked on the words: longest common subsequence, and for looser matches
+in a step. Candidates are checked on the words: longest common subsequence, of the whole passage or of its halves or thirds
+wherever each stands, and for looser matches
 (paraphrases) also that the passage's closing words, where an item's answer stands, are there. An item of fewer
 than ``LEAST_WORDS`` words is a match where all its words stand side by side.
 
@@ -90,9 +91,16 @@ def common(a: list, b: list) -> int:
 
 
 def verdict(passage: list, region: list) -> tuple[float, float]:
-    """Shares of the passage and of its closing words that the region holds in order."""
-    close = passage[-ANSWER_WORDS:]
-    return common(passage, region) / len(passage), common(close, region) / len(close)
+    """Shares of the passage and of its closing words that the region holds in order; halves or thirds of it may have changed places."""
+    n, close = len(passage), passage[-ANSWER_WORDS:]
+    whole, answer = common(passage, region) / n, common(close, region) / len(close)
+    if whole < VERBATIM:
+        for parts in (2, 3):
+            cuts = [n * k // parts for k in range(parts + 1)]
+            if n // parts >= LEAST_WORDS:
+                moved = sum(common(passage[i:j], region) for i, j in zip(cuts, cuts[1:], strict=False)) / n
+                whole = max(whole, moved) if moved >= VERBATIM else whole
+    return whole, answer
 
 
 def is_leak(whole: float, answer: float) -> bool:
