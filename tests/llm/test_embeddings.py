@@ -52,8 +52,8 @@ def test_empty_table(spark):
 
 
 def test_bits_follow_the_classes_and_tables_hold_the_recall():
-    assert plan_of(0, 0.98) == plan_of(1000, 0.98) == (10, 10)
-    for n in (10**5, 10**7, 10**9):
+    assert plan_of(0, 0.98) == plan_of(200_000, 0.98) == (10, 10)
+    for n in (10**6, 10**7, 10**9):
         tables, bits = plan_of(n, 0.98)
-        assert n / 2**bits <= 4 and 1 - (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables >= 0.999
+        assert n / 2**bits <= 256 and 1 - (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables >= 0.999
     assert plan_of(10**9, 1.0)[0] == 1

@@ -30,7 +30,7 @@ from trawl.llm.common import connected_components, join_spread, pin, union_pairs
 SEED = 20
 BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 1 << 18
-LEAST_BITS, A_BUCKET, RECALL = 10, 4, 0.999
+LEAST_BITS, A_BUCKET, RECALL = 10, 256, 0.999
 
 
 def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
