@@ -92,9 +92,12 @@ def common(a: list, b: list) -> int:
 
 def verdict(passage: list, region: list) -> tuple[float, float]:
     """Shares of the passage and of its closing words that the region holds in order; halves or thirds of it may have changed places."""
-    n, close = len(passage), passage[-ANSWER_WORDS:]
+    n, close, held = len(passage), passage[-ANSWER_WORDS:], set(region)
+    present = sum(w in held for w in passage)  # no order holds more
+    if present < PARAPHRASE * n:
+        return 0.0, 0.0
     whole, answer = common(passage, region) / n, common(close, region) / len(close)
-    if whole < VERBATIM:
+    if whole < VERBATIM <= present / n:
         for parts in (2, 3):
             cuts = [n * k // parts for k in range(parts + 1)]
             if n // parts >= LEAST_WORDS:
