@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tests.test_rules import FIRES, SHARED, scan
 from trawl.functions import rules
 from trawl.functions.text import any_hit, hit
+from trawl.operators import taint
+from trawl.operators.taint import content_secrets, may_hold_secrets
 
 
 def test_scan_loses_no_match(spark):
@@ -30,3 +32,21 @@ def test_no_match_over_the_ends_of_a_text(spark, text):
 
 def test_decoded_texts_are_searched_beside_the_text(spark):
     assert {("e", "chat-app webhook used for exfiltration (Discord / Slack)")} <= scan(spark, [("e", "a.js", "\\x64iscord.com/api/webhooks/1")])
+
+
+def test_secrets_behind_one_scan_equal_those_without(spark):
+    rng = random.Random(6)
+    bits = ["AKIA" + "A" * 16, "password = x", "TOKEN\x0b:\x0by", '"private_key":\x0b"-----BEGIN', "npm_" + "a" * 20, "ghp_" + "b" * 20, "xoxb-0123456789", "sk-" + "c" * 20, "rk_live_" + "d" * 20, "Bearer\x0b" + "e" * 15, "f" * 64, "[1" + ", 2" * 31 + "]", '"mnemonic" :', "refresh_token=", "word " * 13, "\n", " ", "é"]
+    rows = spark.createDataFrame([("".join(rng.choices(bits, k=rng.randrange(0, 4)))[rng.randrange(0, 3) :],) for _ in range(400)] + [(None,)], "t string")
+    both = rows.select("t", may_hold_secrets(F.col("t")).alias("l")).select(content_secrets(F.col("t")).alias("plain"), content_secrets(F.col("t"), F.col("l")).alias("gated")).collect()
+    assert all(r.plain == r.gated for r in both) and len({s.category for r in both for s in r.plain or []}) > 10
+
+
+def test_tokens_are_broadcast_only_up_to_a_bound(spark, monkeypatch):
+    tokens = spark.createDataFrame([(1, 1, "p", 0, "c", "a secret of many letters", "strong")], "sample_key long, seq long, path string, pos int, category string, token string, strength string")
+    sends = spark.createDataFrame([(1, 2, "d", "x a secret of many letters y"), (2, 2, "d", "a secret of many letters")], "sample_key long, seq long, destination string, payload string")
+    found = []
+    for most in (taint.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(taint, "BROADCAST_GRAMS", most)
+        found.append(sorted((r.sample_key, r.send_seq, r.token) for r in taint.flows(tokens, sends).collect()))
+    assert found[0] == found[1] == [(1, 2, "a secret of many letters")]

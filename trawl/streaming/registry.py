@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from trawl.functions import rules
 from trawl.functions.text import decode_layers
-from trawl.operators.taint import content_secrets, read_tokens
+from trawl.operators.taint import content_secrets, may_hold_secrets, read_tokens
 
 JUDGED = "sample_key long, send_seq long, destination string, category string, via string, strength string, path string, confirmed boolean"
 TOKEN = "array<struct<category:string,token:string,strength:string>>"
@@ -25,7 +25,8 @@ def prepared(events: DataFrame, harness: list[str] | None = None) -> DataFrame:
     """
     reads = read_tokens(events.where("path IS NOT NULL"), harness, ["at_ms"]).select("sample_key", "seq", "at_ms", "path", F.col("tokens").cast(TOKEN).alias("tokens"), F.lit(None).cast("string").alias("destination"), F.lit(None).cast("array<string>").alias("layers"), F.lit(None).cast("array<array<string>>").alias("patterns"))
     sends = events.where("destination IS NOT NULL").select("sample_key", "seq", "at_ms", F.lit(None).cast("string").alias("path"), F.lit(None).cast(TOKEN).alias("tokens"), "destination", decode_layers(F.col("payload")).alias("layers"))
-    return reads.unionByName(sends.withColumn("patterns", F.transform("layers", lambda x: F.transform(content_secrets(x), lambda s: s["category"]))))
+    likely = sends.withColumn("_likely", may_hold_secrets(F.array_join("layers", "\n")))  # what one layer holds, all of them together hold
+    return reads.unionByName(likely.withColumn("patterns", F.transform("layers", lambda x: F.transform(content_secrets(x, F.col("_likely")), lambda s: s["category"]))).drop("_likely"))
 
 
 class Registry(StatefulProcessor):
