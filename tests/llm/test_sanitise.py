@@ -144,3 +144,15 @@ def test_the_table(spark, sf):
     got = run(spark, rows)
     assert got == brute(rows)
     assert sum(sum(g[1:5]) for g in got) > 0
+
+
+def test_telling_words_go_everywhere_in_the_text(spark):
+    rows = planted()
+    far = "the house " * 30
+    rows += [(700, f"{far}Quorbane; {far}zed@mail.example.org {far}(greffin) {far}é😀 QUORBANE"), (701, f"{far}Quorbane {far}"), (702, f"{far}Quorbane a@b.cd {far}")]
+    got = {g[0]: g[-1] for g in run(spark, rows)}
+    text = rows[-3][1]
+    places = [(m.start(), m.end()) for m in re.finditer("Quorbane|greffin|QUORBANE", text)]
+    said = {(int(s), int(e)) for kind, s, e in (x.split(":") for x in got[700].split(",")) if kind in ("general", "removed")}
+    assert len(places) == 3 and set(places) == said
+    assert got[701] == "" and "removed" not in got[702] and "general" not in got[702]

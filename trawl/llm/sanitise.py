@@ -11,7 +11,8 @@ words beside an entity in different contexts, so copies of a passage are one wit
 is the pointwise mutual information as a part of the entity's information: 1 if the word
 stands with that entity alone, 0 if it is independent. A word that was seen in ``SUPPORT`` contexts and
 tells ``THRESHOLD`` or more is generalised to its first ``STEM`` letters, if they, counted the same way
-over all words that begin so, tell less; else it is removed. Both concern the word in the entity's contexts.
+over all words that begin so, tell less; else it is removed. Both concern the word wherever it stands in a text that
+mentions the entity: contexts are what is learnt from, and whole texts are what is searched.
 
 Patterns are tried only on texts that hold a digit or an at sign. They are written so that no
 match is tried twice in a run: possessive runs, entered only at their start or where the last match
@@ -33,6 +34,8 @@ from trawl.llm.common import broadcast_if, join_spread, pin, stored
 AROUND, SUPPORT, THRESHOLD, STEM, LEAST = 8, 3, 0.9, 3, 3
 #: Candidate words (one string of some 20 bytes each) that may be broadcast to the corpus's words.
 BROADCAST_WORDS = 200_000
+#: Rows with their words (some 50 bytes a word, a few words each) that may be broadcast to the texts.
+BROADCAST_ROWS = 100_000
 ADDED = ("general", "removed")
 LOCAL = "[A-Za-z0-9._%+-]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -84,11 +87,13 @@ def matches(text: Column, number: int) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, mark, found)``: a row for each document; equal texts have equal marks."""
+    """``(row, doc_id, mark, there, text, found)``: a row for each document; equal texts have equal marks, texts without a mention are left out."""
     text = F.col("text").cast("string")
     kinds = [F.coalesce(matches(F.col("text"), k), F.array()) for k in range(len(KINDS))]
     found = F.when(F.col("text").rlike("[0-9@]"), F.concat(*kinds))
-    return stored(docs.select("doc_id", text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), F.col("text").isNotNull().alias("there"), found.alias("found")))
+    told = docs.select("doc_id", text.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), F.col("text").isNotNull().alias("there"), "text", found.alias("found"))
+    holds = F.exists("found", lambda f: f["value"].isNotNull())
+    return stored(told.withColumn("text", F.when(holds, F.col("text"))))
 
 
 def mentions(scan: DataFrame) -> DataFrame:
@@ -159,13 +164,31 @@ def told(docs: DataFrame, scan: DataFrame, spans: DataFrame, words: DataFrame) -
     return words_told.join(stems, [*entity, "stem"], "left").select(*entity, "term", F.when(F.col("told").isNull(), NAMES.index("general")).otherwise(NAMES.index("removed")).alias("how"), "held")
 
 
+def placed(scan: DataFrame, spans: DataFrame, much: DataFrame) -> DataFrame:
+    """``(row, s, e, how)``: everywhere in its whole text the words that tell too much of an entity mentioned there."""
+    lists = pin(much.groupBy("kind", "value").agg(F.collect_list(F.struct("term", "how")).alias("terms"), F.sum("held").alias("held")))
+    mentioned = join_spread(spans.select("row", "kind", "value").distinct(), lists, ["kind", "value"], "held")
+    asked = pin(mentioned.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
+    rows = scan.select("row", "text").join(broadcast_if(asked, BROADCAST_ROWS), "row")
+    tokens = rows.select("row", "terms", F.regexp_extract_all("text", F.lit(r"\S+|\s+"), F.lit(0)).alias("tokens"))
+    core = lambda t: F.regexp_extract(t, r"\p{L}+", 0)
+    term = lambda t: F.when(t.rlike(WORD), F.lower(core(t)))
+    known = tokens.withColumn("words", F.transform("terms", lambda x: x["term"]))
+    hits = F.filter(F.transform("tokens", lambda t, i: F.when(F.array_contains("words", term(t)), F.struct(t.alias("t"), i.alias("i")))), lambda x: x.isNotNull())
+    before = lambda x: F.length(F.array_join(F.slice("tokens", F.lit(1), x["i"]), "")) + F.length(F.regexp_extract(x["t"], r"^[^\p{L}]*", 0))
+    how = lambda x: F.array_max(F.transform(F.filter("terms", lambda m: m["term"] == term(x["t"])), lambda m: m["how"]))
+    at = known.select("row", F.explode(F.transform(hits, lambda x: F.struct(before(x).cast("long").alias("s"), F.length(core(x["t"])).alias("n"), how(x).alias("how")))).alias("w"))
+    return at.select("row", "w.s", (F.col("w.s") + F.col("w.n")).alias("e"), "w.how")
+
+
 def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``scan`` and ``(row, kind, start, end)``: all spans of all documents, kinds as numbers in ``NAMES``."""
     scan = scanned(docs)
     spans = stored(mentions(scan))
     words = stored(context_words(spans))
     much = pin(told(docs, scan, spans, words))
-    added = join_spread(words, much, ["kind", "value", "term"], "held").groupBy("row", "s", "e").agg(F.max("how").alias("kind"))
+    near = join_spread(words, much, ["kind", "value", "term"], "held").select("row", "s", "e", "how")  # also words that stand against a value without a blank
+    added = near.unionByName(placed(scan, spans, much)).groupBy("row", "s", "e").agg(F.max("how").alias("kind"))
     return scan, spans.select("row", "kind", "start", "end").unionByName(added.select("row", "kind", F.col("s").alias("start"), F.col("e").alias("end")))
 
 
