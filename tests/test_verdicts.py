@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.operators import corpus, dynamic, evaluate, fusion, static, taint
+from trawl.plans import catalog
 from trawl.schemas import RESULT_COLUMNS, RESULTS
 from trawl.sources.tables import metrics_markdown
 
@@ -44,6 +45,19 @@ def test_each_rule_of_the_log_fires(spark, name):
     assert want in reasons(spark, **evidence)
 
 
+def test_a_log_is_read_and_capped_once(spark):
+    events = spark.createDataFrame([("s", i, "INFO", "os", "hostname", {}) for i in range(40)], EVENT)
+    beacons, stolen = spark.createDataFrame([], BEACON), spark.createDataFrame([], STOLEN)
+    seen = dynamic.observations(dynamic.capped(events, 30), beacons, stolen)
+    assert [(r.total_events, r.os_recon_calls, r.recon) for r in seen.collect()] == [(30, 30, True)]
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2  # the cap's own two ranks
+
+
+def test_what_a_record_reads_twice_is_made_once(spark, sf):
+    files = lambda name: {f.rpartition("/")[2] for f in catalog.QUERIES[name](spark, sf).inputFiles()}
+    assert not {"documents.parquet", "events.parquet"} & files("evidence_digest")
+
+
 def test_near_misses_of_the_log(spark):
     quiet = reasons(spark, stolen=[(True, ["a"], ["jwt"])], **RUN("git add file; crontabs of the town; powershell encode"), **BODY("the hostname alone"))
     assert not {p for p in quiet if p[1] in {w for name, (_, (_, w)) in CASES.items() if name != "stolen"}}
