@@ -56,6 +56,7 @@ def test_a_log_is_read_and_capped_once(spark):
 def test_what_a_record_reads_twice_is_made_once(spark, sf):
     files = lambda name: {f.rpartition("/")[2] for f in catalog.QUERIES[name](spark, sf).inputFiles()}
     assert not {"documents.parquet", "events.parquet"} & files("evidence_digest")
+    assert "events.parquet" not in files("flat_results")
 
 
 def test_near_misses_of_the_log(spark):
