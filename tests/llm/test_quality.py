@@ -1,10 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from trawl.llm.quality import ALPHABET, BEGIN, END, WORD, grams, judge, perplexities, train, train_words
+from trawl.llm.quality import ALPHABET, BEGIN, END, ORDER, SPELT_AT_ONCE, SYMBOLS, WORD, grams, judge, perplexities, spellings, squeeze, train, train_words, trigrams
 
 SCHEMA = "doc_id long, text string, lang string, cut string, of int"
 
@@ -158,3 +159,24 @@ def test_word_order_counts(spark):
     labels = spark.createDataFrame([(k, 1) for k in range(240)], "doc_id long, quality int")
     kept = Counter(r.doc_id // 1000 for r in judge(spark.createDataFrame(rows, SCHEMA), labels).where("kept").collect())
     assert kept[1] == 0 and kept[2] >= 36
+
+
+def test_words_are_spelt_together_as_each_alone():
+    logs = np.random.default_rng(5).normal(size=SYMBOLS**ORDER).astype(np.float32)
+    words = ["a", "zürich", "日", "𝒳y", "-", "x" * 70, *(f"w{i}" for i in range(SPELT_AT_ONCE))]
+    alone = [logs[grams(w + " ")].sum(dtype=np.float64) for w in words]
+    assert np.allclose(spellings(words, logs), alone, rtol=1e-12) and spellings([], logs).size == 0
+
+
+def test_distinct_trigrams_of_a_shard_need_little_memory():
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(8):
+        words = np.unique(rng.integers(3, 1 << 48, 5000, np.uint64))
+        rows.append((squeeze(words), *(squeeze(rng.integers(0, words.size, 50_000, np.uint32)) for _ in range(3))))
+    tracemalloc.start()
+    gram, n, *_ = trigrams(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.sum() == 400_000 and (np.diff(gram.astype(np.int64)) > 0).all()
+    assert peak < 110 * n.sum()
