@@ -2,10 +2,11 @@ import math
 import random
 import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 
-from trawl.llm.quality import ALPHABET, BEGIN, END, ORDER, SPELT_AT_ONCE, SYMBOLS, WORD, grams, judge, perplexities, spellings, squeeze, train, train_words, trigrams
+from trawl.llm.quality import ALPHABET, BEGIN, END, ORDER, SPELT_AT_ONCE, SYMBOLS, WORD, cut, grams, judge, perplexities, spellings, squeeze, train, train_words, trigrams
 
 SCHEMA = "doc_id long, text string, lang string, cut string, of int"
 
@@ -180,3 +181,25 @@ def test_distinct_trigrams_of_a_shard_need_little_memory():
     tracemalloc.stop()
     assert n.sum() == 400_000 and (np.diff(gram.astype(np.int64)) > 0).all()
     assert peak < 110 * n.sum()
+
+
+def test_words_are_cut_as_the_pattern_does():
+    rng = random.Random(7)
+    texts = ["", " \n\t", "a_1 b\x1c日本カ, x!!", "İΣ ΑΣ", "".join(map(chr, rng.choices([*range(1, 0xD800), *range(0xE000, 0x110000)], k=20_000)))]
+    seen = {}
+    for text in texts:
+        hashes, starts, ends = cut(text)
+        words = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+        assert words == WORD.findall(text)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_model_on_disk_holds_each_trigram_once(spark):
+    rng, sizes = random.Random(8), []
+    for n in (100, 6400):
+        texts = [" ".join(rng.choices("abcdef", k=40)) for _ in range(n)]
+        trusted = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+        model = train_words(trusted, np.full(SYMBOLS**ORDER, -1, np.float32))
+        sizes.append(sum(f.stat().st_size for f in Path(model.folder.removeprefix("file:")).rglob("*.parquet")))
+    assert sizes[1] < 1.5 * sizes[0]
