@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from trawl.llm import nearcopies
-from trawl.llm.nearcopies import common_shingles, near_copy_groups, without_near_copies
+from trawl.llm.nearcopies import common_shingles, firsts_of, near_copy_groups, shingle_sets, without_near_copies
 
 SCHEMA = "doc_id long, text string, fp string, pair int, first long"
 
@@ -76,3 +76,39 @@ def test_common_shingles(monkeypatch):
     monkeypatch.setattr(nearcopies, "SHINGLES_AT_ONCE", 7)
     assert common_shingles(sets, x, y).tolist() == want
     assert common_shingles(sets, x[:9], y[:9]).tolist() == want[:9]
+
+
+def test_shuffle_follows_the_input(spark):
+    rng = random.Random(9)
+
+    def written(n):
+        """Bytes shuffled for so many texts that have nothing in common."""
+        texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(n)]
+        rows = spark.createDataFrame([(k, t, "", 1, 1) for k, t in enumerate(texts)], SCHEMA)
+        store = spark._jsc.sc().statusStore()
+        total = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+        before = total()
+        assert near_copy_groups(rows, block_rows=50).where("doc_id <> component_id").isEmpty()
+        return total() - before
+
+    assert 0 < written(6000) < 6 * written(1500)
+
+
+def test_shingle_sets(monkeypatch):
+    texts = [b"", None, b" a  B c ", b"A b\tc", b"a b", b"ab", "é É x y z w é É x y z".encode(), b"\x1ca b c d", b"one two three four five", b"One two\nthree four five six", b"b a"]
+    for at_once in (1, 1 << 18):
+        monkeypatch.setattr("trawl.llm.nearcopies.TEXT_AT_ONCE", at_once)
+        got = [frozenset(s.tolist()) for s in shingle_sets(texts, 5)]
+        words = [(t or b"").lower().split() for t in texts]
+        want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        for a, x in zip(got, want, strict=True):
+            assert [len(a & b) for b in got] == [len(x & y) for y in want]
+
+
+def test_similar_sets_share_a_first_shingle():
+    for size in range(1, 60):
+        for other in range(size, 75):
+            least = next((c for c in range(size + 1) if 5 * c >= 4 * (size + other - c)), None)  # so many in common are similar
+            if least is not None:  # at worst what isn't common comes first in both
+                assert firsts_of(size, 0.8) > size - least and firsts_of(other, 0.8) > other - least
