@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 
-from trawl.llm.quality import ALPHABET, BEGIN, END, ORDER, SPELT_AT_ONCE, SYMBOLS, WORD, cut, grams, judge, perplexities, spellings, squeeze, train, train_words, trigrams
+from trawl.llm.quality import ALPHABET, BEGIN, END, ORDER, SPELT_AT_ONCE, Shard, SYMBOLS, WORD, cut, grams, judge, perplexities, spellings, squeeze, train, train_words, trigrams
 
 SCHEMA = "doc_id long, text string, lang string, cut string, of int"
 
@@ -203,3 +203,16 @@ def test_model_on_disk_holds_each_trigram_once(spark):
         model = train_words(trusted, np.full(SYMBOLS**ORDER, -1, np.float32))
         sizes.append(sum(f.stat().st_size for f in Path(model.folder.removeprefix("file:")).rglob("*.parquet")))
     assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_weights_of_a_shard_need_little_memory():
+    rng, n = np.random.default_rng(3), 300_000
+    word = np.sort(rng.integers(0, 1 << 48, 60_000).astype(np.uint64))
+    first, middle, last = (np.minimum(rng.zipf(1.2, n), word.size - 1).astype(np.uint32), rng.integers(0, 1200, n).astype(np.uint32), rng.integers(0, word.size, n).astype(np.uint32))
+    row = tuple(map(squeeze, (word, first, middle, last, np.ones(n, np.uint32))))
+    side = tuple(map(squeeze, (np.full(word.size, 1, np.uint8), word, np.ones(word.size), np.full(word.size, -10.0))))
+    tracemalloc.start()
+    Shard({k: [0.5, 0.9, 1.2] for k in (1, 2, 3)}, 10**7, 0.5, {3: 0.1}, side, row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180 * n
