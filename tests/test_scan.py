@@ -1,6 +1,7 @@
 """The one scan for all patterns that comes before the rules, and texts that are searched once."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tests.test_rules import FIRES, SHARED, scan
 from trawl.functions import rules
 from trawl.functions.text import any_hit, hit
 from trawl.operators import taint
-from trawl.operators.taint import content_secrets, may_hold_secrets
+from trawl.operators.taint import content_secrets, may_hold_plain, may_hold_secrets, sensitive_reads
 
 
 def test_scan_loses_no_match(spark):
@@ -42,6 +43,33 @@ def test_secrets_behind_one_scan_equal_those_without(spark):
     assert all(r.plain == r.gated for r in both) and len({s.category for r in both for s in r.plain or []}) > 10
 
 
+PHRASE = "twelve words that are all made from small letters only come here"
+READ = "sample_key long, seq long, path string, content string"
+
+
+def test_plain_secrets_behind_their_scan_equal_those_without(spark):
+    rng = random.Random(7)
+    words = [*PHRASE.split(), "to", "a", "Capital", "longerthaneight", "x9", "é", "straße", "123", "password:"]
+    gaps = [" "] * 60 + ["\n", "\x0b", "\t ", ", ", "\u00a0"]
+    phrase = lambda some: "".join(rng.choice(some) + rng.choice(gaps) for _ in range(rng.randrange(8, 40)))
+    texts = [rng.choice(["", "_", "é", "."]) + phrase(rng.choice([words[:12], words[:16], words])) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, PHRASE, "", None]], "t string").select("t", may_hold_secrets(F.col("t")).alias("l"), may_hold_plain(F.col("t")).alias("p"))
+    both = rows.select(content_secrets(F.col("t")).alias("plain"), content_secrets(F.col("t"), F.col("l"), F.col("p")).alias("gated")).collect()
+    assert all(r.plain == r.gated for r in both) and 100 < sum("seed_phrase" in {s.category for s in r.plain or []} for r in both) < 400
+
+
+def test_sensitive_reads_try_rules_only_on_what_the_scans_found(spark):
+    rows = [(1, 1, "/x/a.txt", PHRASE), (1, 1, "/x/a.txt", PHRASE), (2, 1, "/x/a.py", "TOKEN = abc; " + PHRASE), (3, 1, "/home/u/.ssh/id", None), (4, 1, None, "AKIA" + "A" * 16), (5, 1, None, None), (6, 1, "", ""), (None, None, "b.txt", "f" * 64), (7, 1, "b.txt", "few words")]
+    found = sensitive_reads(spark.createDataFrame(rows, READ))
+    got = sorted((r.sample_key or 0, r.categories, [s.raw for s in r.secrets], r.severity, r.quiet) for r in found.drop("content").collect())
+    seed = (1, ["seed_phrase"], [PHRASE], "CRITICAL", False)
+    assert got == sorted([seed, seed, (2, ["source_code", "dotenv_secrets", "seed_phrase"], ["TOKEN = abc;", PHRASE], "CRITICAL", False), (3, ["ssh_private_key"], [], "CRITICAL", False), (4, ["aws_credentials"], ["AKIA" + "A" * 16], "CRITICAL", False), (0, ["crypto_wallet"], ["f" * 64], "CRITICAL", False)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(re.findall(r"scan\(content#\d+\)", plan.split("ArrowEvalPython")[1].split("\n")[0])) == 2
+    tried = re.findall(r"raw, CASE WHEN (\w+)#\d+ THEN", plan)
+    assert len(tried) == sum(1 for s in rules.SECRETS if s.content) and set(tried) == {"_likely", "_plain"}
+
+
 def test_tokens_are_broadcast_only_up_to_a_bound(spark, monkeypatch):
     tokens = spark.createDataFrame([(1, 1, "p", 0, "c", "a secret of many letters", "strong")], "sample_key long, seq long, path string, pos int, category string, token string, strength string")
     sends = spark.createDataFrame([(1, 2, "d", "x a secret of many letters y"), (2, 2, "d", "a secret of many letters")], "sample_key long, seq long, destination string, payload string")
