@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.operators import corpus, dynamic, evaluate, fusion, static, taint
+from trawl.operators import corpus, dynamic, evaluate, fusion, shapes, static, taint
 from trawl.plans import catalog
 from trawl.schemas import RESULT_COLUMNS, RESULTS
 from trawl.sources.tables import metrics_markdown
@@ -86,6 +86,22 @@ def test_invisible_text_and_manifests(spark):
     assert not {x for x in got if x[0] == "big"}
 
 
+def test_a_package_is_scanned_once_for_rules_and_invisible_text(spark, tmp_path):
+    """The files were read anew for the count of invisible code points; what is found is what the operators find one by one."""
+    tag, flag = "\U000e0041", "\U0001f3f4"
+    texts = [("u", "a.js", "x" + tag * 4), ("u", "b.txt", "y" + "\U000e0100" * 4), ("u", "b.txt", "y" + "\U000e0100" * 4), ("few", "a.js", "x" + tag * 3 + " " + tag * 3 + " " + tag * 6), ("flag", "a.js", flag + tag * 9), (None, "a.js", "é" + tag * 7 + " catbox.moe"), ("n", "a.js", None), ("n", None, tag * 9), ("e", "a.js", ""), ("r", "a.js", "eval(atob(p)) // abc.ngrok.io"), ("r", "run.ps1", "plain"), ("r", "x/a.js", "abc.ngrok.io")]
+    spark.createDataFrame([(k, p, 10, t) for k, p, t in texts], FILE).write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    manifests = spark.createDataFrame([(k, "n", "AI code assistant", "", "main.js", ["*"], {}) for k in ("u", "u", "none", None)], "sample_key string, name string, displayName string, description string, main string, activationEvents array<string>, scripts map<string,string>")
+    found = static.package_findings(files, manifests)
+    alone = [static.findings(files), shapes.shape_findings(files), static.invisible_findings(files), static.manifest_findings(manifests, static.file_stats(files))]
+    rows = lambda frames: sorted((tuple(r) for f in frames for r in f.select("sample_key", "points", "reason", "file", "detail", "tier").collect()), key=repr)
+    got = rows([found])
+    assert got == rows(alone) and {(k, r.partition("(")[2][:2]) for k, _, r, *_ in got if r.startswith("invisible")} == {("u", "12"), (None, "7 "), ("n", "9 ")}
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x and "content#" in x]
+    assert len(scans) == 1  # for the manifests' file stats
+
+
 def test_dependencies_within_their_budget(spark):
     deep = lambda n: "node_modules/" + "d/" * n + "a.js"
     bad = "var _0xabcd = 1; spawn(x)"
